@@ -6,7 +6,8 @@ documents loses all its lines except those of the largest doc_id that holds it.
 
 Keys are hashed to 128 bits where the text is read; only (hash, document, position) rows are shuffled. Distinct
 documents are counted in two steps (hash and document, then hash), so that a line of a third of all documents is
-pre-aggregated; the join with the shared lines is a plain equi-join that adaptive execution can split.
+pre-aggregated; the join with the shared lines spreads
+each line over several keys, and adaptive execution can split it further.
 
 Defined cases: null text equals empty text. Rows that repeat a doc_id count as one document; each row is returned. A
 null doc_id never counts as a document and so keeps no shared line. An empty table gives an empty result. Other
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from cadastra.llm.common import SPACE, map_batches
 
 _SPACE = SPACE.encode()
+#: Rows of a shared line are spread over so many keys.
+SALTS = 8
 
 
 def line_hashes(docs: DataFrame, min_chars: int = 40) -> DataFrame:
@@ -51,8 +54,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     """docs with text replaced by its kept lines, and n_lines, n_dropped (long) added; other columns stay."""
     lines = line_hashes(docs, min_chars)
     shared = lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("in_docs"), F.max("doc_id").alias("keeper")).filter(F.col("in_docs") >= min_docs).drop("in_docs")
+    shared = shared.withColumn("salt", F.explode(F.array([F.lit(i).cast("long") for i in range(SALTS)])))
     dropped = (
-        lines.join(shared, ["h1", "h2"])
+        lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS))).join(shared, ["h1", "h2", "salt"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row"))
         .agg(F.collect_set("pos").alias("__drop"))
