@@ -69,27 +69,28 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.coalesce(both, F.lit(0.0)))
 
 
-def with_next(docs: DataFrame, value: Column, head: Column) -> DataFrame:
-    """doc_id, text, value of docs, and next: value of the next row by (doc_id, text), the first row's after the last.
+def with_next(docs: DataFrame, value: Column) -> DataFrame:
+    """doc_id, value and next: the value of the next row by (doc_id, value), the first row's after the last.
 
-    head computes the same value from a row of docs; it is used for the first row of each range only.
+    All three readings of the windowed rows share one exchange; the others move range numbers and range heads only.
     """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) * RANGE_ROWS // max(n, 1)))
     # a null id has a range of its own before all others
-    ranged = docs.withColumn("range", F.coalesce(F.floor(F.col("doc_id").cast("decimal(20,0)") / F.lit(width)).cast("long"), F.lit(-(2**63) + 1)))
-    order = Window.partitionBy("range").orderBy(F.asc_nulls_first("doc_id"), "text")
-    rows = ranged.withColumn("value", value).withColumn("next", F.lead("value").over(order))
-    heads = ranged.withColumn("n", F.row_number().over(order)).filter("n = 1").select("range", F.floor(F.col("range") / HEADS).alias("upper"), head.alias("head"))
-    by_range, by_upper = Window.partitionBy("upper").orderBy("range"), Window.orderBy("upper")
-    ahead = heads.withColumn("after", F.lead("head").over(by_range))
+    number = F.coalesce(F.floor(F.col("doc_id").cast("decimal(20,0)") / F.lit(width)).cast("long"), F.lit(-(2**63) + 1))
+    order = Window.partitionBy("range").orderBy(F.asc_nulls_first("doc_id"), "value")
+    rows = docs.select("doc_id", value.alias("value"), number.alias("range")).withColumns({"next": F.lead("value").over(order), "first": F.lag(F.lit(True)).over(order).isNull()})
+    heads = rows.filter("first").select("range", F.floor(F.col("range") / HEADS).alias("upper"), F.col("value").alias("head"))
+    numbers = docs.select(number.alias("range")).distinct().withColumn("upper", F.floor(F.col("range") / HEADS))
+    ahead = numbers.withColumn("target", F.lead("range").over(Window.partitionBy("upper").orderBy("range")))
     # one row for about RANGE_ROWS * HEADS documents
-    tops = heads.withColumn("n", F.row_number().over(by_range)).filter("n = 1").select("upper", F.lead("range").over(by_upper).alias("next_range"), F.min("range").over(by_upper.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first_range"))
-    links = ahead.filter("after is null").select("range", "upper").join(tops, "upper").select("range", F.coalesce("next_range", "first_range").alias("target"))
-    jumps = links.join(heads.select(F.col("range").alias("target"), F.col("head").alias("after")), "target").select("range", "after")
-    after = ahead.filter("after is not null").select("range", "after").unionByName(jumps)
-    inner = rows.filter("next is not null").select("doc_id", "text", "value", "next")
-    last = rows.filter("next is null").join(after, "range").select("doc_id", "text", "value", F.col("after").alias("next"))
+    tops = numbers.groupBy("upper").agg(F.min("range").alias("top"))
+    by_upper = Window.orderBy("upper")
+    tops = tops.select("upper", F.coalesce(F.lead("top").over(by_upper), F.min("top").over(by_upper.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("jump"))
+    links = ahead.join(tops, "upper").select("range", F.coalesce("target", "jump").alias("target"))
+    after = links.join(heads.select(F.col("range").alias("target"), F.col("head").alias("after")), "target").select("range", "after")
+    inner = rows.filter("next is not null").select("doc_id", "value", "next")
+    last = rows.filter("next is null").join(after, "range").select("doc_id", "value", F.col("after").alias("next"))
     return inner.unionByName(last)
 
 
@@ -97,12 +98,12 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """The fingerprint of each document and of its text with the second half taken from the next document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     value = F.struct(F.col("text").alias("text"), sketch(F.col("text")).alias("print"))
-    n = F.length("text")
+    n = F.length("value.text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
+    edited = F.concat(F.substring(F.col("value.text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
     return (
-        with_next(texts, value, value)
-        .select("doc_id", "text", F.col("value.print").alias("print"), F.col("next.print").alias("next_print"), n.cast("long").alias("n_chars"), edited.alias("edited"))
+        with_next(texts, value)
+        .select("doc_id", F.col("value.print").alias("print"), F.col("next.print").alias("next_print"), n.cast("long").alias("n_chars"), edited.alias("edited"))
         .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "print", "next_print", sketch(F.col("edited")).alias("edited_print"))
         .select(
             "doc_id",
