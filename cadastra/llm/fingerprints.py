@@ -72,7 +72,7 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, value: Column) -> DataFrame:
     """doc_id, value and next: the value of the next row by (doc_id, value), the first row's after the last.
 
-    All three readings of the windowed rows share one exchange; the others move range numbers and range heads only.
+    Both readings of the windowed rows share one exchange; the others move range numbers and range heads only.
     """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) * RANGE_ROWS // max(n, 1)))
@@ -89,9 +89,8 @@ def with_next(docs: DataFrame, value: Column) -> DataFrame:
     tops = tops.select("upper", F.coalesce(F.lead("top").over(by_upper), F.min("top").over(by_upper.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("jump"))
     links = ahead.join(tops, "upper").select("range", F.coalesce("target", "jump").alias("target"))
     after = links.join(heads.select(F.col("range").alias("target"), F.col("head").alias("after")), "target").select("range", "after")
-    inner = rows.filter("next is not null").select("doc_id", "value", "next")
-    last = rows.filter("next is null").join(after, "range").select("doc_id", "value", F.col("after").alias("next"))
-    return inner.unionByName(last)
+    # the windowed rows are dealt and sorted by range already: this join moves the heads only
+    return rows.join(after, "range", "left").select("doc_id", "value", F.coalesce("next", "after").alias("next"))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
