@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm import bpe, fingerprints, line_dedup, mixing, topk, url_filters
+from cadastra.llm import bpe, fingerprints, line_dedup, mixing, ngram_join, topk, url_filters
 from cadastra.llm.common import table
 
 
@@ -35,6 +35,27 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(x, y) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+lowest AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id FROM sets s JOIN lowest c ON c.x = s.doc_id
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "n_tokens", "copies")
 
@@ -64,9 +85,10 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_url_filters": op3_url_filters,
     "op4_fingerprints": op4_fingerprints,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_mixing": op7_mixing,
     "op9_bpe": op9_bpe,
     "op10_top_k": op10_top_k,
 }
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op7_mixing": mixing.ORACLE, "op10_top_k": OP10_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op7_mixing": mixing.ORACLE, "op10_top_k": OP10_SQL}
