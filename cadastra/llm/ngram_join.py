@@ -4,9 +4,9 @@ A document's set holds its distinct five-word shingles (A-Z lower-cased, ASCII w
 whole word sequence. Two documents link when 100 * intersection >= 80 * union. Result: one row per document with its
 set's size and the smallest doc_id that links reach from it.
 
-1. Shingle counts: every task packs the hashes of two fifths of the hash space (all documents) into sorted arrays by
-   hash range; per range they are merged, and the base-2 logarithm of each count goes into a table of fixed size
-   (`SKETCH_MAX` bytes at most). A global order by (that level, hash) puts shared passages last. Any order is exact.
+1. Shingle counts: every task packs the hashes of its documents into sorted arrays by hash range; per range they are
+   merged, and the base-2 logarithm of each count of four or more goes into a table of fixed size (`SKETCH_MAX` bytes
+   at most). A global order by (that level, hash) puts shared passages last. Any order is exact.
 2. Adaptive multi-match prefixes: overlap o is needed with any partner, so the first n - o + l shingles of two linked
    sets share l. Each document takes the l of least estimated cost (its prefix's expected postings against their
    number) and a pair must share the smaller of both l.
@@ -37,8 +37,6 @@ WORDS = 5
 PERCENT = 80
 MAX_MATCH = 4
 SKETCH_MAX = 1 << 26
-#: Shingles of which hashes (in 2^64ths, of the top ten bits) are counted.
-COUNTED = 410
 #: Counted hashes in one merge group, about.
 GROUP_HASHES = 4_000_000
 CANDIDATE_BITS = 1 << 24
@@ -80,13 +78,13 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def _count_levels(texts: DataFrame, chars: int) -> tuple[np.ndarray, int]:
     """Levels (base-2 logarithms of document counts) by the hash's top bits; the number of those bits."""
     hashes = chars // 6
-    bits = min(SKETCH_MAX.bit_length() - 1, max(20, (hashes // 16).bit_length()))
-    group_bits = min(bits, max(4, (hashes * COUNTED // 1024 // GROUP_HASHES).bit_length()))
+    bits = min(SKETCH_MAX.bit_length() - 1, max(20, (hashes // 8).bit_length()))
+    group_bits = min(bits, max(4, (hashes // GROUP_HASHES).bit_length()))
 
     def pack(batch: dict) -> dict:
         sets = [s for s in (shingles(words_of(t)) for t in batch["text"].to_pylist()) if len(s)]
         every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        values, counts = np.unique(every[every >> np.uint64(54) < COUNTED], return_counts=True)
+        values, counts = np.unique(every, return_counts=True)
         group = (values >> np.uint64(64 - group_bits)).astype(np.int64)
         cuts = np.searchsorted(group, np.arange((1 << group_bits) + 1))
         kept = [g for g in range(1 << group_bits) if cuts[g + 1] > cuts[g]]
@@ -108,7 +106,7 @@ def _count_levels(texts: DataFrame, chars: int) -> tuple[np.ndarray, int]:
         level = np.minimum(np.log2(totals), 30).astype(np.uint8)
         cells = np.zeros(1 << (bits - group_bits), np.uint8)
         np.maximum.at(cells, rest[starts] >> np.uint32(32 - (bits - group_bits)) if bits > group_bits else np.zeros(len(starts), np.int64), level)
-        used = np.flatnonzero(cells)
+        used = np.flatnonzero(cells >= 2)
         return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "used": [used.astype("<u4").tobytes()], "level": [cells[used].tobytes()]})
 
     table = np.zeros(1 << bits, np.uint8)
