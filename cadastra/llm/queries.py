@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm import bpe, fingerprints, line_dedup, mixing, ngram_join, topk, url_filters
+from cadastra.llm import bpe, fingerprints, line_dedup, mixing, ngram_join, pii, topk, toxicity, url_filters
 from cadastra.llm.common import table
 
 
@@ -27,6 +27,12 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -60,6 +66,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "n_tokens", "copies")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train(docs))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,10 +94,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_url_filters": op3_url_filters,
     "op4_fingerprints": op4_fingerprints,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
     "op9_bpe": op9_bpe,
     "op10_top_k": op10_top_k,
 }
