@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm import bpe, fingerprints, line_dedup, mixing, ngram_join, pii, topk, toxicity, url_filters
+from cadastra.llm import bpe, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, pii, topk, toxicity, url_filters
 from cadastra.llm.common import table
 
 
@@ -62,6 +62,10 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id FROM set
 """
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "n_tokens", "copies")
 
@@ -98,6 +102,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_fingerprints": op4_fingerprints,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
     "op9_bpe": op9_bpe,
