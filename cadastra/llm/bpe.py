@@ -26,8 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_CHARS = 4_000_000
-CACHE_PIECES = 250_000
+from cadastra.llm.common import sliced
+
+SLICE_CHARS = 2_000_000
+CACHE_PIECES = 120_000
 #: Pieces of more tokens keep one row each while they are contracted; for others all steps' rows are quicker.
 LONG_PIECE = 64
 
@@ -83,7 +85,7 @@ class Tokenizer:
                 if left is not None and right is not None:
                     pairs.append(left * 1048576 + right)
                     merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._load("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int32())}))
         self._load("vocabulary", pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "bytes_hex": [t.hex() for t in self.ranks]}))
         self.cache: dict[str, tuple[bytes, bytes]] = {}
@@ -139,7 +141,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = None
-        for batch in batches:
+        for batch in sliced(batches):
             tokenizer = tokenizer or Tokenizer(rank_file, pattern)
             rows: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
             for part in _slices(batch.column("text").to_pylist()):

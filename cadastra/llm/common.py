@@ -35,15 +35,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, batch_fn: Callable[[dict], dict | None], schema: str) -> DataFrame:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows: a worker's Python objects stay small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def map_batches(df: DataFrame, batch_fn: Callable[[dict], dict | None], schema: str, rows: int = 2000) -> DataFrame:
     """mapInArrow over dicts of columns. Texts come as Arrow arrays; batch_fn returns arrays or lists by column name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = batch_fn(dict(zip(batch.schema.names, batch.columns)))
-                if out is not None:
-                    yield pa.RecordBatch.from_pydict(out)
+        for batch in sliced(batches, rows):
+            out = batch_fn(dict(zip(batch.schema.names, batch.columns)))
+            if out is not None:
+                yield pa.RecordBatch.from_pydict(out)
 
     return df.mapInArrow(run, schema)
 

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import map_batches, materialise
+from cadastra.llm.common import map_batches, materialise, sliced
 
 WORDS = 5
 PERCENT = 80
@@ -135,7 +135,7 @@ def _prefixes(texts: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             c1, c2, size, match, rare, tokens = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)

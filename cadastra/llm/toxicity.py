@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import crc_mod, map_batches
+from cadastra.llm.common import crc_mod, map_batches, sliced
 
 #: At most so many labelled rows of each class are learned from.
 SAMPLE = 6000
@@ -39,7 +39,7 @@ DICTIONARY_BYTES = 1 << 15
 ORDINARY_WORDS = 4000
 LIFT = 30
 PIECE = 24
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _STRIP = b".,!?|;:()\"'"
 
 
@@ -152,7 +152,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = Signs(model["toxic"], model["ordinary"]) if "curve" in model else None
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             if signs is None:
                 p = np.full(len(texts), model["base"])
