@@ -12,7 +12,8 @@ set's size and the smallest doc_id that links reach from it.
    number) and a pair must share the smaller of both l.
 3. Equal sets become one vertex. Two rounds of candidates: first each prefix shingle's documents against the one among
    them with the fewest rare shingles, which joins large groups of near copies without listing their pairs; then all
-   pairs of different components so far. Positions in the order bound the overlap and cut pairs in the join itself.
+   pairs of different components so far. Positions in the order and parity signatures bound the overlap, exactly, and
+   cut pairs in the join itself.
 4. Candidates are verified on whole texts; components come from minimum labels with pointer jumping.
 
 Defined cases: null, empty and white-space texts have no shingles and link with nothing. Rows that repeat a doc_id are
@@ -40,6 +41,8 @@ SKETCH_MAX = 1 << 26
 #: Counted hashes in one merge group, about.
 GROUP_HASHES = 4_000_000
 CANDIDATE_BITS = 1 << 24
+#: 64-bit words of a set's parity signature.
+SIGNATURE = 8
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -136,7 +139,7 @@ def _prefixes(texts: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = sent.value
         for batch in sliced(batches):
-            c1, c2, size, match, rare, tokens = [], [], [], [], [], []
+            c1, c2, size, match, rare, tokens, parity = [], [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 h = shingles(words)
@@ -148,12 +151,14 @@ def _prefixes(texts: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
                 match.append(m)
                 rare.append(r)
                 tokens.append(first.view(np.int64))
+                odd = np.bincount((h & np.uint64(64 * SIGNATURE - 1)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(size, pa.int64()), pa.array(match, pa.int32()), pa.array(rare, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
-                ["doc_id", "c1", "c2", "n", "match", "rare", "tokens"],
+                [batch.column("doc_id"), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(size, pa.int64()), pa.array(match, pa.int32()), pa.array(rare, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
+                ["doc_id", "c1", "c2", "n", "match", "rare", "tokens", "parity"],
             )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, c1 long, c2 long, n long, match int, rare int, tokens array<bigint>")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, c1 long, c2 long, n long, match int, rare int, tokens array<bigint>, parity array<bigint>")
 
 
 def _may_link(a: str, b: str):
@@ -164,6 +169,12 @@ def _may_link(a: str, b: str):
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (100 * most >= PERCENT * (na + nb - most))
 
 
+def _near_parity(a: str, b: str):
+    """Bits in which the parity signatures differ are shingles of one set only; linked sets have a ninth of both at most."""
+    words = [F.bit_count(F.col(f"{a}.parity")[i].bitwiseXOR(F.col(f"{b}.parity")[i])) for i in range(SIGNATURE)]
+    return (100 + PERCENT) * sum(words[1:], words[0]) <= (100 - PERCENT) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The linked ones among pairs (a, b)."""
     spark = pairs.sparkSession
@@ -247,9 +258,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = components(links)
     placed = shared.select("token", "id", "n", "match", "at").join(label.withColumnRenamed("label", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
     mixed = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token")
-    open_ = materialise(placed.join(mixed, "token"))
-    x, y = (open_.select("token", F.struct("id", "n", "match", "at").alias(s), F.col("part").alias(f"part_{s}")) for s in "xy")
-    crossing = x.join(y, "token").filter((F.col("part_x") != F.col("part_y")) & (F.col("x.id") < F.col("y.id")) & _may_link("x", "y"))
+    open_ = materialise(placed.join(mixed, "token").join(firsts.select(F.col("doc_id").alias("id"), "parity"), "id"))
+    x, y = (open_.select("token", F.struct("id", "n", "match", "at", "parity").alias(s), F.col("part").alias(f"part_{s}")) for s in "xy")
+    crossing = x.join(y, "token").filter((F.col("part_x") != F.col("part_y")) & (F.col("x.id") < F.col("y.id")) & _may_link("x", "y") & _near_parity("x", "y"))
     cross = _enough(crossing.select("x", "y")).join(star, ["a", "b"], "left_anti")
     more = materialise(_verify(materialise(cross), texts))
     label = components(links.union(more))
