@@ -224,7 +224,8 @@ def train(docs: DataFrame) -> dict[str, float]:
                     cut.append(text[max(0, island[0][0] - 30) : island[-1][1] + 30][:2000])
         return {"piece": pa.array(cut, pa.string())}
 
-    rows = docs.filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text")
+    chosen = docs.filter(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    rows = docs.join(F.broadcast(chosen.distinct()), "doc_id").select("text")  # SAMPLE ids at most
     pieces = [r.piece for r in map_batches(rows, contexts, "piece string").orderBy(F.xxhash64("piece"), "piece").limit(2 * SAMPLE).collect()]
     rng, weights = random.Random(7), {}
     for rate in (0.3, 0.15, 0.08):
