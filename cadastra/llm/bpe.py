@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cadastra.llm.common import sliced
 
 SLICE_CHARS = 2_000_000
-CACHE_PIECES = 120_000
+CACHE_PIECES = 220_000
 #: Pieces of more tokens keep one row each while they are contracted; for others all steps' rows are quicker.
 LONG_PIECE = 64
 
@@ -88,7 +88,8 @@ class Tokenizer:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._load("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int32())}))
         self._load("vocabulary", pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "bytes_hex": [t.hex() for t in self.ranks]}))
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.unlike: dict[str, bytes] = {}
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -115,13 +116,20 @@ class Tokenizer:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Puts the pieces' ids, and the bytes that their ids decode to, into the cache."""
+        """Puts the pieces' ids into the cache, and what they decode to beside it where that is not the piece itself."""
         new = [p for p in pieces if p not in self.cache]
         if not new:
             return
         encoded = self.encode_pieces(new)
         for piece, ids, back in zip(new, encoded, self.decode_sequences(encoded)):
-            self.cache[piece] = (ids.tobytes(), back)
+            self.cache[piece] = ids.tobytes()
+            if back != piece.encode():
+                self.unlike[piece] = back
+
+    def decoded(self, pieces: list[str]) -> bytes:
+        if not self.unlike:
+            return "".join(pieces).encode()
+        return b"".join(self.unlike[p] if p in self.unlike else p.encode() for p in pieces)
 
 
 def _slices(texts: list[str]) -> Iterator[list[str]]:
@@ -150,8 +158,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = False
                     tokenizer.cache.clear()
                 tokenizer.learn({p for ps in pieces for p in ps})
                 for ps in pieces:
-                    found = [tokenizer.cache[p] for p in ps]
-                    ids, back = b"".join(f[0] for f in found), b"".join(f[1] for f in found)
+                    ids, back = b"".join(map(tokenizer.cache.__getitem__, ps)), tokenizer.decoded(ps)
                     rows["n_tokens"].append(len(ids) // 4)
                     rows["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
                     rows["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
