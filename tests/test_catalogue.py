@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from cadastra.plans import catalogue
+from cadastra.plans import catalogue, evidence  # noqa: F401  evidence adds its queries to the catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
