@@ -31,3 +31,15 @@ def head_tail(text: Column, limit: int = 1900, mark: str = " [...] ") -> Column:
 def claims(text: Column, patterns: dict[str, str]) -> Column:
     """Sorted codes of the patterns that match."""
     return F.array_sort(F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(code)) for code, p in sorted(patterns.items())))))
+
+
+def unnegated(text: Column, pattern: str, negation: str, reach: int = 20) -> Column:
+    """True if the pattern's first match has no negation right before it, within so many code points. Later matches are not looked at."""
+    before = F.right(F.regexp_extract(text, f"(?s)^(.*?)(?:{pattern})", 1), F.lit(reach))
+    return F.coalesce(text.rlike(pattern) & ~before.rlike(f"(?:{negation})$"), F.lit(False))
+
+
+def family_conflict(codes: Column, family: list[str]) -> Column:
+    """The codes of a family whose members exclude one another, if there are two or more; else an empty array."""
+    found = F.array_sort(F.array_intersect(codes, F.array(*map(F.lit, family))))
+    return F.when(F.size(found) > 1, found).otherwise(F.array().cast("array<string>"))

@@ -69,3 +69,21 @@ def summary(scores: DataFrame) -> DataFrame:
 def numbered(photos: DataFrame, listing: str, order: str) -> DataFrame:
     """photos with pos, from 1, within their listing."""
     return photos.withColumn("pos", F.row_number().over(Window.partitionBy(listing).orderBy(order)))
+
+
+def usable_urls(urls: Column, markers: list[str]) -> Column:
+    """Urls without blanks, placeholders (a marker in any case) and repeats, in their first order."""
+    blank = lambda u: u.isNull() | (F.trim(u) == "")
+
+    def marked(u: Column) -> Column:
+        found = F.lit(False)
+        for m in markers:
+            found = found | F.contains(F.lower(u), F.lit(m.lower()))
+        return found
+
+    return F.array_distinct(F.filter(urls, lambda u: ~blank(u) & ~marked(u)))
+
+
+def prevalence(memberships: DataFrame, url: str) -> DataFrame:
+    """memberships, urls, most: how many rows, distinct urls, and rows of the commonest url."""
+    return memberships.groupBy(url).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("memberships"), F.count("*").alias("urls"), F.max("n").alias("most"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,17 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
+
+
+def comparable(eligible: Column, seller: Column) -> Column:
+    """Eligible (1, true or their texts) and offered by a professional."""
+    return F.coalesce(eligible.cast("string").isin("1", "true") & (F.lower(F.trim(seller)) == "professional"), F.lit(False))
+
+
+def audit(profiles: DataFrame, key: str, codes: str, examples: int = 3) -> DataFrame:
+    """code, n, examples: how often a code occurs, and its smallest keys. Numbered within two levels, so a frequent code is no one task's work."""
+    each = profiles.select(key, F.explode(codes).alias("code")).withColumn("part", F.pmod(F.xxhash64(key), F.lit(64)))
+    parts = each.withColumn("rn", F.row_number().over(Window.partitionBy("code", "part").orderBy(key))).groupBy("code", "part")
+    small = parts.agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("rn") <= examples, F.col(key))).alias("first"))
+    whole = small.groupBy("code").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("first")).alias("first"))
+    return whole.select("code", "n", F.slice(F.array_sort("first"), 1, examples).alias("examples"))

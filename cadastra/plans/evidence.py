@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadastra.functions import text as X
 from cadastra.operators import assessments as A
 from cadastra.operators import candidates as C
 from cadastra.operators import entities as E
 from cadastra.operators import history as H
 from cadastra.operators import photos as P
+from cadastra.operators import verdicts as V
 from cadastra.plans.catalogue import _PAIRS, _states, _t, query
+from cadastra.sources import snapshot
 
 # --- photos ------------------------------------------------------------------------------------------------------
 
@@ -207,3 +210,60 @@ def evidence_stale_check(spark, d):
         "score": F.when(k % 7 == 0, 1.5).otherwise(0.5), "matcher": F.when(k % 11 == 0, "").otherwise("m1"),
     })
     return A.judge_evidence(incoming, part.filter("low % 2 <> 0"), ["matcher"]).groupBy("state").agg(F.count("*").alias("n"))
+
+
+# --- profiles, comparability, photo urls -------------------------------------------------------------------------
+
+_CODES = {"license": "(?i)licen[cs]e", "phone": "\\+[0-9]", "contact": "@", "number": "[0-9]{3}"}
+_CODED = """SELECT doc_id, unnest(list_filter([CASE WHEN contains(text, '@') THEN 'contact' END, CASE WHEN regexp_matches(text, '(?i)licen[cs]e') THEN 'license' END,
+    CASE WHEN regexp_matches(text, '[0-9]{3}') THEN 'number' END, CASE WHEN regexp_matches(text, '\\+[0-9]') THEN 'phone' END], lambda c: c IS NOT NULL)) AS code FROM documents"""
+
+
+@query("""SELECT doc_id, coalesce(m <> '' AND NOT regexp_matches(right(left(text, strpos(text, m) - 1), 20), '(^|[^a-z])(the|a|this|la|de)\\s+$'), false) AS claimed
+FROM (SELECT doc_id, text, regexp_extract(text, '[Ll]icen[cs]e') AS m FROM documents)""")
+def profile_negation(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.unnegated(F.col("text"), "[Ll]icen[cs]e", "(^|[^a-z])(the|a|this|la|de)\\s+").alias("claimed"))
+
+
+@query(f"SELECT doc_id, string_agg(code, ',' ORDER BY code) AS conflict FROM ({_CODED}) WHERE code IN ('contact', 'phone', 'number') GROUP BY doc_id HAVING count(*) > 1")
+def profile_conflicts(spark, d):
+    found = _t(spark, d, "documents").select("doc_id", X.family_conflict(X.claims(F.col("text"), _CODES), ["contact", "phone", "number"]).alias("conflict"))
+    return found.filter(F.size("conflict") > 0).withColumn("conflict", F.array_join("conflict", ","))
+
+
+@query(f"SELECT code, count(*) AS n, array_to_string(list_sort(list(doc_id))[1:3], ',') AS examples FROM ({_CODED}) GROUP BY code")
+def profile_audit(spark, d):
+    coded = _t(spark, d, "documents").select("doc_id", X.claims(F.col("text"), _CODES).alias("codes"))
+    return V.audit(coded, "doc_id", "codes").withColumn("examples", F.array_join("examples", ","))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 < 2 AND s_nationkey % 2 = 0")
+def comparable_filter(spark, d):
+    k = F.col("s_suppkey") % 4
+    rows = _t(spark, d, "supplier").withColumns({"eligible": F.when(k == 0, "1").when(k == 1, "true").when(k == 2, "0"), "seller": F.when(F.col("s_nationkey") % 2 == 0, " Professional ").otherwise("owner")})
+    return rows.filter(V.comparable(F.col("eligible"), F.col("seller"))).select("s_suppkey")
+
+
+def _photo_lists(spark, d):
+    return _t(spark, d, "pages").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(F.collect_list("url").alias("urls"))
+
+
+_HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
+
+
+@query(f"SELECT {_HOST} AS host, count(DISTINCT url) FILTER (trim(url) <> '' AND NOT contains(lower(url), '/en') AND NOT contains(lower(url), 'utm_')) AS usable FROM pages GROUP BY 1")
+def placeholder_filter(spark, d):
+    return _photo_lists(spark, d).select("host", F.size(P.usable_urls(F.col("urls"), ["/EN", "utm_"])).cast("long").alias("usable"))
+
+
+@query("SELECT CAST(sum(n) AS BIGINT) AS memberships, count(*) AS urls, max(n) AS most FROM (SELECT regexp_extract(url, '://([^?#]*)', 1) AS u, count(*) AS n FROM pages GROUP BY 1)")
+def url_prevalence(spark, d):
+    return P.prevalence(_t(spark, d, "pages").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("u")), "u")
+
+
+@query(f"SELECT host FROM (SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1) WHERE n % 3 = 0 OR n % 5 = 0")
+def snapshot_validation(spark, d):
+    """Listings whose stated photo count (wrong at multiples of 3) or hash (wrong at multiples of 5) is not that of their photos."""
+    n = F.size("urls")
+    stated = _photo_lists(spark, d).withColumns({"photo_count": F.when(n % 3 == 0, n + 1).otherwise(n), "photo_set_hash": F.when(n % 5 == 0, "other").otherwise(X.set_hash(F.col("urls")))})
+    return stated.filter(snapshot.photo_identity_wrong(F.col("urls"), F.col("photo_count"), F.col("photo_set_hash"))).select("host")

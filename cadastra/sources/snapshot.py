@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadastra.functions import text
+
 SCHEMA_VERSION = 1
 
 
@@ -63,3 +65,8 @@ def reject_if(rows: DataFrame, bad: Column, key: str, what: str) -> None:
 def orphans(events: DataFrame, rows: DataFrame, key: str, other: str) -> DataFrame:
     """Events whose key no row has."""
     return events.join(rows.select(F.col(other).alias(key)), key, "left_anti")
+
+
+def photo_identity_wrong(urls: Column, count: Column, set_hash: Column) -> Column:
+    """True where the number of photos or the order-free hash of their urls is not as stated; no photos have a null hash."""
+    return ~(F.size(urls).eqNullSafe(count) & text.set_hash(urls).eqNullSafe(set_hash))
