@@ -4,8 +4,10 @@ The byte model is a trie of contexts of up to `ORDER` bytes with the counts of w
 texts (those outside the held-out tenth), an end of text included. A byte is coded in the longest context seen; where
 it was never seen there, the model escapes (by the number of distinct followers) to the context that is one byte
 shorter, and excludes from it all followers of the longer one. As the trie is fixed once it is trained, a follower's
-code length depends on its context only, so both are looked up for whole arrays of positions. The trie is kept to
-`NODES` followers per order, those with the largest counts; context that it lacks falls to shorter ones.
+code length depends on it and the `ORDER` bytes before it only (its code). All counts are kept, as tables of one row
+for each code. The `NODES` commonest codes, with their final lengths, are sent to all tasks as a quick path; every
+other code of a text is counted per text and joined with the whole table, or, where training lacks it, with the
+lengths that the shorter orders give. `NODES` has no influence on the result.
 
 The base model counts the words of all training texts. The commonest `HOT_WORDS` are sent to all tasks; every other
 word of a text is joined with the counts, after it has been counted per text.
@@ -22,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.llm.common import crc_mod, map_batches, materialise, sliced
 
 ORDER = 4
-NODES = 400_000
+NODES = 1_000_000
 HOT_WORDS = 60_000
 HELD_OUT_MODULUS = 10
 BLOCK = 1 << 20
@@ -82,69 +84,6 @@ class Table:
         return out
 
 
-class Trie:
-    """counts: for each order from 0, sorted codes (context and follower) and their counts."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.follow, self.contexts, self.log_count, self.stay, self.leave = [], [], [], [], []
-        self.low_stay, self.low_leave = [], []
-        totals, kinds, owners = [], [], []
-        for keys, n in counts:
-            context = keys >> np.uint64(8)
-            own, starts = np.unique(context, return_index=True)
-            total = np.add.reduceat(n, starts) if len(n) else n
-            distinct = np.diff(np.append(starts, len(keys)))
-            self.follow.append(Table(keys))
-            self.contexts.append(Table(own))
-            self.log_count.append(np.log10(n))
-            self.stay.append(np.log10(total + distinct))
-            self.leave.append(np.log10(distinct) - np.log10(total + distinct))
-            totals.append(total)
-            kinds.append(distinct)
-            owners.append((own, starts))
-        for j, (keys, _) in enumerate(counts):
-            if j == 0:
-                # below order 0: all bytes that were never seen, alike
-                rest = max(1, 256 - len(keys))
-                self.low_stay.append(np.array([math.log10(rest)]))
-                self.low_leave.append(np.zeros(1))
-                continue
-            mask = np.uint64((1 << 8 * j) - 1)
-            at = self.follow[j - 1].find(keys & mask)
-            n = np.where(at >= 0, counts[j - 1][1][np.maximum(at, 0)], 0)
-            own, starts = owners[j]
-            up = self.contexts[j - 1].find(own & np.uint64((1 << 8 * (j - 1)) - 1))
-            rest = totals[j - 1][up] - np.add.reduceat(n, starts) if len(own) else own
-            new = kinds[j - 1][up] - np.add.reduceat((at >= 0).astype(np.int64), starts) if len(own) else own
-            with np.errstate(divide="ignore"):
-                self.low_stay.append(np.where(rest + new > 0, np.log10(np.maximum(rest + new, 1)), 0.0))
-                self.low_leave.append(np.where(new > 0, np.log10(np.maximum(new, 1)) - np.log10(np.maximum(rest + new, 1)), 0.0))
-
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of the follower in every code."""
-        out = np.zeros(len(codes))
-        open_ = np.arange(len(codes))
-        above = np.full(len(codes), -1, np.int64)  # the longer context that was left, by its place
-        for j in range(len(self.follow) - 1, -1, -1):
-            if not len(open_):
-                return out
-            key = codes[open_] & np.uint64((1 << 8 * (j + 1)) - 1)
-            hit = self.follow[j].find(key)
-            context = self.contexts[j].find(key >> np.uint64(8))
-            left = above[open_]
-            fresh, seen = left < 0, context >= 0
-            high = min(j + 1, len(self.low_stay) - 1)
-            stay = np.where(fresh, self.stay[j][np.maximum(context, 0)] if len(self.stay[j]) else 0.0, self.low_stay[high][np.maximum(left, 0)] if len(self.low_stay[high]) else 0.0)
-            leave = np.where(fresh, self.leave[j][np.maximum(context, 0)] if len(self.leave[j]) else 0.0, self.low_leave[high][np.maximum(left, 0)] if len(self.low_leave[high]) else 0.0)
-            found = hit >= 0
-            out[open_] += np.where(found, self.log_count[j][np.maximum(hit, 0)] if len(self.log_count[j]) else 0.0, 0.0) - np.where(found, stay, 0.0) + np.where(~found & seen, leave, 0.0)
-            above[open_] = np.where(seen, context, -1)
-            open_ = open_[~found]
-        if len(self.low_stay) and len(open_):
-            out[open_] -= self.low_stay[0][0]
-        return out
-
-
 def count_contexts(texts: DataFrame) -> DataFrame:
     """code, n: every context of ORDER bytes with its follower in texts (text)."""
 
@@ -166,27 +105,72 @@ def count_contexts(texts: DataFrame) -> DataFrame:
     return map_batches(texts, run, "code long, n long", rows=10_000).groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def train_trie(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts of all orders from 0; NODES rows an order at most come to the driver."""
-    counts = materialise(count_contexts(texts))
-    levels = [counts]
+def _suffix(order: int) -> Column:
+    """The code's follower and the last bytes of its context, for a shorter order."""
+    return F.col("code").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+
+
+def train_trie(texts: DataFrame) -> list[DataFrame]:
+    """For each order from 0, all nodes: code, n, and total and kinds of the code's context."""
+    levels: list[DataFrame] = []
+    counts = count_contexts(texts)
+    # at most 256 followers
+    context = Window.partitionBy(F.shiftrightunsigned("code", 8))
+    for _ in range(ORDER + 1):
+        level = materialise(counts.select("code", "n", F.sum("n").over(context).alias("total"), F.count("*").over(context).alias("kinds")))
+        levels.insert(0, level)
+        counts = level.groupBy(_suffix(ORDER - len(levels)).alias("code")).agg(F.sum("n").alias("n"))
+    return levels
+
+
+def hot_codes(nodes: DataFrame) -> tuple[Table, np.ndarray]:
+    """The commonest codes of the longest order and their log10 probabilities; NODES rows at most come to the driver."""
+    size = F.floor(F.log2("n") * 4)
+    by_size = {r.size: r.nodes for r in nodes.groupBy(size.alias("size")).agg(F.count("*").alias("nodes")).collect()}
+    kept, least = 0, 0
+    for found in sorted(by_size, reverse=True):
+        kept += by_size[found]
+        if kept > NODES:
+            least = found + 1
+            break
+    rows = nodes.filter(size >= least).select("code", _stay().alias("p")).toArrow()
+    return Table(rows["code"].to_numpy().astype(np.uint64)), rows["p"].to_numpy()
+
+
+def _stay() -> Column:
+    return F.log10("n") - F.log10(F.col("total") + F.col("kinds"))
+
+
+def escapes(codes: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """code, p: log10 probabilities of distinct codes (code) that the longest order lacks.
+
+    For each order, `fresh` is the probability if the search starts there, `tail` the one of what follows once the
+    order's context is left, and its followers are excluded. A row meets 256 others at most in each join.
+    """
+    first = levels[0].select("total", "kinds").first()
+    total, kinds = (first.total, first.kinds) if first else (0, 0)
+    # below order 0: all bytes that were never seen, alike
+    bottom = -math.log10(max(1, 256 - kinds))
+    leave = math.log10(kinds / (total + kinds)) if kinds else 0.0
+    wanted = [codes]
     for j in range(ORDER - 1, -1, -1):
-        levels.append(levels[-1].groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("code")).agg(F.sum("n").alias("n")))
-    out, least = [], 0
-    for level in reversed(levels):
-        by_size = {r.size: r.nodes for r in level.groupBy(F.floor(F.log2("n") * 4).alias("size")).agg(F.count("*").alias("nodes")).collect()}
-        kept = 0
-        for size in sorted(by_size, reverse=True):
-            kept += by_size[size]
-            if kept > NODES:
-                # a longer order never keeps rarer followers than a shorter one
-                least = max(least, size + 1)
-                break
-        rows = level.filter(F.floor(F.log2("n") * 4) >= least).toPandas()
-        codes, n = rows["code"].to_numpy().astype(np.uint64), rows["n"].to_numpy().astype(np.int64)
-        order = np.argsort(codes)
-        out.append((codes[order], n[order]))
-    return out
+        wanted.insert(0, wanted[0].select(_suffix(j).alias("code")).distinct())
+    below = wanted[0].join(levels[0], "code", "left").select("code", "n", F.coalesce(_stay(), F.lit(leave + bottom)).alias("fresh"), F.lit(bottom).alias("tail"))
+    for j in range(1, ORDER + 1):
+        shorter = levels[j - 1].select(F.col("code").alias("suffix"), F.col("n").alias("low_n"), F.col("total").alias("low_total"), F.col("kinds").alias("low_kinds"))
+        contexts = (
+            levels[j].withColumn("suffix", _suffix(j - 1)).join(shorter, "suffix")
+            .groupBy(F.shiftrightunsigned("code", 8).alias("context"))
+            .agg(F.first("total").alias("total"), F.first("kinds").alias("kinds"), (F.first("low_total") - F.sum("low_n")).alias("rest"), (F.first("low_kinds") - F.count("*")).alias("new"))
+        )
+        held = wanted[j].join(levels[j].select("code", "n"), "code", "left")
+        held = held.select("code", "n", F.shiftrightunsigned("code", 8).alias("context"), _suffix(j - 1).alias("suffix")).join(contexts, "context", "left")
+        held = held.join(below.select(F.col("code").alias("suffix"), F.col("n").alias("below_n"), F.col("fresh").alias("below_fresh"), F.col("tail").alias("below_tail")), "suffix")
+        rest = F.log10(F.col("rest") + F.col("new"))
+        tail = F.when(F.col("below_n").isNotNull(), F.log10("below_n") - rest).otherwise(F.when(F.col("new") > 0, F.log10("new") - rest).otherwise(0.0) + F.col("below_tail"))
+        left = F.log10("kinds") - F.log10(F.col("total") + F.col("kinds")) + F.col("tail")
+        below = held.withColumn("tail", tail).select("code", "n", F.when(F.col("n").isNotNull(), _stay()).when(F.col("total").isNull(), F.col("below_fresh")).otherwise(left).alias("fresh"), "tail")
+    return below.select("code", F.col("fresh").alias("p"))
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -212,20 +196,29 @@ def score(docs: DataFrame) -> DataFrame:
     total, distinct = n_words + ends, kinds + (1 if ends else 0)
     divisor = total + ALPHA * (distinct + 1)
     hot = {bytes(r.word): r.c for r in words.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()}
-    sent_trie = spark.sparkContext.broadcast(train_trie(training))  # NODES an order at most
+    levels = train_trie(training)
+    sent_codes = spark.sparkContext.broadcast(hot_codes(levels[ORDER]))  # NODES at most
     sent_words = spark.sparkContext.broadcast({w: math.log10((c + ALPHA) / divisor) for w, c in hot.items()})  # HOT_WORDS at most
     end_score = math.log10((ends + ALPHA) / divisor)
 
     def hot_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = Trie(sent_trie.value), sent_words.value
+        (table, lengths_of), known = sent_codes.value, sent_words.value
         for batch in sliced(batches):
-            n_tokens, n_known, base, bits = [], [], [], []
+            n_tokens, n_known, base, bits, cold, times = [], [], [], [], [], []
             part, size = [], 0
 
             def flush() -> None:
                 codes, lengths = _codes(part)
-                p = np.concatenate([trie.score(codes[i : i + BLOCK]) for i in range(0, len(codes), BLOCK)])
+                at = np.concatenate([table.find(codes[i : i + BLOCK]) for i in range(0, len(codes), BLOCK)])
+                p = np.where(at >= 0, lengths_of[np.maximum(at, 0)], 0.0) if len(lengths_of) else np.zeros(len(at))
                 bits.extend(np.add.reduceat(p, np.cumsum(lengths) - lengths))
+                # a code has 40 bits, and a slice 2,000 texts
+                missed = np.flatnonzero(at < 0)
+                owner = np.repeat(np.arange(len(part), dtype=np.uint64), lengths)[missed]
+                found, n = np.unique((owner << np.uint64(40)) | codes[missed], return_counts=True)
+                ends_at = np.searchsorted(found, np.arange(1, len(part), dtype=np.uint64) << np.uint64(40))
+                cold.extend(np.split((found & np.uint64((1 << 40) - 1)).astype(np.int64), ends_at))
+                times.extend(np.split(n, ends_at))
                 part.clear()
 
             for text in batch.column("text").to_pylist():
@@ -243,8 +236,8 @@ def score(docs: DataFrame) -> DataFrame:
             if part:
                 flush()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(bits, pa.float64())],
-                ["doc_id", "row_key", "held_out", "n_tokens", "n_known", "base", "score"],
+                [batch.column("doc_id"), batch.column("row_key"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(bits, pa.float64()), pa.array(cold, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
+                ["doc_id", "row_key", "held_out", "n_tokens", "n_known", "base", "bits", "codes", "times"],
             )
 
     def cold_words(batch: dict) -> dict:
@@ -260,7 +253,15 @@ def score(docs: DataFrame) -> DataFrame:
                 first += [1] + [0] * (len(counted) - 1)
         return {"id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "word": pa.array(found, pa.binary()), "times": pa.array(times, pa.int32()), "first": pa.array(first, pa.int32())}
 
-    scored = texts.mapInArrow(hot_part, "doc_id long, row_key long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    scored = materialise(texts.mapInArrow(hot_part, "doc_id long, row_key long, held_out boolean, n_tokens long, n_known long, base double, bits double, codes array<long>, times array<long>"))
+    # all codes of training texts are in the table
+    lacking = materialise(scored.filter("held_out").select(F.explode("codes").alias("code")).distinct().join(levels[ORDER], "code", "left_anti"))
+    lengths_of_codes = levels[ORDER].select("code", _stay().alias("p")).union(escapes(lacking, levels))
+    rare_codes = scored.select("doc_id", "row_key", F.posexplode(F.arrays_zip("codes", "times")).alias("pos", "item")).select(
+        F.col("doc_id").alias("code_id"), F.col("row_key").alias("code_key"), F.col("item.codes").alias("code"), F.col("item.times").alias("times"), (F.col("pos") == 0).cast("int").alias("first")
+    )
+    # rows that repeat id and text add up alike, as below
+    cold_codes = rare_codes.join(lengths_of_codes, "code").groupBy("code_id", "code_key").agg((F.sum(F.col("times") * F.col("p")) / F.sum("first")).alias("more_bits"))
     rare = map_batches(texts.select("doc_id", "row_key", "text"), cold_words, "id long, key long, word binary, times int, first int")
     c = F.coalesce("c", F.lit(0))
     # rows that repeat id and text add up alike: their number is the sum of first
@@ -270,6 +271,7 @@ def score(docs: DataFrame) -> DataFrame:
         .agg((F.sum(F.col("times") * F.log10((c + F.lit(ALPHA)) / F.lit(divisor))) / F.sum("first")).alias("more"), (F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)) / F.sum("first")).alias("known"))
     )
     joined = scored.join(cold, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")), "left")
+    joined = joined.join(cold_codes, F.col("doc_id").eqNullSafe(F.col("code_id")) & (F.col("row_key") == F.col("code_key")), "left")
     return joined.select(
         "doc_id",
         "held_out",
@@ -277,5 +279,5 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("bits") + F.coalesce("more_bits", F.lit(0.0))).alias("score"),
     )

@@ -158,6 +158,21 @@ def test_ppm_equals_a_slow_trie(spark):
     assert lm_scoring.score(empty(docs)).count() == 0
 
 
+def test_ppm_does_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [(i, "".join(rng.choice(list("abcd \u00fc"), int(rng.integers(0, 90))))) for i in range(80)] + [(None, "\u6f22\u5b57 ab"), (None, "\u6f22\u5b57 ab"), (3, "zz top")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def scores():
+        return sorted(((r.doc_id or -1, r.n_tokens, r.score) for r in lm_scoring.score(docs).collect()))
+
+    whole = scores()
+    for nodes in (0, 60):
+        monkeypatch.setattr(lm_scoring, "NODES", nodes)
+        for got, want in zip(scores(), whole, strict=True):
+            assert got == pytest.approx(want)
+
+
 def test_mixing_keeps_budgets_and_all_rows(spark, edge):
     docs = spark.createDataFrame([(i, "w " * (i % 9 + 1), ["en", "de"][i % 2], f"src{i % 5}") for i in range(400)], "doc_id long, text string, lang string, source string")
     out = mixing.mix(docs).collect()
