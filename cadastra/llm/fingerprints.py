@@ -3,8 +3,8 @@
 A document's symbols are its lower-cased words. A k-mer is five words; its inner substrings are two words long. The
 k-mer is chosen if the smallest hash among its inner substrings is that of the first or the last (a closed syncmer), a
 choice that depends on the k-mer alone, so equal passages give equal anchors wherever they stand. The fingerprint is
-the `SKETCH` smallest distinct anchor hashes, a sample of the whole text's anchors that any two documents can be
-compared by: likeness is the share of the smallest hashes of both that both have (an estimate of the Jaccard index).
+all of the text's anchor hashes in order of position, so that of a passage is part of that of any text that holds it.
+Likeness is the Jaccard index of the sets of all anchors of both.
 
 Expressions work on one array per document, never on exploded rows. The next document is found without a global sort:
 ids fall into ranges of about `RANGE_ROWS` documents, a window looks ahead inside a range, and only the last row of
@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K_WORDS = 5
-SKETCH = 64
 RANGE_ROWS = 512
 HEADS = 1024
 
@@ -55,18 +54,13 @@ def anchors(text: Column) -> Column:
     return let(_words(text), chosen)
 
 
-def sketch(text: Column) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(anchors(text))), 1, SKETCH)
-
-
 def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    smallest = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    both = let(smallest, lambda u: F.size(F.array_intersect(F.array_intersect(a, b), u)) / F.size(u))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.coalesce(both, F.lit(0.0)))
+    both = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both)
 
 
 def with_next(docs: DataFrame, value: Column) -> DataFrame:
@@ -96,14 +90,13 @@ def with_next(docs: DataFrame, value: Column) -> DataFrame:
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """The fingerprint of each document and of its text with the second half taken from the next document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    value = F.struct(F.col("text").alias("text"), sketch(F.col("text")).alias("print"))
-    n = F.length("value.text")
+    n = F.length("value")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("value.text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
+    edited = F.concat(F.substring(F.col("value"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
     return (
-        with_next(texts, value)
-        .select("doc_id", F.col("value.print").alias("print"), F.col("next.print").alias("next_print"), n.cast("long").alias("n_chars"), edited.alias("edited"))
-        .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "print", "next_print", sketch(F.col("edited")).alias("edited_print"))
+        with_next(texts, F.col("text"))
+        .select("doc_id", anchors(F.col("value")).alias("print"), anchors(F.col("next")).alias("next_print"), n.cast("long").alias("n_chars"), edited.alias("edited"))
+        .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "print", "next_print", anchors(F.col("edited")).alias("edited_print"))
         .select(
             "doc_id",
             "n_chars",

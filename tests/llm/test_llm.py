@@ -85,6 +85,20 @@ def test_fingerprints_follow_edits(edge):
     assert fingerprints.fingerprint_edits(empty(edge)).count() == 0
 
 
+def test_fingerprints_hold_all_anchors_in_order(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in rng.permutation(6000)]
+    passage = words[:50]
+    texts = [passage, words[100:2000] + passage + words[2000:2500], words[3000:3400] + passage + words[3400:5900]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs).collect()}
+    parts = [[out[i].fingerprint[p : p + 8] for p in range(0, len(out[i].fingerprint), 8)] for i in range(3)]
+    assert all(out[0].fingerprint in out[i].fingerprint for i in (1, 2)) and len(parts[1]) > 800
+    for i in range(3):
+        a, b = set(parts[i]), set(parts[(i + 1) % 3])
+        assert a & b and out[i].near_next == pytest.approx(len(a & b) / len(a | b))
+
+
 def brute_components(rows):
     sets = []
     for doc_id, text in rows:
