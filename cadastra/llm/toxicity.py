@@ -1,7 +1,7 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
 Training takes labelled rows outside the held-out quarter, at most `SAMPLE` of each class (those of smallest id hash;
-copies by their opening count once). Three parts in four of them give the dictionaries, the others the calibration.
+copies of a whole text count once). Three parts in four of them give the dictionaries, the others the calibration.
 The toxic dictionary holds the words that stand out in toxic text, the ordinary one the commonest of the rest, each
 word written `REPEAT` times. A window is one distinct word of the text, written likewise: a window that its dictionary
 knows whole costs one match, another one costs its letters first. The difference of both compressed lengths is the
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import crc_mod, map_batches, sliced
+from cadastra.llm.common import crc_mod, map_batches, materialise, sliced
 
 #: At most so many labelled rows of each class are learned from.
 SAMPLE = 6000
@@ -106,8 +106,9 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     chosen = known.filter("toxic <> 0").orderBy(order, "doc_id").limit(SAMPLE).union(known.filter("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE))
     calibrates = (crc_mod(F.col("doc_id"), HELD_OUT_MODULUS) == 3).alias("calibrates")
     # at most 2 * SAMPLE ids
-    rows = docs.select("doc_id", "text").filter("text <> ''").join(F.broadcast(chosen), "doc_id").select("text", "toxic", calibrates, F.substring("text", 1, 48).alias("opening"))
-    rows = rows.dropDuplicates(["toxic", "calibrates", "opening"]).drop("opening")
+    rows = docs.select("doc_id", "text").filter("text <> ''").join(F.broadcast(chosen), "doc_id").select("text", "toxic", calibrates)
+    # rows of one group have the same text
+    rows = materialise(rows.groupBy("toxic", "calibrates", F.sha2("text", 256).alias("whole")).agg(F.first("text").alias("text")).drop("whole"))
 
     def spread(batch: dict) -> dict:
         toxic, words = [], []

@@ -58,6 +58,17 @@ def test_toxicity_learns_words_and_scores_edges(spark, edge):
     assert "curve" not in toxicity.train(docs, docs.select("doc_id", F.lit(0).alias("toxic")))
 
 
+def test_toxicity_keeps_texts_with_one_opening(spark):
+    header = "all pages of this source open with one and the same header: "
+    rng = np.random.default_rng(2)
+    rows = [(i, header + " ".join(f"word{x}" for x in rng.integers(300, size=30)) + (f" scumbag{i % 5}" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    out = toxicity.score(docs, model).filter("held_out").collect()
+    assert {r.predicted for r in out} == {0, 1}
+    assert np.mean([(r.predicted == 1) == (r.toxic == 1) for r in out]) > 0.95
+
+
 def test_url_rules_longest_wins_and_hosts_fit_subdomains(spark):
     urls = ["HTTP://A.Example.ORG/es/1", "http://example.org/en/12?x", "http://x.org", "http://x.com/fr/1", "http://x.com/de/#a", "http://notorg/", None, "no scheme", "http://x.org/a#b"]
     df = spark.createDataFrame([(i, u, "extra") for i, u in enumerate(urls)], "page_id int, url string, template_ string")
