@@ -17,12 +17,15 @@ any label all urls are allowed. Repeated rows count each. An empty table gives a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadastra.llm.common import materialise
+
 #: The contract's rules: (rule, verdict).
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-DEPTH = 4
 MANY_CHILDREN = 20
 FEW_URLS = 3
 SMOOTHING = 5
@@ -50,27 +53,30 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def segments_of(path: Column) -> Column:
-    """The first DEPTH segments, lexically generalised: digits become #, long hexadecimal strings and what follows *."""
-    plain = F.slice(F.split(F.substring(path, 2, 2_000_000), "/"), 1, DEPTH)
+    """All segments, lexically generalised: digits become #, long hexadecimal strings and what follows *."""
+    plain = F.split(F.substring(path, 2, 2**31 - 1), "/")
     return F.transform(plain, lambda s: F.regexp_replace(F.regexp_replace(s, "^[0-9a-fA-F-]{16,}$", "*"), "[0-9]+", "#"))
 
 
 def _generalise(shapes: DataFrame) -> DataFrame:
-    """shapes (host, segments, n, labelled, allowed) with template: segments where variable ones became *."""
-    out = shapes.withColumn("template", F.lit(""))
-    for depth in range(DEPTH):
-        out = out.withColumn("segment", F.get("segments", F.lit(depth)))
-        children = out.filter("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("urls"))
-        varying = children.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("urls").alias("urls")).filter(
-            (F.col("children") > MANY_CHILDREN) & (F.col("urls") < F.col("children") * FEW_URLS)
-        ).select("host", "template", F.lit(True).alias("varies"))
-        out = (
-            out.join(varying, ["host", "template"], "left")
-            .withColumn("next", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("varies"), F.lit("*")).otherwise(F.col("segment")))))
-            .drop("template", "varies", "segment")
-            .withColumnRenamed("next", "template")
-        )
-    return out
+    """shapes (host, segments, n, labelled, allowed) with template: segments where variable ones became *.
+
+    Level by level, until no prefix has more than MANY_CHILDREN shapes that go on: below such a prefix nothing can vary.
+    """
+    open_, closed, depth = shapes.withColumn("template", F.lit("")), [], 0
+    while True:
+        segment = F.get("segments", F.lit(depth))
+        children = open_.withColumn("segment", segment).filter("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("urls"), F.count("*").alias("shapes"))
+        going = children.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("urls").alias("urls"), F.sum("shapes").alias("shapes")).filter(F.col("shapes") > MANY_CHILDREN)
+        going = going.select("host", "template", ((F.col("children") > MANY_CHILDREN) & (F.col("urls") < F.col("children") * FEW_URLS)).alias("varies"))
+        goes_on = F.col("varies").isNotNull() & segment.isNotNull()
+        rest = F.array_join(F.transform(F.slice("segments", depth + 1, F.greatest(F.size("segments") - depth, F.lit(0))), lambda s: F.concat(F.lit("/"), s)), "")
+        following = F.when(goes_on, F.concat("template", F.lit("/"), F.when(F.col("varies"), F.lit("*")).otherwise(segment))).otherwise(F.concat("template", rest))
+        step = materialise(open_.join(going, ["host", "template"], "left").withColumns({"goes_on": goes_on, "template": following}).drop("varies"))
+        closed.append(step.filter("not goes_on").select(*shapes.columns, "template"))
+        open_, depth = step.filter("goes_on").select(*shapes.columns, "template"), depth + 1
+        if open_.isEmpty():
+            return reduce(DataFrame.union, closed)
 
 
 def judge(urls: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -81,6 +87,7 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFr
     shapes = named.groupBy("host", F.col("__segments").alias("segments")).agg(
         F.count("*").alias("n"), F.count("__rule").alias("labelled"), F.count_if(F.col("__rule.verdict") == "allow").alias("allowed")
     )
+    shapes = materialise(shapes)
     leaves = _generalise(shapes)
     branch = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("allowed").alias("allowed"))
     branch = branch.withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))

@@ -82,6 +82,17 @@ def test_url_rules_longest_wins_and_hosts_fit_subdomains(spark):
     assert url_filters.judge(empty(df)).count() == 0
 
 
+def test_url_branches_below_the_fourth_segment_stand_apart(spark):
+    rules = [("x.com/a/b/c/d/good/1", "allow"), ("x.com/a/b/c/d/bad/1", "block")]
+    urls = [f"http://x.com/a/b/c/d/{kind}/{n}{i}.html" for kind in ("good", "bad") for n in (1, 2) for i in range(40)]
+    urls += [f"http://y.com/{'p/' * 9}{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(60)] + ["http://z.com/" + "/".join(["q"] * 400)]
+    out = {r.url: r for r in url_filters.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    assert len(out) == len(urls)
+    assert all(r.verdict == ("block" if "/bad/" in u else "allow") for u, r in out.items() if "x.com" in u)
+    assert {r.template for u, r in out.items() if "y.com" in u} == {"/p" * 9 + "/*"}
+    assert {r.template for u, r in out.items() if "z.com" in u} == {"/q" * 400}
+
+
 def test_fingerprints_follow_edits(edge):
     rows = fingerprints.fingerprint_edits(edge).collect()
     source = sorted(((r.doc_id, r.text or "") for r in edge.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
