@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of this machine only where the setting is absent (tests)."""
+    """The cluster's checkpoint folder. Where the setting is absent and Spark runs inside this process, a folder of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "cadastra-checkpoints")
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "cadastra-checkpoints")
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -35,6 +37,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs with all columns but the needed ones under names that no operator uses; `unshielded` gives the names back."""
+    return docs.select(*(F.col(f"`{c}`") if c in needed else F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(docs.columns)))
+
+
+def unshielded(df: DataFrame, columns: list[str], *needed: str) -> DataFrame:
+    """The columns of docs, by their own names, from what an operator made of shielded(docs)."""
+    return df.select(*(F.col(f"`{c}`") if c in needed else F.col(f"__in_{i}").alias(c) for i, c in enumerate(columns)))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most so many rows: a worker's Python objects stay small."""
     for batch in batches:

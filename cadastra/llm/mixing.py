@@ -9,9 +9,11 @@ A leaf's documents are dealt in epochs, each ordered by a seeded hash of epoch a
 epochs as its budget holds and, of the next, the longest prefix whose tokens fit. The prefix is found without sorting
 a leaf: 4,096 hash buckets are summed per leaf, one bucket holds the cut, and only that bucket's rows are ordered.
 
-Defined cases: a null source or language is a leaf of its own ("?"). Null text has no tokens; documents without tokens
-cost nothing. Rows that repeat a doc_id with equal token counts stand or fall together. An empty table gives an empty
-result. Weights not named count as 1.
+Defined cases: a null source or language is a leaf of its own ("?"); so is the domain of a source without a number, or
+with one beyond 32 bits. Null text has no tokens; documents without tokens cost nothing. Rows that repeat a doc_id with
+equal token counts stand or fall together; ties of the seeded hash go to the smaller doc_id, a null id first. An empty
+table gives an empty result. Weights not named count as 1. Columns of the input called leaf, n_tokens or copies are
+replaced by the result's; all others stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadastra.llm.common import materialise
+
 SEED = "mix-1"
 MAX_EPOCHS = 3
 #: The share of all tokens that the mixture holds.
@@ -29,7 +33,7 @@ BUCKET_HEX = 3
 #: Plans of at most so many leaves are sent to all executors; larger ones are joined by a shuffle.
 BROADCAST_LEAVES = 10_000
 
-DOMAIN_SQL = "CASE CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'news' WHEN 3 THEN 'wiki' END"
+DOMAIN_SQL = "CASE TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'news' WHEN 3 THEN 'wiki' END"
 
 
 def _weights(column: str, weights: dict[str, int]) -> str:
@@ -53,27 +57,43 @@ def _fill(name: str, children: str, parents: str, on: str, divide: str) -> str:
     FROM {name}_full f JOIN {name}_left l ON l.parent = f.parent)"""
 
 
+_LEAVES_SQL = f"""SELECT domain, lang, source, tokens, tokens * {MAX_EPOCHS} AS cap, {_weights("lang", LANG_WEIGHTS)} AS lang_w, {_weights("domain", DOMAIN_WEIGHTS)} AS domain_w,
+    concat(domain, '/', lang) AS branch, concat(domain, '/', lang, '/', source) AS leaf FROM {{leaves}}"""
+_ROOT_SQL = "SELECT 'root' AS child, CAST({total} AS BIGINT) AS budget FROM {leaf}"
+#: Children of each level, from the root down.
+_LEVELS_SQL = [
+    "SELECT 'root' AS parent, domain AS child, CAST(SUM(cap) AS BIGINT) AS cap, MAX(domain_w) AS w FROM {leaf} GROUP BY domain",
+    "SELECT domain AS parent, branch AS child, CAST(SUM(cap) AS BIGINT) AS cap, MAX(lang_w) AS w FROM {leaf} GROUP BY domain, branch",
+    "SELECT branch AS parent, leaf AS child, cap, 1 AS w FROM {leaf}",
+]
+_EPOCHS_SQL = """SELECT l.leaf, l.tokens, b.budget, CAST(CASE WHEN l.tokens = 0 THEN 0 ELSE {epochs} END AS BIGINT) AS epochs
+FROM {leaf} l JOIN {by_source} b ON b.child = l.leaf"""
+
+
 def plan_sql(leaves: str, divide: str) -> str:
-    """Leaf budgets. leaves: domain, lang, source, tokens; divide: whole-number division of {a} by {b}."""
+    """Leaf budgets as one query. leaves: domain, lang, source, tokens; divide: whole-number division of {a} by {b}."""
+    domains, branches, sources = (level.format(leaf="leaf") for level in _LEVELS_SQL)
     return f"""
-WITH leaf AS (
-    SELECT domain, lang, source, tokens, tokens * {MAX_EPOCHS} AS cap, {_weights("lang", LANG_WEIGHTS)} AS lang_w, {_weights("domain", DOMAIN_WEIGHTS)} AS domain_w,
-        concat(domain, '/', lang) AS branch, concat(domain, '/', lang, '/', source) AS leaf FROM {leaves}),
-root AS (SELECT 'root' AS child, CAST({divide.format(a=f"SUM(tokens) * {BUDGET[0]}", b=str(BUDGET[1]))} AS BIGINT) AS budget FROM leaf),
-domains AS (SELECT 'root' AS parent, domain AS child, CAST(SUM(cap) AS BIGINT) AS cap, MAX(domain_w) AS w FROM leaf GROUP BY domain),
-branches AS (SELECT domain AS parent, branch AS child, CAST(SUM(cap) AS BIGINT) AS cap, MAX(lang_w) AS w FROM leaf GROUP BY domain, branch),
-sources AS (SELECT branch AS parent, leaf AS child, cap, 1 AS w FROM leaf),
+WITH leaf AS ({_LEAVES_SQL.format(leaves=leaves)}),
+root AS ({_ROOT_SQL.format(leaf="leaf", total=divide.format(a=f"SUM(tokens) * {BUDGET[0]}", b=str(BUDGET[1])))}),
+domains AS ({domains}),
+branches AS ({branches}),
+sources AS ({sources}),
 {_fill("by_domain", "domains", "root", "child", divide)},
 {_fill("by_branch", "branches", "by_domain", "child", divide)},
 {_fill("by_source", "sources", "by_branch", "child", divide)}
-SELECT l.leaf, l.tokens, b.budget,
-    CAST(CASE WHEN l.tokens = 0 THEN 0 ELSE {divide.format(a="b.budget", b="CASE WHEN l.tokens = 0 THEN 1 ELSE l.tokens END")} END AS BIGINT) AS epochs
-FROM leaf l JOIN by_source b ON b.child = l.leaf"""
+{_EPOCHS_SQL.format(leaf="leaf", by_source="by_source", epochs=divide.format(a="b.budget", b="CASE WHEN l.tokens = 0 THEN 1 ELSE l.tokens END"))}"""
 
 
 def budgets(leaves: DataFrame) -> DataFrame:
-    """leaf, tokens, budget, epochs (whole ones) of leaves: domain, lang, source, tokens."""
-    return leaves.sparkSession.sql(plan_sql("{leaves}", "({a}) div ({b})"), leaves=leaves)
+    """leaf, tokens, budget, epochs (whole ones) of leaves: domain, lang, source, tokens. Each level of the tree is written once."""
+    spark, divide = leaves.sparkSession, "({a}) div ({b})"
+    leaf = materialise(spark.sql(_LEAVES_SQL.format(leaves="{leaves}"), leaves=leaves))
+    above = spark.sql("SELECT * FROM (" + _ROOT_SQL.format(leaf="{leaf}", total=divide.format(a=f"SUM(tokens) * {BUDGET[0]}", b=str(BUDGET[1]))) + ")", leaf=leaf)
+    for children in _LEVELS_SQL:
+        level = spark.sql(children.format(leaf="{leaf}"), leaf=leaf)
+        above = materialise(spark.sql("WITH " + _fill("filled", "{children}", "{parents}", "child", divide) + " SELECT child, budget FROM filled", children=level, parents=above))
+    return spark.sql(_EPOCHS_SQL.format(leaf="{leaf}", by_source="{by_source}", epochs=divide.format(a="b.budget", b="CASE WHEN l.tokens = 0 THEN 1 ELSE l.tokens END")), leaf=leaf, by_source=above)
 
 
 def _key(epochs: Column, doc_id: Column) -> Column:
@@ -84,38 +104,37 @@ def mix(docs: DataFrame) -> DataFrame:
     """docs with leaf, n_tokens and copies (how often the mixture holds the row; 0: not at all) added."""
     named = docs.withColumns(
         {
-            "__domain": F.coalesce(F.expr(DOMAIN_SQL), F.lit("?")),
-            "__lang": F.coalesce("lang", F.lit("?")),
-            "__source": F.coalesce("source", F.lit("?")),
-            "n_tokens": F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long"),
+            "__mix_domain": F.coalesce(F.expr(DOMAIN_SQL), F.lit("?")),
+            "__mix_lang": F.coalesce("lang", F.lit("?")),
+            "__mix_source": F.coalesce("source", F.lit("?")),
+            "__mix_n": F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long"),
         }
-    ).withColumn("leaf", F.concat_ws("/", "__domain", "__lang", "__source"))
-    leaves = named.groupBy(F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source")).agg(F.sum("n_tokens").alias("tokens"))
-    plan = budgets(leaves).select("leaf", "epochs", (F.col("budget") - F.col("epochs") * F.col("tokens")).alias("spare"))
+    ).withColumn("__mix_leaf", F.concat_ws("/", "__mix_domain", "__mix_lang", "__mix_source"))
+    counted = materialise(named.select("doc_id", *(F.col(f"__mix_{c}").alias(c) for c in ("domain", "lang", "source", "leaf", "n"))))
+    leaves = counted.groupBy("domain", "lang", "source").agg(F.sum("n").alias("tokens"))
+    plan = materialise(budgets(leaves).select("leaf", "epochs", (F.col("budget") - F.col("epochs") * F.col("tokens")).alias("spare")))
+    few = plan.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
 
     def sent(small: DataFrame) -> DataFrame:
         return F.broadcast(small) if few else small
 
-    few = leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
-    if few:
-        # a handful of rows: computed once
-        spark = docs.sparkSession
-        plan = spark.createDataFrame(plan.collect(), plan.schema)
-    ordered = named.select("doc_id", "n_tokens", "leaf").join(sent(plan), "leaf").withColumn("key", _key(F.col("epochs"), F.col("doc_id")))
+    no_id = F.coalesce("doc_id", F.lit(-(2**63)))
+    ordered = counted.select("doc_id", "n", "leaf").join(sent(plan), "leaf").withColumn("key", _key(F.col("epochs"), F.col("doc_id")))
     ordered = ordered.withColumn("bucket", F.substring("key", 1, BUCKET_HEX))
-    sums = ordered.groupBy("leaf", "bucket", "spare").agg(F.sum("n_tokens").alias("tokens"))
+    sums = ordered.groupBy("leaf", "bucket", "spare").agg(F.sum("n").alias("tokens"))
     running = sums.withColumn("upto", F.sum("tokens").over(Window.partitionBy("leaf").orderBy("bucket")))
-    at = running.filter(F.col("upto") > F.col("spare")).groupBy("leaf").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("before"))).alias("at")).select("leaf", "at.*")
-    place = ["key", F.coalesce("doc_id", F.lit(-(2**63))), "n_tokens"]
-    inside = ordered.join(sent(at), ["leaf", "bucket"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy("leaf").orderBy(*place)))
-    cuts = inside.filter(F.col("upto") <= F.col("spare")).groupBy("leaf").agg(F.max(F.struct(F.col("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.col("n_tokens").alias("n"))).alias("cut"))
-    limits = plan.join(at.select("leaf", F.col("bucket").alias("at_bucket")), "leaf", "left").join(cuts, "leaf", "left").drop("spare")
-    if few:
-        limits = spark.createDataFrame(limits.collect(), limits.schema)
-    key = _key(F.col("epochs"), F.col("doc_id"))
-    mine = F.struct(key.alias("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.col("n_tokens").alias("n"))
-    taken = F.col("at_bucket").isNull() | (F.substring(key, 1, BUCKET_HEX) < F.col("at_bucket")) | F.coalesce(mine <= F.col("cut"), F.lit(False))
-    return named.join(sent(limits), "leaf").withColumn("copies", F.col("epochs") + taken.cast("long")).drop("__domain", "__lang", "__source", "epochs", "at_bucket", "cut")
+    at = materialise(running.filter(F.col("upto") > F.col("spare")).groupBy("leaf").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("before"))).alias("at")).select("leaf", "at.*"))
+    inside = ordered.join(sent(at), ["leaf", "bucket"]).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("leaf").orderBy("key", no_id, "n")))
+    cuts = inside.filter(F.col("upto") <= F.col("spare")).groupBy("leaf").agg(F.max(F.struct("key", no_id.alias("id"), "n")).alias("cut"))
+    limits = plan.join(at.select("leaf", F.col("bucket").alias("at_bucket")), "leaf", "left").join(cuts, "leaf", "left")
+    limits = materialise(limits.select(F.col("leaf").alias("__mix_leaf"), F.struct("epochs", "at_bucket", "cut").alias("__mix")))
+    epochs, at_bucket, cut = (F.col(f"__mix.{c}") for c in ("epochs", "at_bucket", "cut"))
+    key = _key(epochs, F.col("doc_id"))
+    mine = F.struct(key.alias("key"), no_id.alias("id"), F.col("__mix_n").alias("n"))
+    taken = at_bucket.isNull() | (F.substring(key, 1, BUCKET_HEX) < at_bucket) | F.coalesce(mine <= cut, F.lit(False))
+    dealt = named.join(sent(limits), "__mix_leaf").withColumn("__mix_copies", epochs + taken.cast("long"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("leaf", "n_tokens", "copies")]
+    return dealt.select(*kept, F.col("__mix_leaf").alias("leaf"), F.col("__mix_n").alias("n_tokens"), F.col("__mix_copies").alias("copies"))
 
 
 ORACLE_TEMPLATE = f"""
