@@ -10,8 +10,9 @@ pre-aggregated; the join with the shared lines spreads
 each line over several keys, and adaptive execution can split it further.
 
 Defined cases: null text equals empty text. Rows that repeat a doc_id count as one document; each row is returned. A
-null doc_id never counts as a document and so keeps no shared line. An empty table gives an empty result. Other
-columns of the input are carried by `dedup_lines` untouched.
+null doc_id never counts as a document and so keeps no shared line. Ties do not arise: the largest doc_id is one
+document. An empty table gives an empty result. Columns of the input called n_lines or n_dropped are replaced by the
+result's; all others are carried by `dedup_lines` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import SPACE, map_batches
+from cadastra.llm.common import SPACE, map_batches, materialise
 
 _SPACE = SPACE.encode()
 #: Rows of a shared line are spread over so many keys.
@@ -52,26 +53,26 @@ def line_hashes(docs: DataFrame, min_chars: int = 40) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """docs with text replaced by its kept lines, and n_lines, n_dropped (long) added; other columns stay."""
-    lines = line_hashes(docs, min_chars)
+    lines = materialise(line_hashes(docs, min_chars))
     shared = lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("in_docs"), F.max("doc_id").alias("keeper")).filter(F.col("in_docs") >= min_docs).drop("in_docs")
     shared = shared.withColumn("salt", F.explode(F.array([F.lit(i).cast("long") for i in range(SALTS)])))
     dropped = (
         lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS))).join(shared, ["h1", "h2", "salt"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row"))
-        .agg(F.collect_set("pos").alias("__drop"))
+        .groupBy(F.col("doc_id").alias("__line_id"), F.col("row_hash").alias("__line_row"))
+        .agg(F.collect_set("pos").alias("__line_drop"))
     )
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    joined = keyed.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")), "left")
+    keyed = docs.withColumn("__line_key", F.xxhash64("text"))
+    joined = keyed.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("__line_id")) & (F.col("__line_key") == F.col("__line_row")), "left")
     lines_of = F.split(text, "\n")
     # array_except works by a hash set, so a long text with many dropped lines stays linear
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), F.col("__drop"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), F.col("__line_drop"))
     kept_text = F.transform(F.array(lines_of), lambda all_lines: F.array_join(F.transform(kept, lambda i: F.get(all_lines, i)), "\n"))[0]
     return joined.withColumns(
         {
             "n_lines": (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long"),
-            "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("__drop").isNull(), text).otherwise(kept_text),
+            "n_dropped": F.coalesce(F.size("__line_drop"), F.lit(0)).cast("long"),
+            "text": F.when(F.col("__line_drop").isNull(), text).otherwise(kept_text),
         }
-    ).drop("__key", "__id", "__row", "__drop")
+    ).drop("__line_key", "__line_id", "__line_row", "__line_drop")
