@@ -10,15 +10,19 @@ set's size and the smallest doc_id that links reach from it.
 2. Adaptive multi-match prefixes: overlap o is needed with any partner, so the first n - o + l shingles of two linked
    sets share l. Each document takes the l of least estimated cost (its prefix's expected postings against their
    number) and a pair must share the smaller of both l.
-3. Equal sets become one vertex. Two rounds of candidates: first each prefix shingle's documents against the one among
+3. Equal texts become one vertex (their smallest doc_id). Two rounds of candidates: first each prefix shingle's documents against the one among
    them with the fewest rare shingles, which joins large groups of near copies without listing their pairs; then all
    pairs of different components so far. Positions in the order and parity signatures bound the overlap, exactly, and
    cut pairs in the join itself.
 4. Candidates are verified on whole texts; components come from minimum labels with pointer jumping.
 
+Shingles of about `HOT` documents or more are known from the counts; their documents are counted and compared by a
+pre-aggregation and a join that Spark may split, those of others by one window.
+
 Defined cases: null, empty and white-space texts have no shingles and link with nothing. Rows that repeat a doc_id are
-texts of one document, and each row is returned. A row with a null doc_id takes the component of an equal text, else
-null. An empty table gives an empty result.
+texts of one document: whatever links to one of them links to all, and each row is returned. A row with a null doc_id
+takes the component of an equal text, else null. Equally similar pairs all link, there are no ties to break. Other
+columns of docs play no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ SKETCH_MAX = 1 << 26
 #: Counted hashes in one merge group, about.
 GROUP_HASHES = 4_000_000
 CANDIDATE_BITS = 1 << 24
+#: Shingles of so high a level (4,096 documents, about) are grouped in two steps.
+HOT = 12
 #: 64-bit words of a set's parity signature.
 SIGNATURE = 8
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -119,8 +125,8 @@ def _count_levels(texts: DataFrame, chars: int) -> tuple[np.ndarray, int]:
     return table, bits
 
 
-def prefix(h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """The set's prefix in the global order, its l, and how many of its shingles are rare (level under 2)."""
+def prefix(h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int, int, int]:
+    """The set's prefix in the global order, its l, how many of its shingles are rare (level under 2), and where in the prefix the hot ones begin."""
     n, need = len(h), least_overlap(len(h))
     order = np.lexsort((h, levels))
     expected = np.cumsum((1 << levels[order].astype(np.int64)) - 1)
@@ -130,7 +136,8 @@ def prefix(h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int, int]:
         cost = expected[size - 1] / candidate + size / 8
         if best is None or cost < best:
             best, matches = cost, candidate
-    return h[order[: n - need + matches]], matches, int((levels < 2).sum())
+    chosen = order[: n - need + matches]
+    return h[chosen], matches, int((levels < 2).sum()), int((levels[chosen] < HOT).sum())
 
 
 def _prefixes(texts: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
@@ -139,26 +146,27 @@ def _prefixes(texts: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = sent.value
         for batch in sliced(batches):
-            c1, c2, size, match, rare, tokens, parity = [], [], [], [], [], [], []
+            c1, c2, size, match, rare, hot, tokens, parity = [], [], [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 h = shingles(words)
                 key = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)
-                first, m, r = prefix(h, levels[h >> np.uint64(64 - bits)]) if len(h) else (h, 0, 0)
+                first, m, r, from_ = prefix(h, levels[h >> np.uint64(64 - bits)]) if len(h) else (h, 0, 0, 0)
                 c1.append(key[0])
                 c2.append(key[1])
                 size.append(len(h))
                 match.append(m)
                 rare.append(r)
+                hot.append(from_)
                 tokens.append(first.view(np.int64))
                 odd = np.bincount((h & np.uint64(64 * SIGNATURE - 1)).astype(np.int64), minlength=64 * SIGNATURE) & 1
                 parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(size, pa.int64()), pa.array(match, pa.int32()), pa.array(rare, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
-                ["doc_id", "c1", "c2", "n", "match", "rare", "tokens", "parity"],
+                [batch.column("doc_id"), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(size, pa.int64()), pa.array(match, pa.int32()), pa.array(rare, pa.int32()), pa.array(hot, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
+                ["doc_id", "c1", "c2", "n", "match", "rare", "hot", "tokens", "parity"],
             )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, c1 long, c2 long, n long, match int, rare int, tokens array<bigint>, parity array<bigint>")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, c1 long, c2 long, n long, match int, rare int, hot int, tokens array<bigint>, parity array<bigint>")
 
 
 def _may_link(a: str, b: str):
@@ -242,34 +250,55 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     table, bits = _count_levels(texts, chars)
     sets = materialise(_prefixes(texts, table, bits))
-    classes = sets.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
-    copies = sets.filter("n > 0").join(classes.filter("members > 1"), ["c1", "c2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("copy"), F.col("c1").alias("k1"), F.col("c2").alias("k2"))
-    firsts = sets.filter("n > 0 and doc_id is not null").join(copies, (F.col("doc_id") == F.col("copy")) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left_anti")
-    posted = firsts.select(F.col("doc_id").alias("id"), "n", "match", "rare", F.posexplode("tokens").alias("at", "token"))
+    whole = sets.filter("n > 0")
+    classes = materialise(whole.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
+    own = [F.col("doc_id").alias("copy"), F.col("c1").alias("k1"), F.col("c2").alias("k2")]
+    again = materialise(whole.join(classes.filter("members > 1"), ["c1", "c2"]).groupBy(*own).agg(F.first(F.col("doc_id").eqNullSafe(F.col("rep"))).alias("is_rep"), F.count("*").alias("times")))
+    repeated = not again.filter("is_rep and times > 1").isEmpty()
+
+    def firsts(rows: DataFrame) -> DataFrame:
+        """One row of each class: that of its smallest doc_id."""
+        marked = rows.filter("doc_id is not null").join(again, (F.col("doc_id") == F.col("copy")) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
+        once = marked.filter("copy is null or (is_rep and times = 1)").select(*rows.columns)
+        return once.union(marked.filter("is_rep and times > 1").select(*rows.columns).dropDuplicates(["doc_id", "c1", "c2"])) if repeated else once
+
+    # a doc_id with several texts joins their classes
+    several = whole.filter("doc_id is not null").join(classes, ["c1", "c2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high"), F.collect_set("rep").alias("reps"))
+    several = several.filter("a <> high").select("a", F.explode("reps").alias("b")).filter("a <> b").distinct()
     # only shingles of several documents go on
+    posting = [F.col("doc_id").alias("id"), "n", "match", "rare"]
+    cold = firsts(whole).select(*posting, F.posexplode(F.slice("tokens", F.lit(1), F.col("hot"))).alias("at", "token"))
+    hot = firsts(whole.filter(F.size("tokens") > F.col("hot"))).select(*posting, "hot", F.posexplode(F.slice("tokens", F.col("hot") + 1, F.size("tokens"))).alias("at", "token"))
+    hot = materialise(hot.withColumn("at", F.col("at") + F.col("hot")).drop("hot"))
     by_token = Window.partitionBy("token")
-    of_token = F.count("*").over(by_token)
-    hub = F.min(F.struct("rare", "id", "n", "at", "match")).over(by_token)
-    shared = materialise(posted.withColumns({"of_token": of_token, "hub": hub}).filter("of_token > 1").select("token", "id", "n", "match", "at", "hub"))
+    entry = F.struct("rare", "id", "n", "at", "match")
+    in_window = cold.withColumns({"of_token": F.count("*").over(by_token), "hub": F.min(entry).over(by_token)}).filter("of_token > 1").drop("of_token", "rare")
+    hubs = hot.groupBy("token").agg(F.count("*").alias("of_token"), F.min(entry).alias("hub")).filter("of_token > 1").drop("of_token")
+    columns = ["token", "id", "n", "match", "at", "hub"]
+    shared = materialise(in_window.select(columns).union(hot.join(hubs, "token").select(columns)))
     p = shared.select("token", F.struct("id", "n", "match", "at").alias("x"), "hub").filter(F.col("x.id") != F.col("hub.id")).filter(_may_link("x", "hub"))
     star = _enough(p.select(F.col("x").alias("x"), F.col("hub").alias("y")))
     star = materialise(star)
-    links = materialise(_verify(star, texts))
+    links = materialise(_verify(star, texts).union(several))
     label = components(links)
     placed = shared.select("token", "id", "n", "match", "at").join(label.withColumnRenamed("label", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
     mixed = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token")
-    open_ = materialise(placed.join(mixed, "token").join(firsts.select(F.col("doc_id").alias("id"), "parity"), "id"))
+    open_ = materialise(placed.join(mixed, "token").join(whole.select(F.col("doc_id").alias("id"), "parity").distinct(), "id"))
     x, y = (open_.select("token", F.struct("id", "n", "match", "at", "parity").alias(s), F.col("part").alias(f"part_{s}")) for s in "xy")
     crossing = x.join(y, "token").filter((F.col("part_x") != F.col("part_y")) & (F.col("x.id") < F.col("y.id")) & _may_link("x", "y") & _near_parity("x", "y"))
     cross = _enough(crossing.select("x", "y")).join(star, ["a", "b"], "left_anti")
     more = materialise(_verify(materialise(cross), texts))
     label = components(links.union(more))
-    return (
-        sets.select("doc_id", "c1", "c2", "n")
-        .join(classes.select("c1", "c2", "rep"), ["c1", "c2"], "left")
-        .join(label, F.col("rep") == F.col("id"), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "rep")).alias("component_id"))
-    )
+
+    def placed_in(rows: DataFrame) -> DataFrame:
+        of_class = rows.select("doc_id", "c1", "c2", "n").join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).join(label, F.col("rep") == F.col("id"), "left")
+        return of_class.select("doc_id", "n", F.coalesce("label", "rep").alias("component_id"))
+
+    blank = sets.filter("n = 0").select("doc_id", "n")
+    # other texts of the same doc_id
+    beside = placed_in(whole.join(blank.select("doc_id").distinct(), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    blank = blank.join(beside, "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return placed_in(whole).union(blank).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def _enough(rows: DataFrame) -> DataFrame:

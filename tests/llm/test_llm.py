@@ -138,7 +138,7 @@ def brute_components(rows):
             if s and t and 100 * len(s & t) >= 80 * len(s | t):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    return {d: (len(s), root(d)) for d, s in sets}
+    return Counter((d, len(s), root(d)) for d, s in sets)
 
 
 def test_ngram_join_equals_brute_force(spark, edge):
@@ -153,11 +153,21 @@ def test_ngram_join_equals_brute_force(spark, edge):
             rows.append((len(rows), " ".join(text)))
     rows += [(900, None), (901, ""), (902, "Same Four words Here"), (903, "same four\twords here"), (904, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()} == brute_components(rows)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()) == brute_components(rows)
     assert ngram_join.near_duplicates(edge).count() == edge.count()
     assert ngram_join.near_duplicates(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [12, 0])
+def test_ngram_join_joins_the_texts_of_a_repeated_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    a, b = PROSE, " ".join(reversed(PROSE.split()))
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, b), (5, ""), (2, None), (11, "solo text here"), (11, "solo text here"), (12, "a b"), (12, "solo text here"), (13, "a b"), (1, "c d"), (1, "e f"), (7, "e f"), (4, "c d")]
+    rows += [(i, f"{a} {a[::-1]} {i // 3}") for i in range(30, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rep": F.lit(1), "n": F.lit("clash"), "hub": F.lit(None)})
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()) == brute_components(rows)
+
+
 def test_ppm_equals_a_slow_trie(spark):
     texts = {i: f"the cat {'sat' if i % 3 else 'ran'} on mat {i % 7}. " * (i % 4 + 1) for i in range(60)} | {60: None, 61: "", 62: "ünknown zzz"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
@@ -219,6 +229,25 @@ def test_mixing_keeps_budgets_and_all_rows(spark, edge):
     assert mixing.mix(edge).count() == edge.count() and mixing.mix(empty(edge)).count() == 0
 
 
+def test_mixing_knows_sources_of_any_name(spark):
+    sources = ["wiki", "", None, "src99999999999", "src7", "007", "src-3x4"]
+    docs = spark.createDataFrame([(i, "w " * (i % 5), "en", sources[i % 7]) for i in range(70)], "doc_id long, text string, lang string, source string")
+    clash = docs.withColumns({c: F.lit(f"own {c}") for c in ("epochs", "cut", "at_bucket", "key", "bucket", "leaf", "copies", "tokens", "n", "a.b")})
+    out = mixing.mix(clash).collect()
+    assert len(out) == 70 and all(r.epochs == "own epochs" and r.cut == "own cut" and r["a.b"] == "own a.b" for r in out)
+    domain = {r.source: r.leaf.split("/")[0] for r in out}
+    assert domain == {"wiki": "?", "": "?", None: "?", "src99999999999": "?", "src7": "wiki", "007": "wiki", "src-3x4": "wiki"}
+    plain = {r.doc_id: (r.leaf, r.n_tokens, r.copies) for r in mixing.mix(docs).collect()}
+    assert plain == {r.doc_id: (r.leaf, r.n_tokens, r.copies) for r in out}
+
+
+def test_mixing_joins_large_plans_by_a_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), ["en", "de"][i % 2], f"src{i % 9}") for i in range(300)], "doc_id long, text string, lang string, source string")
+    small = sorted(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 1)
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == small
+
+
 def test_pii_base_patterns_and_added_spans(spark, edge):
     text = "mail a.b@mail.example.com_x@d.e ip 10.0.0.256 1.2.3.4 card 4111 1111 1111 1111 phone +44 20 7946 0958."
     base = pii.base_spans(text)
@@ -275,5 +304,21 @@ def test_pipeline_equals_its_operators(spark):
         assert docs.columns == columns and docs.count() <= before.count(), name
     kept = {(r.doc_id, r.text) for r in docs.collect()}
     want = brute_components(sorted(((r.doc_id, r.text) for r in before.collect())))
-    assert {d for d, _ in kept} == {d for d, (_, c) in want.items() if c == d} and len(kept) <= n
+    assert {d for d, _ in kept} == {d for d, _, c in want if c == d} and len(kept) <= n
     assert p.run(spark, sf).count() > 0
+
+
+def test_pipeline_stages_on_edge_rows(spark, edge, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["n_lines", "n_dropped", "score", "held_out", "predicted", "leaf", "n_tokens", "copies", "epochs", "cut", "copy", "rep", "a.b"]
+    docs = edge.withColumns({c: F.lit(f"own {c}") for c in names})
+    for name, stage in p.STAGES:
+        for rows in (docs, docs.filter("false"), docs.filter("text is null"), docs.filter("doc_id is null")):
+            out = stage(spark, rows, str(tmp_path)).collect()
+            if name != "bpe":
+                assert all(r.asDict().keys() == set(docs.columns) and all(r[c] == f"own {c}" for c in names) for r in out), name
+            assert name in ("toxicity", "mixing") or rows is docs or len(out) == rows.count(), name
+    kept = [r.doc_id for r in p.ngram_join_stage(spark, docs, str(tmp_path)).collect()]
+    assert sorted(d for d in kept if d is not None) == [0, 2, 4, 6, 20, 21, 22, 23, 24, 24, 25] and kept.count(None) == 1
