@@ -36,7 +36,7 @@ def test_line_dedup(edge):
     assert line_dedup.dedup_lines(empty(edge)).count() == 0
 
 
-def test_toxicity_learns_words_and_scores_edges(spark, edge):
+def test_toxicity_learns_runs_and_scores_edges(spark, edge):
     bad = ["moronic", "scumbag", "worthless", "pathetic"]
     rng = np.random.default_rng(1)
     syllables = ["tion", "ing", "and", "the", "ere", "ouh", "sta", "ble", "wha", "nd"]
@@ -69,6 +69,45 @@ def test_toxicity_keeps_texts_with_one_opening(spark):
     assert np.mean([(r.predicted == 1) == (r.toxic == 1) for r in out]) > 0.95
 
 
+def test_toxicity_learns_stems_short_words_and_text_without_blanks(spark):
+    rng = np.random.default_rng(4)
+    plain = ["tion", "ing", "and", "the", "ere", "ouh", "sta", "ble", "wha", "nd"]
+    han = [chr(0x4E00 + i) for i in range(120)]
+    rows = []
+    for i in range(1600):
+        toxic = i % 4 == 0
+        if i % 2:
+            words = ["".join(rng.choice(plain, 3)) for _ in range(50)]
+            words[7] = "zu di ot" if toxic else "zu"
+            words[30] = f"lowei{rng.choice(plain)}" if toxic else "sta"
+        else:
+            words = ["".join(rng.choice(han, 80)) + ("\u5f31\u667a\u6c61\u57a2" if toxic else "") + "".join(rng.choice(han, 60))]
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumns({c: F.lit("own") for c in ("score", "held_out", "fold", "whole")})
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    again = toxicity.train(docs.orderBy(F.desc("doc_id")), docs.select("doc_id", "toxic"))
+    assert model["toxic"] == again["toxic"] and model["ordinary"] == again["ordinary"] and (model["curve"] == again["curve"]).all()
+    out = toxicity.score(docs, model).filter("held_out").collect()
+    for parity in (0, 1):
+        assert np.mean([(r.predicted == 1) == (r.toxic == 1) for r in out if r.doc_id % 2 == parity]) > 0.95
+    assert {r.fold for r in out} == {"own"} and all(0 <= r.score <= 1 for r in out)
+
+
+def test_windows_reach_every_byte_and_skipped_ones_have_no_distance(monkeypatch):
+    rng = np.random.default_rng(9)
+    filler = lambda n: " ".join("".join(rng.choice(list("etaoins"), 5)) for _ in range(n))
+    toxic, ordinary = [toxicity.running(f"{filler(20)} vilewretch {filler(20)} scoundrel") for _ in range(60)], [toxicity.running(filler(40)) for _ in range(200)]
+    distances = toxicity.Distances(*toxicity.dictionaries(toxic, ordinary))
+    monkeypatch.setattr(toxicity, "BLOCK", 50)
+    text = filler(300) + " vilewretch"
+    raw = toxicity.running(text)
+    read = set(distances._windows(raw).tolist())
+    every = range(-(-(len(raw) - toxicity.WINDOW) // toxicity.STEP) + 1)
+    gain = {n: len(distances.ordinary.compress(w)) - len(distances.toxic.compress(w)) for n in every if (w := raw[n * 16 : n * 16 + 32])}
+    assert max(every) * 16 + 32 >= len(raw) and max(gain.values()) == gain[max(every)] >= 2
+    assert all(abs(g) <= 1 for n, g in gain.items() if n not in read) and max(every) in read
+
+
 def test_url_rules_longest_wins_and_hosts_fit_subdomains(spark):
     urls = ["HTTP://A.Example.ORG/es/1", "http://example.org/en/12?x", "http://x.org", "http://x.com/fr/1", "http://x.com/de/#a", "http://notorg/", None, "no scheme", "http://x.org/a#b"]
     df = spark.createDataFrame([(i, u, "extra") for i, u in enumerate(urls)], "page_id int, url string, template_ string")
