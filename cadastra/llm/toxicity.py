@@ -77,9 +77,8 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
-def starts(raw: bytes) -> np.ndarray:
-    """Where words begin (their blank) or characters of three bytes and more, which scripts without blanks have."""
-    x = np.frombuffer(raw, np.uint8)
+def starts(x: np.ndarray) -> np.ndarray:
+    """Where in these bytes words begin (their blank) or characters of three bytes and more, which scripts without blanks have."""
     return np.flatnonzero((x == 32) | (x >= 0xE0))
 
 
@@ -91,9 +90,8 @@ class Runs:
     """
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
-        a_texts, b_texts = self._grams(toxic), self._grams(ordinary)
         found, before = [], None
-        for a_size, b_size in zip(a_texts, b_texts):
+        for a_size, b_size in zip(self._grams(toxic), self._grams(ordinary)):
             (ga, first, a), (gb, b) = np.unique(a_size[0], return_index=True, return_counts=True), np.unique(b_size[0], return_counts=True)
             shorter = a_size[1][first]
             at = np.minimum(np.searchsorted(gb, ga), max(0, len(gb) - 1))
@@ -113,22 +111,26 @@ class Runs:
         self.known = [f[0][f[1] >= least] for f in found]
 
     @staticmethod
-    def _grams(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each size, the distinct grams of every text, and what they are without their last byte or bytes."""
-        found: list[tuple[list, list]] = [([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]) for _ in GRAMS]
-        for raw in texts:
-            at, hashes = starts(raw), gram_hashes(raw, GRAMS)
-            for (whole, shorter), h, less in zip(found, hashes, [hashes[0], *hashes]):
-                here = at[at < len(h)]
-                grams, first = np.unique(h[here], return_index=True)
-                whole.append(grams)
-                shorter.append(less[here[first]])
-        return [(np.concatenate(whole), np.concatenate(shorter)) for whole, shorter in found]
+    def _grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each size, the distinct grams of every text, and what they begin with at the size before."""
+        x = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        at = starts(x)
+        owner = np.searchsorted(ends, at, side="right")
+        h = shorter = np.zeros(len(at), np.uint64)
+        for i in range(max(GRAMS)):
+            inside = at + i < ends[owner]
+            at, owner, h, shorter = at[inside], owner[inside], h[inside], shorter[inside]
+            h = h * _P + (x[at + i].astype(np.uint64) + np.uint64(1))
+            if i + 1 in GRAMS:
+                _, first = np.unique(h ^ (owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F), return_index=True)
+                yield h[first], shorter[first]
+                shorter = h
 
     def covered(self, raw: bytes) -> np.ndarray:
         """Whether each byte belongs to a run."""
         edges = np.zeros(len(raw) + 1, np.int64)
-        at = starts(raw)
+        at = starts(np.frombuffer(raw, np.uint8))
         for size, known, h in zip(GRAMS, self.known, gram_hashes(raw, GRAMS)):
             here = at[at < len(h)]
             hit = here[among(h[here], known)]
@@ -215,17 +217,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> tuple[float, list]:
-    """The share of toxic labels, and rows (text, toxic, fold) of the sample."""
+def _sample(docs: DataFrame, labels: DataFrame) -> tuple[float, DataFrame | None]:
+    """The share of toxic labels, and the sample's rows: toxic, whole (the text's hash), text, fold."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(crc_mod(F.col("doc_id"), HELD_OUT_MODULUS) != HELD_OUT)
     n_ordinary, n_toxic = known.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") != 0)).first()
     share = (n_toxic + 0.5) / (n_toxic + n_ordinary + 1)
     if not n_toxic or not n_ordinary:
-        return share, []
+        return share, None
     order = F.xxhash64("doc_id")
     chosen = known.filter("toxic <> 0").orderBy(order, "doc_id").limit(SAMPLE).union(known.filter("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE))
     # at most 2 * SAMPLE ids
-    rows = docs.select("doc_id", "text").filter("text <> ''").join(F.broadcast(chosen), "doc_id").withColumn("fold", crc_mod(F.col("doc_id"), HELD_OUT_MODULUS))
+    rows = docs.select("doc_id", "text").filter("text <> ''").join(F.broadcast(chosen), "doc_id").withColumn("fold", crc_mod(F.col("doc_id"), HELD_OUT_MODULUS).cast("int"))
     # rows of one group have the same text
     rows = materialise(rows.groupBy((F.col("toxic") != 0).alias("toxic"), F.sha2("text", 256).alias("whole")).agg(F.first("text").alias("text"), F.min("fold").alias("fold")))
     left, taken = {True: SAMPLE_BYTES, False: SAMPLE_BYTES}, []
@@ -234,32 +236,50 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[float, list]:
         if left[r.toxic] >= 0:
             taken.append((r.toxic, r.whole))
     taken = rows.sparkSession.createDataFrame(taken, "toxic boolean, whole string")
-    return share, sorted(rows.join(F.broadcast(taken), ["toxic", "whole"]).select("toxic", "whole", "text", "fold").collect())
+    return share, rows.join(F.broadcast(taken), ["toxic", "whole"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """The model: dictionaries' contents, curve and base share. What comes to the driver is bounded by SAMPLE and SAMPLE_BYTES."""
+    """The model: dictionaries' contents, curve and base share.
+
+    One task learns from the whole sample and one from it without each fold, bounded by SAMPLE and SAMPLE_BYTES; only
+    dictionaries and the sample's features come to the driver.
+    """
     share, rows = _sample(docs, labels)
-    raw = [(running(r.text), r.toxic, r.fold) for r in rows]
+    if rows is None:
+        return {"base": share}
 
-    def content(but: int | None) -> tuple[bytes, bytes] | None:
-        return dictionaries([x for x, toxic, fold in raw if toxic and fold != but], [x for x, toxic, fold in raw if not toxic and fold != but])
+    def learn(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        held = sorted(zip(table.column("whole").to_pylist(), table.column("toxic").to_pylist(), table.column("text").to_pylist()))
+        found = dictionaries([running(t) for _, toxic, t in held if toxic], [running(t) for _, toxic, t in held if not toxic])
+        made = {"but": [key[0].as_py()], "toxic": [found[0]], "ordinary": [found[1]]} if found else {"but": [], "toxic": [], "ordinary": []}
+        return pa.table(made, pa.schema([("but", pa.int32()), ("toxic", pa.binary()), ("ordinary", pa.binary())]))
 
-    whole = content(None)
-    if whole is None:
+    folds = [i for i in range(HELD_OUT_MODULUS) if i != HELD_OUT]
+    parts = rows.withColumn("but", F.explode(F.array(*map(F.lit, [-1, *folds])))).filter("fold <> but")
+    contents = {r.but: (bytes(r.toxic), bytes(r.ordinary)) for r in parts.groupBy("but").applyInArrow(learn, "but int, toxic binary, ordinary binary").collect()}
+    if -1 not in contents:
         return {"base": share}
-    x, y = [], []
-    for fold in sorted({r.fold for r in rows}):
-        seen = content(fold)
-        if seen is not None:
-            distances = Distances(*seen)
-            x += [distances.features(r.text) for r in rows if r.fold == fold]
-            y += [float(r.toxic) for r in rows if r.fold == fold]
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, Distances] = {}
+        for batch in batches:
+            whole, toxic, x = [], [], []
+            for r in batch.to_pylist():
+                if r["fold"] in contents:
+                    if r["fold"] not in made:
+                        made[r["fold"]] = Distances(*contents[r["fold"]])
+                    whole.append(r["whole"])
+                    toxic.append(r["toxic"])
+                    x.append(made[r["fold"]].features(r["text"]))
+            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.string()), pa.array(toxic, pa.bool_()), pa.array(x, pa.list_(pa.float64()))], ["whole", "toxic", "x"])
+
+    described = sorted(rows.mapInArrow(describe, "whole string, toxic boolean, x array<double>").collect())
+    y = np.array([float(r.toxic) for r in described])
     if len(set(y)) < 2:
         return {"base": share}
-    y = np.array(y)
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return {"base": share, "toxic": whole[0], "ordinary": whole[1], "curve": _logistic(np.array(x), y, weight)}
+    return {"base": share, "toxic": contents[-1][0], "ordinary": contents[-1][1], "curve": _logistic(np.array([r.x for r in described]), y, weight)}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
