@@ -1,7 +1,7 @@
 """Language-model scoring: prediction by partial matching over bytes, and a smoothed word model as base.
 
 The byte model is a trie of contexts of up to `ORDER` bytes with the counts of what followed them in all training
-texts (those outside the held-out tenth), an end of text included. A byte is coded in the longest context seen; where
+texts (those outside the held-out tenth). An end of text is a symbol of its own, the 257th; it also stands before a text. A byte is coded in the longest context seen; where
 it was never seen there, the model escapes (by the number of distinct followers) to the context that is one byte
 shorter, and excludes from it all followers of the longer one. As the trie is fixed once it is trained, a follower's
 code length depends on it and the `ORDER` bytes before it only (its code). All counts are kept, as tables of one row
@@ -13,7 +13,7 @@ The base model counts the words of all training texts. The commonest `HOT_WORDS`
 word of a text is joined with the counts, after it has been counted per text.
 
 Defined cases: null text equals empty text: only an end is coded. Rows that repeat a doc_id are scored each. Without
-training texts, bytes are uniform and the base's N and V are 0. An empty table gives an empty result.
+training texts, symbols are uniform and the base's N and V are 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from cadastra.llm.common import crc_mod, map_batches, materialise, sliced
 
 ORDER = 4
+#: The symbol of an end, and the bits of a symbol in a code.
+END, BITS = 256, 9
 NODES = 1_000_000
 HOT_WORDS = 60_000
 HELD_OUT_MODULUS = 10
@@ -38,14 +40,17 @@ ALPHA = 0.1
 
 
 def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte and end of the texts: itself and the ORDER bytes before it (zeros before the text) as a number;
-    and the number of codes of each text."""
-    joined = np.frombuffer(b"".join(b"\0" * ORDER + t + b"\0" for t in texts), np.uint8)
+    """For every byte and end of the texts: itself and the ORDER symbols before it (ends before the text) as a number of
+    BITS bits each; and the number of codes of each text."""
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    starts = np.cumsum(lengths + ORDER) - (lengths + ORDER)
+    joined = np.frombuffer(b"".join(b"\0" * ORDER + t + b"\0" for t in texts), np.uint8).astype(np.uint16)
+    for i in range(ORDER):
+        joined[starts + i] = END
+    joined[starts + ORDER + lengths - 1] = END
     code = np.zeros(len(joined) - ORDER if len(joined) else 0, np.uint64)
     for i in range(ORDER + 1):
-        code = (code << np.uint64(8)) | joined[i : len(joined) - ORDER + i]
-    starts = np.cumsum(lengths + ORDER) - (lengths + ORDER)
+        code = (code << np.uint64(BITS)) | joined[i : len(joined) - ORDER + i]
     keep = np.ones(len(code), bool)
     for i in range(ORDER):
         # codes that end in the padding before a text
@@ -107,15 +112,15 @@ def count_contexts(texts: DataFrame) -> DataFrame:
 
 def _suffix(order: int) -> Column:
     """The code's follower and the last bytes of its context, for a shorter order."""
-    return F.col("code").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+    return F.col("code").bitwiseAND(F.lit((1 << BITS * (order + 1)) - 1))
 
 
 def train_trie(texts: DataFrame) -> list[DataFrame]:
     """For each order from 0, all nodes: code, n, and total and kinds of the code's context."""
     levels: list[DataFrame] = []
     counts = count_contexts(texts)
-    # at most 256 followers
-    context = Window.partitionBy(F.shiftrightunsigned("code", 8))
+    # at most 257 followers
+    context = Window.partitionBy(F.shiftrightunsigned("code", BITS))
     for _ in range(ORDER + 1):
         level = materialise(counts.select("code", "n", F.sum("n").over(context).alias("total"), F.count("*").over(context).alias("kinds")))
         levels.insert(0, level)
@@ -145,12 +150,12 @@ def escapes(codes: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """code, p: log10 probabilities of distinct codes (code) that the longest order lacks.
 
     For each order, `fresh` is the probability if the search starts there, `tail` the one of what follows once the
-    order's context is left, and its followers are excluded. A row meets 256 others at most in each join.
+    order's context is left, and its followers are excluded. A row meets 257 others at most in each join.
     """
     first = levels[0].select("total", "kinds").first()
     total, kinds = (first.total, first.kinds) if first else (0, 0)
-    # below order 0: all bytes that were never seen, alike
-    bottom = -math.log10(max(1, 256 - kinds))
+    # below order 0: all symbols that were never seen, alike
+    bottom = -math.log10(max(1, END + 1 - kinds))
     leave = math.log10(kinds / (total + kinds)) if kinds else 0.0
     wanted = [codes]
     for j in range(ORDER - 1, -1, -1):
@@ -160,11 +165,11 @@ def escapes(codes: DataFrame, levels: list[DataFrame]) -> DataFrame:
         shorter = levels[j - 1].select(F.col("code").alias("suffix"), F.col("n").alias("low_n"), F.col("total").alias("low_total"), F.col("kinds").alias("low_kinds"))
         contexts = (
             levels[j].withColumn("suffix", _suffix(j - 1)).join(shorter, "suffix")
-            .groupBy(F.shiftrightunsigned("code", 8).alias("context"))
+            .groupBy(F.shiftrightunsigned("code", BITS).alias("context"))
             .agg(F.first("total").alias("total"), F.first("kinds").alias("kinds"), (F.first("low_total") - F.sum("low_n")).alias("rest"), (F.first("low_kinds") - F.count("*")).alias("new"))
         )
         held = wanted[j].join(levels[j].select("code", "n"), "code", "left")
-        held = held.select("code", "n", F.shiftrightunsigned("code", 8).alias("context"), _suffix(j - 1).alias("suffix")).join(contexts, "context", "left")
+        held = held.select("code", "n", F.shiftrightunsigned("code", BITS).alias("context"), _suffix(j - 1).alias("suffix")).join(contexts, "context", "left")
         held = held.join(below.select(F.col("code").alias("suffix"), F.col("n").alias("below_n"), F.col("fresh").alias("below_fresh"), F.col("tail").alias("below_tail")), "suffix")
         rest = F.log10(F.col("rest") + F.col("new"))
         tail = F.when(F.col("below_n").isNotNull(), F.log10("below_n") - rest).otherwise(F.when(F.col("new") > 0, F.log10("new") - rest).otherwise(0.0) + F.col("below_tail"))
@@ -212,12 +217,12 @@ def score(docs: DataFrame) -> DataFrame:
                 at = np.concatenate([table.find(codes[i : i + BLOCK]) for i in range(0, len(codes), BLOCK)])
                 p = np.where(at >= 0, lengths_of[np.maximum(at, 0)], 0.0) if len(lengths_of) else np.zeros(len(at))
                 bits.extend(np.add.reduceat(p, np.cumsum(lengths) - lengths))
-                # a code has 40 bits, and a slice 2,000 texts
+                # a code has 45 bits, and a slice 2,000 texts
                 missed = np.flatnonzero(at < 0)
                 owner = np.repeat(np.arange(len(part), dtype=np.uint64), lengths)[missed]
-                found, n = np.unique((owner << np.uint64(40)) | codes[missed], return_counts=True)
-                ends_at = np.searchsorted(found, np.arange(1, len(part), dtype=np.uint64) << np.uint64(40))
-                cold.extend(np.split((found & np.uint64((1 << 40) - 1)).astype(np.int64), ends_at))
+                found, n = np.unique((owner << np.uint64(BITS * (ORDER + 1))) | codes[missed], return_counts=True)
+                ends_at = np.searchsorted(found, np.arange(1, len(part), dtype=np.uint64) << np.uint64(BITS * (ORDER + 1)))
+                cold.extend(np.split((found & np.uint64((1 << BITS * (ORDER + 1)) - 1)).astype(np.int64), ends_at))
                 times.extend(np.split(n, ends_at))
                 part.clear()
 
