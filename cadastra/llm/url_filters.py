@@ -12,7 +12,10 @@ Only distinct (host, template) rows with their counts are grouped and joined; th
 one join with the judged templates.
 
 Defined cases: a url that is null or has no `://` has an empty host and path and is judged as such a template. Without
-any label all urls are allowed. Repeated rows count each. An empty table gives an empty result.
+any label all urls are allowed. Rules of equal length go by their text, the later first. A purity of exactly
+`MIN_PURITY` is allowed. Repeated rows count each. Paths may have any number of segments. An empty table gives an empty
+result. Columns of the input called host, path, rule, verdict, template or purity are replaced by the result's; all
+others stay as they are.
 """
 
 from __future__ import annotations
@@ -83,9 +86,9 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFr
     """Every row of urls (column url) with host, path, rule, verdict, and template and purity of its branch, added."""
     rules = RULES if rules is None else rules
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    named = urls.withColumns({"host": host, "path": path}).withColumns({"__rule": rule_of(F.col("host"), F.col("path"), rules), "__segments": segments_of(F.col("path"))})
-    shapes = named.groupBy("host", F.col("__segments").alias("segments")).agg(
-        F.count("*").alias("n"), F.count("__rule").alias("labelled"), F.count_if(F.col("__rule.verdict") == "allow").alias("allowed")
+    named = urls.withColumns({"__url_host": host, "__url_path": path}).withColumns({"__url_rule": rule_of(F.col("__url_host"), F.col("__url_path"), rules), "__url_segments": segments_of(F.col("__url_path"))})
+    shapes = named.groupBy(F.col("__url_host").alias("host"), F.col("__url_segments").alias("segments")).agg(
+        F.count("*").alias("n"), F.count("__url_rule").alias("labelled"), F.count_if(F.col("__url_rule.verdict") == "allow").alias("allowed")
     )
     shapes = materialise(shapes)
     leaves = _generalise(shapes)
@@ -103,9 +106,11 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFr
         branch.join(pool, ["host", "parent"]).join(everywhere, "template")
         .select("host", "template", ((a + SMOOTHING * prior) / (n + SMOOTHING)).alias("purity"))
     )
-    by_shape = leaves.select("host", F.col("segments").alias("__segments"), "template").join(judged, ["host", "template"])
-    return (
-        named.join(by_shape, ["host", "__segments"])
-        .withColumns({"rule": F.col("__rule.rule"), "verdict": F.coalesce("__rule.verdict", F.when(F.col("purity") < MIN_PURITY, F.lit("block")).otherwise(F.lit("allow")))})
-        .drop("__rule", "__segments")
+    # as a table, so that Spark can split the urls of a frequent shape in the last join
+    by_shape = materialise(
+        leaves.join(judged, ["host", "template"]).select(*(F.col(c).alias(f"__url_{c}") for c in ("host", "segments", "template", "purity")))
     )
+    verdict = F.coalesce("__url_rule.verdict", F.when(F.col("__url_purity") < MIN_PURITY, F.lit("block")).otherwise(F.lit("allow")))
+    made = {"host": F.col("__url_host"), "path": F.col("__url_path"), "rule": F.col("__url_rule.rule"), "verdict": verdict, "template": F.col("__url_template"), "purity": F.col("__url_purity")}
+    kept = [F.col(f"`{c}`") for c in urls.columns if c not in made]
+    return named.join(by_shape, ["__url_host", "__url_segments"]).select(*kept, *(column.alias(name) for name, column in made.items()))
