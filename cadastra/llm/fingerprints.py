@@ -1,18 +1,22 @@
 """Document fingerprints from closed syncmers, by SQL expressions only.
 
-A document's symbols are its lower-cased words. A k-mer is five words; its inner substrings are two words long. The
+A document's symbols are its lower-cased words; of a word of more than `LONG_WORD` code points, each code point, so that
+text without blanks has anchors too. A k-mer is five symbols; its inner substrings are two symbols long. The
 k-mer is chosen if the smallest hash among its inner substrings is that of the first or the last (a closed syncmer), a
 choice that depends on the k-mer alone, so equal passages give equal anchors wherever they stand. The fingerprint is
 all of the text's anchor hashes in order of position, so that of a passage is part of that of any text that holds it.
 Likeness is the Jaccard index of the sets of all anchors of both.
 
 Expressions work on one array per document, never on exploded rows. The next document is found without a global sort:
-ids fall into ranges of about `RANGE_ROWS` documents, a window looks ahead inside a range, and only the last row of
-each range is joined with the head of the next one.
+ids are cut into `CLASSES` classes of about equally many documents, and each class into ranges of equal width that hold
+about `RANGE_ROWS` documents; a window looks ahead inside a range, and only the last row of each range is joined with
+the head of the next one.
 
 Defined cases: null text equals empty text, whose fingerprint is empty; likeness of two empty fingerprints is 1, of an
-empty and another 0. Texts of one to four words have one anchor, their whole word sequence. Rows that repeat an id are
-ordered by text; a null id comes first. One document alone is its own successor. An empty table gives an empty result.
+empty and another 0. Texts of one to four symbols have one anchor, their whole symbol sequence. Rows that repeat an id are
+ordered by text, and rows of one id are one task's; null ids come first, likewise. Ties between inner substrings count
+for both edges. One document alone is its own successor. An empty table gives an empty result. Other columns of the
+input play no part.
 """
 
 from __future__ import annotations
@@ -21,6 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K_WORDS = 5
+#: Longer words are read by code points.
+LONG_WORD = 24
+CLASSES = 256
 RANGE_ROWS = 512
 HEADS = 1024
 
@@ -31,7 +38,11 @@ def let(value: Column, body) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    def symbols(words: Column) -> Column:
+        each = F.transform(words, lambda w: F.when(F.length(w) > LONG_WORD, F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0))).otherwise(F.array(w)))
+        return F.when(F.exists(words, lambda w: F.length(w) > LONG_WORD), F.flatten(each)).otherwise(words)
+
+    return let(F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), symbols)
 
 
 def anchors(text: Column) -> Column:
@@ -68,10 +79,18 @@ def with_next(docs: DataFrame, value: Column) -> DataFrame:
 
     Both readings of the windowed rows share one exchange; the others move range numbers and range heads only.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) * RANGE_ROWS // max(n, 1)))
-    # a null id has a range of its own before all others
-    number = F.coalesce(F.floor(F.col("doc_id").cast("decimal(20,0)") / F.lit(width)).cast("long"), F.lit(-(2**63) + 1))
+    ids = docs.filter("doc_id is not null").select("doc_id")
+    borders = sorted({int(q) for q in ids.approxQuantile("doc_id", [i / CLASSES for i in range(1, CLASSES)], 1 / (4 * CLASSES))})
+    cuts = F.array(*(F.lit(b).cast("long") for b in borders)) if borders else F.array().cast("array<long>")
+    class_ = F.size(F.filter(cuts, lambda b: F.col("doc_id") >= b))
+    # at most CLASSES rows
+    sizes = {r.c: r for r in ids.groupBy(class_.alias("c")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).collect()}
+    found = [sizes.get(c) for c in range(len(borders) + 1)]
+    low = F.array(*(F.lit(r.low if r else 0).cast("long") for r in found))
+    width = F.array(*(F.lit(max(1, -(-(r.high - r.low + 1) * RANGE_ROWS // r.n)) if r else 1).cast("decimal(20,0)") for r in found))
+    inside = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.get(low, class_).cast("decimal(20,0)")) / F.get(width, class_)).cast("long")
+    # null ids have a range of their own before all others
+    number = F.coalesce(class_.cast("long") * F.lit(1 << 40) + inside, F.lit(-(2**52)))
     order = Window.partitionBy("range").orderBy(F.asc_nulls_first("doc_id"), "value")
     rows = docs.select("doc_id", value.alias("value"), number.alias("range")).withColumns({"next": F.lead("value").over(order), "first": F.lag(F.lit(True)).over(order).isNull()})
     heads = rows.filter("first").select("range", F.floor(F.col("range") / HEADS).alias("upper"), F.col("value").alias("head"))

@@ -3,11 +3,14 @@
 import hashlib
 import math
 import os
+import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cadastra.llm import bpe, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, pii, topk, toxicity, url_filters
@@ -132,6 +135,73 @@ def test_url_branches_below_the_fourth_segment_stand_apart(spark):
     assert {r.template for u, r in out.items() if "z.com" in u} == {"/q" * 400}
 
 
+def test_url_tree_equals_brute_force_and_keeps_clashing_columns(spark):
+    rng = np.random.default_rng(8)
+    rules = [("a.com/news/x", "allow"), ("a.com/junk/x", "block"), ("b.com/p/", "block"), ("c.com/news/x", "allow")]
+    urls = [f"http://{h}.com/{d}/{w}{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijklmnopqrstuvwxyz'[i // 26]}" for h in "abcd" for d in ("news", "junk", "p/q", "z") for w in "xy" for i in range(int(rng.integers(15, 60)))]
+    urls += ["http://d.com/deadbeefdeadbeef00/12", "http://d.com/7/8", "http://d.com/7/9", "http://d.com", "http://d.com/", None, "nothing"] * 3
+    df = spark.createDataFrame([(u,) for u in urls], "url string").withColumns({c: F.lit(f"own {c}") for c in ("purity", "template", "host", "segments", "n", "parent", "varies", "going")})
+    rows = url_filters.judge(df, rules).collect()
+    assert Counter(r.url for r in rows) == Counter(urls) and all(r.segments == "own segments" and r.parent == "own parent" for r in rows)
+
+    def parsed(u):
+        m = re.match("(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(len(r), v) for r, v in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[len(r.split("/")[0]) :])]
+        shape = tuple(re.sub("[0-9]+", "#", re.sub("^[0-9a-fA-F-]{16,}$", "*", s)) for s in path[1:].split("/"))
+        return host, shape, max(fits)[1] if fits else None
+
+    shapes = Counter()
+    labels = defaultdict(Counter)
+    for u in urls:
+        host, shape, verdict = parsed(u)
+        shapes[host, shape] += 1
+        labels[host, shape][verdict] += 1
+
+    def template(host, shape):
+        at = ""
+        done = {}
+        for depth, segment in enumerate(shape):
+            below = {s: n for (h, s), n in shapes.items() if h == host and len(s) > depth and prefix_of(host, s, depth, done) == at}
+            children = Counter()
+            for s, n in below.items():
+                children[s[depth]] += n
+            if len(below) <= url_filters.MANY_CHILDREN:
+                return at + "".join("/" + s for s in shape[depth:])
+            varies = len(children) > url_filters.MANY_CHILDREN and sum(children.values()) < len(children) * url_filters.FEW_URLS
+            done[at] = varies
+            at += "/*" if varies else "/" + segment
+        return at
+
+    def prefix_of(host, shape, depth, done):
+        at = ""
+        for segment in shape[:depth]:
+            at += "/*" if done.get(at) else "/" + segment
+        return at
+
+    made = {key: template(*key) for key in shapes}
+    branch = defaultdict(lambda: [0, 0])
+    for key, verdicts in labels.items():
+        branch[key[0], made[key]][0] += sum(n for v, n in verdicts.items() if v)
+        branch[key[0], made[key]][1] += verdicts["allow"]
+    pool, everywhere = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for (host, t), (n, a) in branch.items():
+        for total in (pool[host, re.sub("/[^/]*$", "", t)], everywhere[t]):
+            total[0] += n
+            total[1] += a
+    base = (sum(a for _, a in branch.values()) + 1) / (sum(n for n, _ in branch.values()) + 1)
+    for r in rows:
+        host, shape, verdict = parsed(r.url)
+        t = made[host, shape]
+        (n, a), (pn, pa), (en, ea) = branch[host, t], pool[host, re.sub("/[^/]*$", "", t)], everywhere[t]
+        p = (pa + 1) / (pn + 2)
+        n, a = (n, a) if (a - n * p) ** 2 > 4 * n * p * (1 - p) else (pn, pa)
+        purity = (a + 5 * (ea + 5 * base) / (en + 5)) / (n + 5)
+        assert (r.host, r.template, r.purity) == (host, t, pytest.approx(purity))
+        assert r.verdict == (verdict or ("block" if purity < 0.5 else "allow"))
+    assert {r.verdict for r in rows if r.rule is None} == {"allow", "block"}
+
+
 def test_fingerprints_follow_edits(edge):
     rows = fingerprints.fingerprint_edits(edge).collect()
     source = sorted(((r.doc_id, r.text or "") for r in edge.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
@@ -160,6 +230,58 @@ def test_fingerprints_hold_all_anchors_in_order(spark):
         assert a & b and out[i].near_next == pytest.approx(len(a & b) / len(a | b))
 
 
+def spark_hash(*values):
+    """xxhash64 of strings and 64-bit numbers, one after the other, as a signed number."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed=h)
+        v = h
+    return h - (h >> 63 << 64)
+
+
+def brute_anchors(text):
+    symbols = []
+    for w in re.split("[\\x20\\x09-\\x0D]+", text.lower()):
+        symbols += list(w) if len(w) > fingerprints.LONG_WORD else [w] if w else []
+    if len(symbols) < 5:
+        return [spark_hash(" ".join(symbols)) & 0xFFFFFFFF] if symbols else []
+    inner = [spark_hash(spark_hash(a), spark_hash(b)) for a, b in zip(symbols, symbols[1:])]
+    out = []
+    for i in range(len(inner) - 3):
+        of_k = inner[i : i + 4]
+        if min(of_k) in (of_k[0], of_k[3]):
+            out.append(spark_hash(*of_k) & 0xFFFFFFFF)
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark, edge):
+    rng = np.random.default_rng(12)
+    han = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 900, 400))
+    ids = [0, 1, 2, 3, 2**60, 2**62 + 5, -7, 9, 9]
+    texts = [han, han[:200] + "\u6f22" + han[200:], "\U0001f389" * 30, "a b c d e " * 50, "x y", "A b C d E f", "", "same same same same same same", "v" * 24 + " " + "v" * 25]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").withColumns({"range": F.lit(1), "next": F.lit("x"), "value": F.lit(None)})
+    rows = sorted(zip(ids, texts))
+    out = {(r.doc_id, r.n_chars): r for r in fingerprints.fingerprint_edits(docs).collect()}
+    for i, (doc_id, text) in enumerate(rows):
+        after, r, half = rows[(i + 1) % len(rows)][1], out[(doc_id, len(text))], len(text) // 2
+        sets = [brute_anchors(t) for t in (text, text[: len(text) - half] + after[:half], after)]
+        assert r.fingerprint == "".join(f"{x:08x}" for x in sets[0]) and r.edited_fingerprint == "".join(f"{x:08x}" for x in sets[1])
+        a, b, c = map(set, sets)
+        like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        assert (r.near_edited, r.near_next) == (pytest.approx(like(a, b)), pytest.approx(like(a, c)))
+    assert out[(1, 401)].near_next < 0.2 and out[(0, 400)].near_next > 0.8
+
+
+def test_ranges_of_ids_hold_few_rows_each(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "CLASSES", 8)
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 16)
+    ids = list(range(1000)) + [2**60, 2**61, -(2**62), None, 10**9]
+    docs = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
+    out = {r.value: r.next for r in fingerprints.with_next(docs, F.col("text")).collect()}
+    order = sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert out == {str(a): str(b) for a, b in zip(order, order[1:] + order[:1])}
+
+
 def brute_components(rows):
     sets = []
     for doc_id, text in rows:
@@ -208,19 +330,19 @@ def test_ngram_join_joins_the_texts_of_a_repeated_id(spark, monkeypatch, hot):
 
 
 def test_ppm_equals_a_slow_trie(spark):
-    texts = {i: f"the cat {'sat' if i % 3 else 'ran'} on mat {i % 7}. " * (i % 4 + 1) for i in range(60)} | {60: None, 61: "", 62: "ünknown zzz"}
+    texts = {i: f"the cat {'sat' if i % 3 else 'ran'} on mat {i % 7}. " * (i % 4 + 1) for i in range(60)} | {60: None, 61: "", 62: "ünknown zzz", 63: "a nul\0 in \0", 64: "nul\0", 65: "the cat\0", 66: "\0", 67: "\0\0"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     out = {r.doc_id: r for r in lm_scoring.score(docs).collect()}
     count, words, ends = [defaultdict(Counter) for _ in range(5)], Counter(), 0
     for d, t in texts.items():
         if zlib.crc32(str(d).encode()) % 10:
-            b, ends = b"\0" * 4 + (t or "").encode() + b"\0", ends + 1
+            b, ends = (256,) * 4 + tuple((t or "").encode()) + (256,), ends + 1
             words.update((t or "").encode().lower().split())
             for i in range(4, len(b)):
                 for j in range(5):
                     count[j][b[i - j : i]][b[i]] += 1
     for d, t in texts.items():
-        b, total = b"\0" * 4 + (t or "").encode() + b"\0", 0.0
+        b, total = (256,) * 4 + tuple((t or "").encode()) + (256,), 0.0
         for i in range(4, len(b)):
             out_of: set = set()
             for j in range(4, -1, -1):
@@ -233,7 +355,7 @@ def test_ppm_equals_a_slow_trie(spark):
                     total += math.log10(kinds / (n + kinds))
                 out_of |= set(count[j].get(b[i - j : i], {}))
             else:
-                total -= math.log10(max(1, 256 - len(out_of)))
+                total -= math.log10(max(1, 257 - len(out_of)))
         n = sum(words.values()) + ends
         z = n + 0.1 * (len(words) + 2)
         tokens = (t or "").encode().lower().split()
