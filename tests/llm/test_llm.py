@@ -452,6 +452,29 @@ def test_top_k_equals_brute_force(spark):
     assert set(out) == {0, 100, 200, 400} and topk.top_k(empty(df), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_tiles_of_any_dimension_and_size(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    for dim, scale in ((1, 1), (7, 50), (768, 3), (5, 2**40)):
+        vectors = (rng.normal(size=(700, dim)) * scale).astype(np.int64)
+        vectors[100:110] = vectors[0]
+        ids, queries = rng.permutation(700), vectors[:40]
+        found = defaultdict(list)
+        for q, v, s in topk.search_tile(ids[:40], queries, ids, vectors, 10):
+            found[q].append((s, v))
+        exact = vectors.astype(object) @ queries.astype(object).T
+        for i in range(40):
+            want = sorted((-int(exact[j, i]), int(ids[j])) for j in range(700) if j != i)[:10]
+            assert found[ids[i]] == [(max(-(2**63), min(2**63 - 1, -s)), v) for s, v in want]
+    file, edges = topk.approximate(vectors)
+    assert (topk.bounds(file, edges, queries) >= (vectors @ queries.T.astype(float)).T - 1).all() and file.dtype == np.uint8
+    rows = [(i, [float(x) for x in rng.normal(size=6)], "own") for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, g string").withColumns({"b": F.lit(1), "v": F.lit("x"), "dim": F.lit(0)})
+    whole = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0).collect()))
+    monkeypatch.setattr(topk, "TILE_BYTES", 4000)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 100)
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0).collect())) == whole and len(whole) == 50
+
+
 def test_pipeline_equals_its_operators(spark):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
