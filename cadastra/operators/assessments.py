@@ -64,3 +64,67 @@ def judge_evidence(incoming: DataFrame, current: DataFrame, versions: list[str])
         bad = bad | (F.coalesce(F.col(v), F.lit("")) == "")
     now = current.select("low", "high", F.col("revision").alias("__revision"))
     return incoming.join(now, ["low", "high"], "left").withColumn("state", F.when(bad, "invalid").when(F.col("revision").eqNullSafe(F.col("__revision")), "accepted").otherwise("stale")).drop("__revision")
+
+
+#: Kinds of offers, and states and coverages of photo results.
+OFFER_TYPES = ["whole_apartment", "multi_unit_offer", "partial_property", "non_apartment", "not_sale", "unclear"]
+UNSEEN, READY, COVERAGES = ["no_photos", "photos_unavailable"], ["ready", "ready_with_download_gaps"], ["sufficient", "partial", "insufficient"]
+MOST_BYTES = 16_384
+
+
+def text_fault(listing_id: Column, content_hash: Column, version: Column, result: Column) -> Column:
+    """Why a text assessment cannot be stored; null if it can. result is a JSON object as text."""
+    bad_id = ~F.coalesce(F.length(F.trim(listing_id)).between(1, 80), F.lit(False))
+    return (
+        F.when(bad_id, "listing_id")
+        .when(~F.coalesce(content_hash.rlike("^[0-9a-f]{16}$"), F.lit(False)), "content_hash")
+        .when(~F.coalesce(version.rlike("^[A-Za-z0-9._:-]{1,100}$"), F.lit(False)), "version")
+        .when(F.coalesce(F.octet_length(result), F.lit(MOST_BYTES + 1)) > MOST_BYTES, "size")
+        .when(F.try_parse_json(result).isNull() | ~F.trim(result).startswith("{"), "result")
+    )
+
+
+def photo_fault(photo_set_hash: Column, status: Column, coverage: Column, score: Column) -> Column:
+    """Why a photo assessment cannot be stored; null if it can. Unseen photos have neither score nor coverage."""
+    seen_fault = F.when(coverage == "insufficient", F.when(score.isNotNull(), "score")).when(F.coalesce(coverage.isin(COVERAGES), F.lit(False)), F.when(~F.coalesce(score.between(1, 10), F.lit(False)), "score")).otherwise("coverage")
+    return (
+        F.when(photo_set_hash.isNotNull() & ~photo_set_hash.rlike("^[0-9a-f]{64}$"), "photo_set_hash")
+        .when(~F.coalesce(status.isin(UNSEEN + READY), F.lit(False)), "status")
+        .when(status.isin(UNSEEN), F.when(score.isNotNull() | coverage.isNotNull(), "unseen"))
+        .otherwise(seen_fault)
+    )
+
+
+def saved(stored: DataFrame, incoming: DataFrame, keys: list[str], order: str = "updated_at") -> DataFrame:
+    """stored with the incoming rows in place of those of equal keys; of several, the last."""
+    rest = [c for c in stored.columns if c not in keys]
+    last = incoming.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(*keys, "r.*")
+    return stored.join(last.select(*keys), keys, "left_anti").unionByName(last)
+
+
+def comparison(price_now: Column, price_then: Column, photos_now: Column, photos_then: Column, furniture_now: Column, furniture_then: Column, v: Column, text: Column, max_evidence: int = 180) -> Column:
+    """The decision (usable, reason_code, confidence) that an outside verdict v still gives; null if none.
+
+    v: struct offer_type, photo_scope, data_consistency, usable, reason_code, confidence, evidence. Price, photos and
+    furniture must be those that it was made for. An undecided verdict on an offer of several units says unit_ambiguous.
+    A rejection must quote the text; an acceptance quotes nothing and is of one whole apartment.
+    """
+    none_if_empty = lambda c: F.nullif(c, F.lit(""))
+    exact = lambda c: c.cast("string").try_cast("decimal(38,10)")
+    same = F.coalesce(exact(price_now) == exact(price_then), F.lit(False)) & none_if_empty(photos_now).eqNullSafe(none_if_empty(photos_then)) & none_if_empty(furniture_now).eqNullSafe(none_if_empty(furniture_then))
+    known = F.coalesce(v["offer_type"].isin(OFFER_TYPES), F.lit(False))
+    several = (v["offer_type"] == "multi_unit_offer") | (F.coalesce(v["photo_scope"], F.lit("")) == "mixed_units") | (F.coalesce(v["data_consistency"], F.lit("")) == "conflicting")
+    ambiguous = v["usable"].isNull() & (v["reason_code"] == "unclear") & several
+    evidence = F.coalesce(v["evidence"], F.lit(""))
+    quoted = normalised(evidence)
+    right = v["usable"].isNotNull() & v["reason_code"].isin(REASON_CODES) & v["confidence"].isin(CONFIDENCES) & (v["usable"] == (v["reason_code"] == "ok")) & v["evidence"].isNotNull() & (F.length(evidence) <= max_evidence)
+    accepted = (quoted == "") & (v["offer_type"] == "whole_apartment")
+    of_kind = F.when(v["reason_code"] == "partial_property", v["offer_type"] == "partial_property").when(v["reason_code"] == "not_apartment", v["offer_type"] == "non_apartment").when(v["reason_code"] == "not_sale", v["offer_type"] == "not_sale").otherwise(F.lit(True))
+    rejected = (quoted != "") & F.contains(normalised(text), quoted) & of_kind
+    decision = lambda usable, code, confidence: F.struct(usable.alias("usable"), code.alias("reason_code"), confidence.alias("confidence"))
+    return F.when(
+        same & known,
+        F.when(ambiguous, decision(F.lit(False), F.lit("unit_ambiguous"), F.when(v["offer_type"] == "multi_unit_offer", "high").otherwise("medium"))).when(
+            right & F.when(v["usable"], accepted).otherwise(rejected), decision(v["usable"], v["reason_code"], v["confidence"])
+        ),
+    )

@@ -18,9 +18,11 @@ def candidate_pairs(rows: DataFrame, keys: dict[str, Column], max_block: int = M
     """low, high, reasons: pairs that share a block of 2 to max_block rows. Larger blocks say nothing and are left out."""
     found = blocks(rows, keys).distinct()
     sizes = found.groupBy("reason", "key").agg(F.count("*").alias("n")).filter(F.col("n").between(2, max_block)).drop("n")
-    kept = found.join(sizes, ["reason", "key"])
-    low, high = kept.withColumnRenamed("id", "low"), kept.withColumnRenamed("id", "high")
-    return low.join(high, ["reason", "key"]).filter("low < high").groupBy("low", "high").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    # at most max_block ids a block, by the join; the groups lie where the join has put them
+    listed = found.join(sizes, ["reason", "key"]).groupBy("reason", "key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    after = lambda i: F.slice("ids", i + 2, F.size("ids"))
+    each = F.flatten(F.transform("ids", lambda x, i: F.transform(after(i), lambda y: F.struct(x.alias("low"), y.alias("high")))))
+    return listed.select("reason", F.explode(each).alias("p")).groupBy("p.low", "p.high").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
 def with_sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -61,9 +63,9 @@ def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
 
 
 def stratified(rows: DataFrame, stratum: str, order: str, quotas: dict[str, int]) -> DataFrame:
-    """The first rows of each stratum by order, as many as its quota."""
+    """The first rows of each stratum by order, as many as its quota. The largest quota bounds each window before its shuffle."""
     quota = F.coalesce(*(F.when(F.col(stratum) == k, F.lit(n)) for k, n in quotas.items()), F.lit(0))
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(stratum).orderBy(order))).filter(F.col("rn") <= quota)
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(stratum).orderBy(order))).filter(F.col("rn") <= max(quotas.values(), default=0)).filter(F.col("rn") <= quota)
 
 
 def largest_remainder(total: int, weights: list[int]) -> list[int]:

@@ -41,6 +41,22 @@ def lifecycle(any_active: Column, missing_at: Column, now: Column, grace_hours:
     return F.when(any_active, "active").when(age < grace_hours, "uncertain").otherwise("off_market")
 
 
+def numbered(rows: DataFrame, key: str, order: str, ranges: int = 256) -> DataFrame:
+    """rows with rn, their number (from 1) within their key by a whole-number order.
+
+    A key is no one task's work: its rows are numbered within ranges of the order, and moved by what the key has before.
+    """
+    cuts = rows.select(F.expr(f"approx_percentile({order}, array({', '.join(str(i / ranges) for i in range(1, ranges))}))")).first()[0] or []
+    edges = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
+    dealt = rows.withColumn("__range", F.size(F.filter(edges, lambda e: F.col(order) >= e)))
+    before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # at most `ranges` rows a key
+    sizes = dealt.groupBy(key, "__range").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumnsRenamed({key: "__key", "__range": "__of"})
+    inside = dealt.withColumn("__n", F.row_number().over(Window.partitionBy(key, "__range").orderBy(order)))
+    joined = inside.join(sizes, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__of")))
+    return joined.withColumn("rn", F.col("__n") + F.col("__before")).select(*rows.columns, "rn")
+
+
 def canonical(rows: DataFrame, entity: str, active: Column, price: Column, current: Column, quality: list[Column]) -> DataFrame:
     """One row per entity: active before inactive; the cheapest valid price of active rows, the current one on ties; quality."""
     valid = F.when(active & (price > 0) & ~F.isnan(price), price)

@@ -52,18 +52,18 @@ def one_to_one(pairs: DataFrame, left: str = "left", right: str = "right") -> Da
 def matched(pairs: DataFrame) -> DataFrame:
     """low, high, place, left_photo, right_photo, similarity: a row for each match."""
     rows = one_to_one(pairs).select("low", "high", F.posexplode("matches").alias("place", "m"))
-    return rows.select("low", "high", "place", "m.left_photo", "m.right_photo", F.round(-F.col("m.order"), 6).alias("similarity"))
+    return rows.select("low", "high", "place", "m.left_photo", "m.right_photo", F.bround(-F.col("m.order"), 6).alias("similarity"))
 
 
 def top_mean(matches: DataFrame, top: int = 3) -> DataFrame:
     """low, high, score: mean of a pair's first matches."""
-    return matches.filter(F.col("place") < top).groupBy("low", "high").agg(F.round(F.avg("similarity"), 6).alias("score"))
+    return matches.filter(F.col("place") < top).groupBy("low", "high").agg(F.bround(F.avg("similarity"), 6).alias("score"))
 
 
 def summary(scores: DataFrame) -> DataFrame:
     s = F.col("score")
     counts = [F.count_if(s >= 0.9).alias("at_least_90"), F.count_if(s >= 0.98).alias("at_least_98"), F.count_if(s < 0.7).alias("under_70")]
-    return scores.agg(F.count("*").alias("pairs"), F.min(s).alias("lowest"), F.round(F.median(s), 6).alias("middle"), F.max(s).alias("highest"), *counts)
+    return scores.agg(F.count("*").alias("pairs"), F.min(s).alias("lowest"), F.bround(F.median(s), 6).alias("middle"), F.max(s).alias("highest"), *counts)
 
 
 def numbered(photos: DataFrame, listing: str, order: str) -> DataFrame:
@@ -71,17 +71,17 @@ def numbered(photos: DataFrame, listing: str, order: str) -> DataFrame:
     return photos.withColumn("pos", F.row_number().over(Window.partitionBy(listing).orderBy(order)))
 
 
-def usable_urls(urls: Column, markers: list[str]) -> Column:
-    """Urls without blanks, placeholders (a marker in any case) and repeats, in their first order."""
-    blank = lambda u: u.isNull() | (F.trim(u) == "")
+def usable_url(url: Column, markers: list[str]) -> Column:
+    """Whether a url is neither blank nor a placeholder (a marker in any case)."""
+    found = F.coalesce(F.trim(url), F.lit("")) == ""
+    for m in markers:
+        found = found | F.contains(F.lower(url), F.lit(m.lower()))
+    return ~found
 
-    def marked(u: Column) -> Column:
-        found = F.lit(False)
-        for m in markers:
-            found = found | F.contains(F.lower(u), F.lit(m.lower()))
-        return found
 
-    return F.array_distinct(F.filter(urls, lambda u: ~blank(u) & ~marked(u)))
+def usable_urls(urls: Column, markers: list[str]) -> Column:
+    """Urls without blanks, placeholders (a marker in any case) and repeats, in their first order."""
+    return F.array_distinct(F.filter(urls, lambda u: usable_url(u, markers)))
 
 
 def prevalence(memberships: DataFrame, url: str) -> DataFrame:

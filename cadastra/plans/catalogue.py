@@ -22,6 +22,8 @@ ORACLES: dict = {}
 
 def query(sql: str | None = None):
     def register(fn):
+        if fn.__name__ in QUERIES:
+            raise ValueError(f"query {fn.__name__} is registered twice")
         QUERIES[fn.__name__] = fn
         if sql:
             ORACLES[fn.__name__] = sql
@@ -124,7 +126,8 @@ WITH p AS (SELECT p_partkey AS id, p_brand, p_size, 50.0 + (p_partkey % 100) * 0
 m AS (SELECT a.id AS low, b.id AS high, 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS m
     FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.id < b.id)
 SELECT low, high, CAST(floor(m) AS BIGINT) AS metres FROM m WHERE m <= 3000""")
-def pair_signals(spark, d):
+def pair_signals_wide(spark, d):
+    """Pairs of one brand and size within 3,000 m."""
     p = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size", (50.0 + (F.col("p_partkey") % 100) * 0.001).alias("lat"), (70.0 + (F.col("p_partkey") % 70) * 0.001).alias("lon"))
     pairs = C.with_sides(C.candidate_pairs(p, {"complex": F.concat_ws("|", "p_brand", "p_size")}), p)
     m = C.distance_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
@@ -216,8 +219,8 @@ def truncate_head_tail(spark, d):
 
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS chunk, source FROM documents")
 def batch_chunking(spark, d):
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return _t(spark, d, "documents").select("doc_id", F.floor((rn - 1) / 20).alias("chunk"), "source")
+    docs = H.numbered(_t(spark, d, "documents").select("doc_id", "source"), "source", "doc_id")
+    return docs.select("doc_id", F.floor((F.col("rn") - 1) / 20).alias("chunk"), "source")
 
 
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -230,11 +233,14 @@ def alias_resolution(spark, d):
     """Follows alias edges (each copy to the copy before it) to the surviving entity by pointer jumping."""
     docs = _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     alias = docs.select("doc_id", F.coalesce(F.lag("doc_id").over(Window.partitionBy("h").orderBy("doc_id")), "doc_id").alias("target"))
+    held = None
     for _ in range(64):
         jump = alias.select(F.col("doc_id").alias("target"), F.col("target").alias("further"))
         after = alias.join(jump, "target").select("doc_id", "target", "further").cache()
         moved = not after.filter("target <> further").isEmpty()
-        alias = after.select("doc_id", F.col("further").alias("target"))
+        if held is not None:
+            held.unpersist()
+        held, alias = after, after.select("doc_id", F.col("further").alias("target"))
         if not moved:
             return alias.select("doc_id", F.col("target").alias("survivor"))
     raise ValueError("aliases form a cycle")

@@ -253,7 +253,8 @@ _HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
 
 @query(f"SELECT {_HOST} AS host, count(DISTINCT url) FILTER (trim(url) <> '' AND NOT contains(lower(url), '/en') AND NOT contains(lower(url), 'utm_')) AS usable FROM pages GROUP BY 1")
 def placeholder_filter(spark, d):
-    return _photo_lists(spark, d).select("host", F.size(P.usable_urls(F.col("urls"), ["/EN", "utm_"])).cast("long").alias("usable"))
+    pages = _t(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.when(P.usable_url(F.col("url"), ["/EN", "utm_"]), F.col("url")).alias("u"))
+    return pages.groupBy("host").agg(F.count_distinct("u").alias("usable"))
 
 
 @query("SELECT CAST(sum(n) AS BIGINT) AS memberships, count(*) AS urls, max(n) AS most FROM (SELECT regexp_extract(url, '://([^?#]*)', 1) AS u, count(*) AS n FROM pages GROUP BY 1)")

@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from cadastra.functions.scalars import typed_hash
+
 
 class EventConflict(ValueError):
     """A stored event id came again with another payload."""
 
 
+#: The store is partitioned by a hash of the id, so that a batch reads only the parts that its ids fall into.
+BUCKETS = 64
+
+
 def with_hash(events: DataFrame, fields: list[str]) -> DataFrame:
-    return events.withColumn("event_hash", F.sha2(F.concat_ws("|", *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields)), 256))
+    """events with event_hash over the fields, their types and borders."""
+    return events.withColumn("event_hash", typed_hash(*map(F.col, fields)))
 
 
 def conflicts(new: DataFrame, stored: DataFrame) -> DataFrame:
@@ -27,11 +34,15 @@ def fresh(new: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def ingest_batch(batch: DataFrame, store: str, fields: list[str]) -> int:
-    """Appends a batch's fresh events to the Parquet store and returns their number; replays add nothing."""
+    """Appends a batch's fresh events to the Parquet store and returns their number; replays add nothing.
+
+    Check and append are two steps: a store has one writer.
+    """
     spark: SparkSession = batch.sparkSession
-    new = with_hash(batch, fields)
+    new = with_hash(batch, fields).withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(BUCKETS)).cast("int"))
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]
     try:
-        stored = spark.read.parquet(store)
+        stored = spark.read.parquet(store).filter(F.col("bucket").isin(touched))
     except Exception as missing:  # noqa: BLE001  the store begins empty
         if "PATH_NOT_FOUND" not in str(missing):
             raise
@@ -41,7 +52,7 @@ def ingest_batch(batch: DataFrame, store: str, fields: list[str]) -> int:
     found = fresh(new, stored).cache()
     n = found.count()
     if n:
-        found.write.mode("append").parquet(store)
+        found.write.mode("append").partitionBy("bucket").parquet(store)
     found.unpersist()
     return n
 
