@@ -32,7 +32,7 @@ from cadastra.llm.common import crc_mod, map_batches, materialise, sliced
 ORDER = 4
 #: The symbol of an end, and the bits of a symbol in a code.
 END, BITS = 256, 9
-NODES = 1_000_000
+NODES = 400_000
 HOT_WORDS = 60_000
 HELD_OUT_MODULUS = 10
 BLOCK = 1 << 20
@@ -63,7 +63,7 @@ class Table:
     """Positions of sorted distinct keys, by open addressing over whole arrays."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length() + 1)
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         size = 1 << self.bits
         self.keys, self.place = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
         slot, pending = self._slot(keys), np.arange(len(keys))
@@ -139,7 +139,9 @@ def hot_codes(nodes: DataFrame) -> tuple[Table, np.ndarray]:
             least = found + 1
             break
     rows = nodes.filter(size >= least).select("code", _stay().alias("p")).toArrow()
-    return Table(rows["code"].to_numpy().astype(np.uint64)), rows["p"].to_numpy()
+    codes, lengths = rows["code"].to_numpy().astype(np.uint64), rows["p"].to_numpy()
+    del rows
+    return Table(codes), lengths
 
 
 def _stay() -> Column:
@@ -200,7 +202,9 @@ def score(docs: DataFrame) -> DataFrame:
     n_words, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = n_words + ends, kinds + (1 if ends else 0)
     divisor = total + ALPHA * (distinct + 1)
-    hot = {bytes(r.word): r.c for r in words.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()}
+    commonest = words.orderBy(F.desc("c"), "word").limit(HOT_WORDS).toArrow()
+    hot = dict(zip(commonest["word"].to_pylist(), commonest["c"].to_pylist()))
+    del commonest
     levels = train_trie(training)
     sent_codes = spark.sparkContext.broadcast(hot_codes(levels[ORDER]))  # NODES at most
     sent_words = spark.sparkContext.broadcast({w: math.log10((c + ALPHA) / divisor) for w, c in hot.items()})  # HOT_WORDS at most
