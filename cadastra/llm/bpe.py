@@ -6,11 +6,17 @@ leftmost pair of minimum rank; pieces without a pair leave, until none is left.
 with the vocabulary and concatenates by position. A piece that is itself a vocabulary entry is that entry, as in the
 tokenizer. Whole texts are encoded; a text's ids are the concatenation of its pieces' ids.
 
-Work is cut into slices of about `SLICE_CHARS` code points, so a task's memory does not grow with its partition. The
-cache of encoded pieces is emptied when it is full: that costs time only.
+A piece of more than `CHUNK` bytes would take a step for each of its contractions, each over all its positions. It is
+cut into chunks instead, which are contracted side by side, and neighbouring chunks are joined, pair by pair, by
+contracting only some tokens on both sides of a border anew. This is exact: contractions are local, so tokens are the
+encoding of their bytes if and only if every two neighbours are the encoding of theirs. A border is settled once the
+contracted window begins and ends with the tokens that it was cut from; until then the window is doubled.
 
-Defined cases: null text equals empty text (no tokens). Very long pieces are contracted like others. Repeated ids
-return a row each. An empty table gives an empty result.
+Work is cut into slices of about `SLICE_CHARS` code points and into queries of bounded token-position rows, so a task's
+memory does not grow with its partition. The cache of encoded pieces is emptied when it is full: that costs time only.
+
+Defined cases: null text equals empty text (no tokens). Repeated ids return a row each. Ties of rank go to the leftmost
+pair. Other columns play no part, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +38,11 @@ SLICE_CHARS = 2_000_000
 CACHE_PIECES = 220_000
 #: Pieces of more tokens keep one row each while they are contracted; for others all steps' rows are quicker.
 LONG_PIECE = 64
+CHUNK = 512
+#: Tokens on both sides of a border, at first.
+WINDOW = 6
+#: Token-position rows of a query, for long and (over all steps) for short pieces.
+QUERY_ROWS, QUERY_STEP_ROWS = 250_000, 12_000_000
 
 _ENCODE = """
 WITH RECURSIVE encoding(piece, tokens) {keyed} AS (
@@ -77,7 +88,8 @@ class Tokenizer:
     def __init__(self, rank_file: str, pattern: str):
         self.ranks = read_ranks(rank_file)
         self.pattern = regex.compile(pattern)
-        self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         pairs, merged = [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -96,15 +108,51 @@ class Tokenizer:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        raw = [p.encode() for p in pieces]
-        start = [[self.ranks[b]] if b in self.ranks else [self.byte_ids[x] for x in b] for b in raw]
-        self._load("pieces", pa.table({"piece": pa.array(range(len(pieces)), pa.int32()), "tokens": pa.array(start, pa.list_(pa.int32()))}))
+    def contract(self, raws: list[bytes]) -> list[np.ndarray]:
+        """Ids of byte strings, contracted from single bytes, in queries of bounded rows."""
+        out, part, rows = [], [], 0.0
+        for raw in raws:
+            cost = len(raw) / QUERY_ROWS if len(raw) > LONG_PIECE else len(raw) ** 2 / QUERY_STEP_ROWS
+            if part and rows + cost > 1:
+                out += self._contract(part)
+                part, rows = [], 0.0
+            part.append(raw)
+            rows += cost
+        return out + self._contract(part) if part else out
+
+    def _contract(self, raws: list[bytes]) -> list[np.ndarray]:
+        values = self.byte_ids[np.frombuffer(b"".join(raws), np.uint8)]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        self._load("pieces", pa.table({"piece": pa.array(range(len(raws)), pa.int32()), "tokens": tokens}))
         found = self.db.sql(_ENCODE_ALL).to_arrow_table().column("tokens").combine_chunks()
         ids, ends = found.flatten().to_numpy().astype("<u4"), found.offsets.to_numpy()
         ends = ends - ends[0]
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
+    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        raws = [p.encode() for p in pieces]
+        known = [np.array([self.ranks[r]], "<u4") if r in self.ranks else None for r in raws]
+        short = iter(self.contract([r for r, k in zip(raws, known) if k is None and len(r) <= CHUNK]))
+        return [k if k is not None else next(short) if len(r) <= CHUNK else self.encode_long(r) for r, k in zip(raws, known)]
+
+    def encode_long(self, raw: bytes) -> list[np.ndarray]:
+        """Ids of a long byte string: chunks side by side, then joined pair by pair."""
+        parts = self.contract([raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)])
+        while len(parts) > 1:
+            pairs = list(zip(parts[::2], parts[1::2]))
+            joined: list = [None] * len(pairs)
+            open_, reach = list(range(len(pairs))), WINDOW
+            while open_:
+                windows = [np.concatenate([pairs[i][0][-reach:], pairs[i][1][:reach]]) for i in open_]
+                for i, ids in zip(open_, self.contract([b"".join(self.bytes_of[t] for t in w.tolist()) for w in windows])):
+                    left, right = pairs[i]
+                    if (reach >= len(left) or ids[0] == left[-reach]) and (reach >= len(right) or ids[-1] == right[reach - 1]):
+                        joined[i] = np.concatenate([left[:-reach], ids, right[reach:]])
+                open_, reach = [i for i in open_ if joined[i] is None], 2 * reach
+            parts = joined + parts[len(pairs) * 2 :]
+        return parts[0]
+
     def decode_sequences(self, sequences: list[np.ndarray]) -> list[bytes]:
         values = np.concatenate(sequences) if sequences else np.zeros(0, np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sequences])]).astype(np.int32)

@@ -5,6 +5,7 @@ import math
 import os
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -438,6 +439,26 @@ def test_bpe_equals_the_tokenizer(edge):
     assert bpe.encode(empty(edge), path, public.PATTERN).count() == 0
 
 
+def test_bpe_of_long_pieces_equals_the_tokenizer(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    path = public.path("byte_bpe_50k.tiktoken")
+    encoding = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    tokenizer = bpe.Tokenizer(path, public.PATTERN)
+    rng = np.random.default_rng(10)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(list(of), n))
+    english = "thequickbrownfoxjumpsoverthelazydogandrunsintotheinternationalizationdepartment"
+    texts = [letters(100_000), "a" * 5000, english * 40, "=" * 3000, " " * 3000, letters(4000, "ab"), letters(3000, "\u6f22\u5b57\u3042"), letters(2000, "\u00e9\u00fc"), "https" * 700]
+    began = time.time()
+    for chunk, window in ((bpe.CHUNK, bpe.WINDOW), (16, 1)):
+        monkeypatch.setattr(bpe, "CHUNK", chunk)
+        monkeypatch.setattr(bpe, "WINDOW", window)
+        for text in texts if chunk > 16 else [t[:3000] for t in texts]:
+            pieces = tokenizer.pattern.findall(text)
+            assert np.concatenate(tokenizer.encode_pieces(pieces)).tolist() == encoding.encode_ordinary(text)
+    assert time.time() - began < 60
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=8)], i % 3) for i in range(300)] + [(400, [0.5] * 8, 1), (401, [0.5] * 8, 1), (402, None, 1), (403, [float("nan")] * 8, 1), (404, [None] * 8, 1), (500, [float("inf")] * 8, 1), (600, [1.0], 2)]
