@@ -415,15 +415,80 @@ def test_pii_base_patterns_and_added_spans(spark, edge):
     base = pii.base_spans(text)
     assert [(k, text[s:e]) for k, s, e in base] == [("email", "a.b@mail.example.com"), ("email", "_x@d.e"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+44 20 7946 0958")]
     assert pii.base_spans("@" * 50 + "1" * 5000 + "." * 50) == []
-    weights = pii.train(spark.createDataFrame([(i, f"write to user{i}@mail.example.com or call +1 (555) 010-{1000 + i} now") for i in range(60)], "doc_id long, text string"))
-    spoken = "write to user7 (at) mail.example.com or"
-    assert ("email", 9, 36) in pii.added_spans(spoken, [], weights)
-    assert pii.added_spans("version 4.0. AKIA12 and 3 of 17", [], weights) == []
+    rng = np.random.default_rng(13)
+
+    def card():
+        digits = "4" + "".join(str(x) for x in rng.integers(0, 10, 14))
+        return next(digits + str(c) for c in range(10) if pii.luhn(digits + str(c)))
+
+    rows = []
+    for i in range(400):
+        number = f"{rng.integers(200, 999)}-{rng.integers(200, 999)}-{rng.integers(1000, 9999)}"
+        kinds = [f"write to user{i}.n@mail.example.com or not", f"call +1-{number} now", f"pay with {card()} today", f"host {rng.integers(1, 255)}.{rng.integers(255)}.{rng.integers(255)}.{rng.integers(255)} is up"]
+        noise = f"version 4.0.{i % 9} of 17 March 2021, page {i} of 300, sum 1,204.50 and code {rng.integers(10**9)}x{i}, key AKIA{rng.integers(10**12)}z9 "
+        rows.append((i, f"{noise} {kinds[i % 4]} {noise}"))
+    weights = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    # forms that training never shows
+    hidden = {
+        "email": ["user7{at}mail.example.com", "user7 <at> mail<dot>example<dot>com", "user7 AT mail DOT example DOT com"],
+        "phone": ["1~555~010~1234", "(001 555 010 1234)", "+1/555/010/1234"],
+        "ip": ["10;20;30;40", "10 [dot] 20 [dot] 30 [dot] 40", "10{.}20{.}30{.}40"],
+        "card": ["4111|1111|1111|1111", "4111=1111=1111=1111"],
+    }
+    found = []
+    for kind, forms in hidden.items():
+        for form in forms:
+            text = f"here {form} ends"
+            found.append((kind, form, any(k == kind and text[s:e] in (form, form.strip("()")) for k, s, e in pii.added_spans(text, pii.base_spans(text), weights))))
+    assert sum(f[2] for f in found) >= 0.9 * len(found), [f for f in found if not f[2]]
+    for clean in ["version 4.0. AKIA12 and 3 of 17", "on 12 March 2021 at 10.45, page 17 of 300", "sum 1,204.50 and 7 of 9", "look at the picture of the dot", "deadbeef00c0ffee0123456789abcdef"]:
+        assert pii.added_spans(clean, [], weights) == [], clean
+    long = "1" * 300_000 + " " + "a@" * 2000 + " 7 " * 3000
+    assert pii.added_spans(long, pii.base_spans(long), weights) == []
     out = pii.find(edge, weights)
     assert out.count() == edge.count() and out.filter("n_email + n_ip + n_card + n_phone > 0").count() == 0
     assert pii.find(empty(edge), weights).count() == 0
 
 
+def test_pii_base_equals_the_contract_on_random_text():
+    rng = np.random.default_rng(14)
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    right = {
+        "email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")),
+        "card": lambda s: 16 <= len(d := re.sub("[^0-9]", "", s)) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0,
+        "phone": lambda s: 8 <= len(re.sub("[^0-9]", "", s)) <= 15,
+    }
+    for i in range(3000):
+        text = "".join(rng.choice(list("0123456789" * 2 + " .-+()@ab_\n\u00e9"), int(rng.integers(1, 90))))
+        if i % 3 == 0:
+            text = text.replace("a", "4111-1111 11111111").replace("b", "12.0.255.7")
+        want = [(k, *m.span()) for k, p in patterns.items() for m in re.finditer(p, text) if right[k](m[0])]
+        assert pii.base_spans(text) == want, text
+
+
+def test_semi_markov_sums_equal_all_segmentations():
+    rng = np.random.default_rng(15)
+    n = 4
+    found = [(i, i, 0, 0, 0, [f"o{i}"]) for i in range(n)] + [(i, j, y, 0, 0, [f"{i}{j}{y}"]) for i in range(n) for j in range(i, n) for y in (1, 3)]
+    weights = {f: float(rng.normal()) for c in found for f in c[5]} | {f"{a}>{b}": float(rng.normal()) for a in range(5) for b in range(5)}
+
+    def ways(t, before):
+        if t == n:
+            yield 0.0, []
+        for x, c in enumerate(found):
+            if c[0] == t:
+                for score, rest in ways(c[1] + 1, c[2]):
+                    yield score + weights[c[5][0]] + weights[f"{before}>{c[2]}"], [x, *rest]
+
+    every = list(ways(0, 0))
+    total = math.log(sum(math.exp(s) for s, _ in every))
+    best = max(every)
+    spans = pii.segment(n, found, weights)
+    assert sorted(x for x, _ in spans) == sorted(x for x in best[1] if found[x][2])
+    for x, p in spans:
+        assert p == pytest.approx(sum(math.exp(s - total) for s, path in every if x in path))
+
+
 def test_bpe_equals_the_tokenizer(edge):
     public = pytest.importorskip("public_tokenizers")
     tiktoken = pytest.importorskip("tiktoken")
