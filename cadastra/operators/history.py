@@ -51,7 +51,7 @@ def numbered(rows: DataFrame, key: str, order: str, ranges: int = 256) -> DataFr
     dealt = rows.withColumn("__range", F.size(F.filter(edges, lambda e: F.col(order) >= e)))
     before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     # at most `ranges` rows a key
-    sizes = dealt.groupBy(key, "__range").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumnsRenamed({key: "__key", "__range": "__of"})
+    sizes = dealt.groupBy(key, "__range").agg(F.count("*").alias("__count")).withColumn("__before", F.coalesce(F.sum("__count").over(before), F.lit(0))).withColumnsRenamed({key: "__key", "__range": "__of"})
     inside = dealt.withColumn("__n", F.row_number().over(Window.partitionBy(key, "__range").orderBy(order)))
     joined = inside.join(sizes, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__of")))
     return joined.withColumn("rn", F.col("__n") + F.col("__before")).select(*rows.columns, "rn")
