@@ -320,3 +320,37 @@ def test_readers_see_one_version_and_old_ones_go(spark, tmp_path):
     assert spark.read.option("header", True).csv(csv).first().b == "[1,2]"
     snapshot.write_report(spark, f"{root}/report.json", {"b": 1, "a": "é"})
     assert json.loads((tmp_path / "clean/report.json").read_text()) == {"a": "é", "b": 1}
+
+
+def test_outbox_is_stored_before_it_is_acknowledged(spark, tmp_path):
+    from cadastra.streaming import outbox
+
+    source, root = str(tmp_path / "in"), f"file://{tmp_path}/store"
+    shape = "outbox_id long, listing_id string, content_hash string, version string, result string"
+    page = lambda *rows: spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(source)
+    acked: list = []
+    run = lambda: outbox.stream(spark.readStream.schema(shape).parquet(source), root, str(tmp_path / "check"), acked.append).start().awaitTermination()
+    page((1, "a", "0" * 16, "v1", '{"x":1}'), (2, "b", "short", "v1", "{}"), (3, "a", "0" * 16, "v1", '{"x":2}'))
+    run()
+    assert acked == [3] and rows_of(snapshot.read_current(spark, root), "listing_id", "result") == [("a", '{"x":2}')]
+    page((4, "c", "1" * 16, "v1", '{"x":3}'))
+    run()
+    assert acked == [3, 4] and rows_of(snapshot.read_current(spark, root), "listing_id", "result") == [("a", '{"x":2}'), ("c", '{"x":3}')]
+    # a lost acknowledgement: the same page again
+    again = spark.createDataFrame([(4, "c", "1" * 16, "v1", '{"x":9}')], shape)
+    version = snapshot.current_version(spark, root)
+    assert outbox.store_page(again, root, version) == 4 and snapshot.read_current(spark, root).filter("result like '%9%'").isEmpty()
+
+
+def test_light_tick_waits_for_relabelling(spark, tmp_path):
+    from cadastra.streaming import outbox
+
+    rows = spark.sql("SELECT '1' AS id, 'h' AS content_hash, '1' AS baseline_eligible, 'professional' AS seller_type, 'active' AS status, '5' AS price, 'x' AS last_seen_at")
+    verdicts = spark.sql("SELECT '1' AS id, 'h' AS content_hash, 1 AS usable, 'ok' AS reason_code")
+    members = spark.sql("SELECT '1' AS listing, 'E' AS entity")
+    entities = spark.sql("SELECT 'E' AS entity, 'active' AS lifecycle_status, '' AS first_seen_at, '' AS last_seen_at, 0 AS relist_count, 1L AS members, 1L AS active")
+    current = spark.createDataFrame([], "entity string, canonical string")
+    tick = lambda v, waiting, version: outbox.light_tick(rows, v, verdicts.limit(0), members, entities, current, waiting, f"file://{tmp_path}/out", version)
+    assert tick(verdicts, verdicts.select("id"), "1") == "relabelling"
+    assert tick(verdicts.withColumn("content_hash", F.lit("old")), verdicts.select("id").limit(0), "1") == "empty"
+    assert tick(verdicts, verdicts.select("id").limit(0), "2") == "published" and snapshot.read_current(spark, f"file://{tmp_path}/out").first().entity == "E"
