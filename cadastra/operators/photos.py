@@ -87,3 +87,36 @@ def usable_urls(urls: Column, markers: list[str]) -> Column:
 def prevalence(memberships: DataFrame, url: str) -> DataFrame:
     """memberships, urls, most: how many rows, distinct urls, and rows of the commonest url."""
     return memberships.groupBy(url).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("memberships"), F.count("*").alias("urls"), F.max("n").alias("most"))
+
+
+def analysed(frames: DataFrame, failed: DataFrame, bits: int = 4, rgb: float = 0.08, max_photos: int = MAX_PHOTOS) -> DataFrame:
+    """listing, frames (kept ones), considered, decoded, unique, errors, content_set_hash, evidence_set_hash.
+
+    frames: decoded photos; failed: listing, url_hash, error of those that could not be read. The content hash is over all
+    decoded photos, the evidence hash over what the kept ones show.
+    """
+    seen = frames.filter(F.col("pos") <= max_photos).groupBy("listing").agg(F.count("*").alias("decoded"), F.sha2(F.to_json(F.array_sort(F.collect_list("sha"))), 256).alias("content_set_hash"))
+    lost = failed.groupBy("listing").agg(F.count("*").alias("errors"))
+    shown = F.array_sort(F.transform("frames", lambda f: F.struct(f["bits"].alias("bits"), f["rgb"].alias("rgb"))))
+    kept = dedupe(frames, bits, rgb, max_photos).select("listing", "frames", F.size("frames").cast("long").alias("unique"), F.sha2(F.to_json(shown), 256).alias("evidence_set_hash"))
+    return seen.join(kept, "listing").join(lost, "listing", "left").withColumn("errors", F.coalesce("errors", F.lit(0).cast("long"))).withColumn("considered", F.col("decoded") + F.col("errors"))
+
+
+def pair_documents(pairs: DataFrame, listings: DataFrame, versions: dict[str, str], top: int = 3) -> DataFrame:
+    """low, high, document: versioned evidence of candidates (low, high, revision, low_hash, high_hash) as one struct.
+
+    listings: as `analysed` gives them. Pairs with a side that shows nothing have none. The decision is always
+    `uncertain`: scores are not calibrated, and nothing is merged by them.
+    """
+    side = lambda name: listings.select(F.col("listing").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in listings.columns if c != "listing"))
+    both = pairs.join(side("low"), "low").join(side("high"), "high").filter("low_unique > 0 and high_unique > 0")
+    matches = F.transform("matches", lambda m: F.struct(m["left_photo"].alias("left_photo"), m["right_photo"].alias("right_photo"), F.bround(-m["order"], 6).alias("similarity")))
+    first = F.slice(matches, 1, top)
+    score = F.bround(F.aggregate(first, F.lit(0.0), lambda s, m: s + m["similarity"]) / F.size(first), 6)
+    stats = lambda s: F.struct(*(F.col(f"{s}_{c}").alias(c) for c in ("considered", "decoded", "unique", "errors")), (F.col(f"{s}_decoded") - F.col(f"{s}_unique")).alias("duplicates"))
+    listing = lambda s: F.struct(F.col(f"{s}_hash").alias("identity_hash"), F.col(f"{s}_content_set_hash").alias("photo_content_set_hash"), F.col(f"{s}_evidence_set_hash").alias("photo_evidence_set_hash"), F.col(f"{s}_frames.photo").alias("assets"), stats(s).alias("stats"))
+    document = F.struct(
+        F.col("revision").alias("candidate_revision_hash"), F.lit("uncertain").alias("decision"), score.alias("score"), *(F.lit(v).alias(k) for k, v in versions.items()),
+        listing("low").alias("listing_a"), listing("high").alias("listing_b"), matches.alias("matches"), F.lit(False).alias("calibrated"), F.lit(False).alias("auto_merge_allowed"),
+    )
+    return one_to_one(both, "low_frames", "high_frames").select("low", "high", document.alias("document"))

@@ -143,3 +143,43 @@ def page(rows: DataFrame, order: str = "priority", limit: int = 50, offset: int
         raise ValueError("a page has 1 to 500 rows")
     by = [F.desc("priority"), "updated_at", "low", "high"] if order == "priority" else ["revision", "low", "high"]
     return rows.orderBy(*(b for b in by if not isinstance(b, str) or b in rows.columns)).offset(offset).limit(limit)
+
+
+#: Versions that evidence must name.
+EVIDENCE_VERSIONS = ["normalization_version", "fingerprint_version", "intra_listing_dedupe_version", "photo_role_model_version", "photo_asset_stats_version", "matcher_version"]
+DECISIONS = ["likely_same", "likely_different", "uncertain"]
+
+
+def judged_evidence(incoming: DataFrame, candidates: DataFrame, state: DataFrame) -> DataFrame:
+    """incoming (a, b, revision, decision, score, versions, and of each side identity and photo set) with low, high, outcome, match_revision.
+
+    candidates: low, high, revision, low_hash, high_hash of current pairs; state: id, photo_set_hash. outcome: invalid
+    (one listing, an unknown one, a version missing, a wrong decision or score), stale (the pair, its revision, an
+    identity or a photo set has changed), else accepted. Sides given in the other order are swapped.
+    """
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    swapped = a > b
+    pick = lambda low, high: F.when(swapped, F.col(high)).otherwise(F.col(low))
+    rows = incoming.withColumns({"low": F.least(a, b), "high": F.greatest(a, b), "low_identity": pick("identity_a", "identity_b"), "high_identity": pick("identity_b", "identity_a"), "low_photos": pick("photos_a", "photos_b"), "high_photos": pick("photos_b", "photos_a")})
+    side = lambda name: state.select(F.col("id").alias(name), F.col("photo_set_hash").alias(f"{name}_set"), F.lit(True).alias(f"{name}_known"))
+    now = candidates.select("low", "high", F.col("revision").alias("current"), "low_hash", "high_hash")
+    both = rows.join(side("low"), "low", "left").join(side("high"), "high", "left").join(now, ["low", "high"], "left")
+    versions = F.lit(True)
+    for v in EVIDENCE_VERSIONS:
+        versions = versions & (F.coalesce(F.col(v), F.lit("")) != "")
+    score = S.number(F.col("score"))
+    right = (F.col("low") != F.col("high")) & F.col("low_known") & F.col("high_known") & versions & F.col("decision").isin(DECISIONS) & score.between(0, 1)
+    same = lambda x, y: F.nullif(F.col(x), F.lit("")).eqNullSafe(F.nullif(F.col(y), F.lit("")))
+    fresh = (F.col("revision") == F.col("current")) & same("low_identity", "low_hash") & same("high_identity", "high_hash") & same("low_photos", "low_set") & same("high_photos", "high_set")
+    outcome = F.when(~F.coalesce(right, F.lit(False)), "invalid").when(~F.coalesce(fresh, F.lit(False)), "stale").otherwise("accepted")
+    parts = ["low", "high", "revision", "low_hash", "high_hash", "low_photos", "high_photos", *EVIDENCE_VERSIONS]
+    hashed = F.when(F.col("outcome") == "accepted", S.typed_hash(*map(F.col, parts)))
+    return both.withColumn("outcome", outcome).withColumn("match_revision", hashed).select(*incoming.columns, "low", "high", "outcome", "match_revision")
+
+
+def edges_after(edges: DataFrame, judged: DataFrame) -> DataFrame:
+    """edges (low, high, match_revision, score, decision, is_current) with the accepted evidence; a pair has one current edge, the last of `arrived`."""
+    last = judged.filter("outcome = 'accepted'").groupBy("low", "high").agg(F.max_by(F.struct("match_revision", S.number(F.col("score")).alias("score"), "decision"), "arrived").alias("e")).select("low", "high", "e.*", F.lit(True).alias("is_current"))
+    pairs = last.select("low", "high", F.col("match_revision").alias("new"))
+    old = edges.join(pairs, ["low", "high"], "left").filter("new is null or new <> match_revision").withColumn("is_current", F.col("is_current") & F.col("new").isNull()).drop("new")
+    return old.unionByName(last)

@@ -305,6 +305,26 @@ def candidate_revisions(spark, d):
     return R.renewed(stored, pairs.filter(third > 0)).select("low", "high", "is_current")
 
 
+_INCOMING = f"SELECT low AS x, high AS y, ka, kc, CASE WHEN ka % 7 = 0 THEN 'invalid' WHEN ka % 11 = 0 OR kc % 5 = 0 OR kc % 9 = 0 THEN 'stale' ELSE 'accepted' END AS outcome FROM refreshed"
+
+
+@query(f"WITH {_REFRESHED} SELECT outcome, count(*) AS n FROM ({_INCOMING}) GROUP BY 1")
+def evidence_record(spark, d):
+    """Evidence on every pair, sides in the other order for some: some without a version, some on what has changed since."""
+    homes, pairs = _refreshed(spark, d)
+    state = homes.select("id", F.concat(F.lit("set"), "id").alias("photo_set_hash"))
+    ka, kc = F.col("low").cast("long"), F.col("high").cast("long")
+    turned = ka % 2 == 1
+    side = lambda low, high: F.when(turned, high).otherwise(low)
+    sent = pairs.select(
+        side(F.col("low"), F.col("high")).alias("a"), side(F.col("high"), F.col("low")).alias("b"), F.when(ka % 11 == 0, "older").otherwise(F.col("revision")).alias("revision"), F.lit("uncertain").alias("decision"), F.lit("0.5").alias("score"),
+        *(F.when((ka % 7 == 0) & F.lit(v == "matcher_version"), "").otherwise("v1").alias(v) for v in R.EVIDENCE_VERSIONS),
+        side(F.col("low_hash"), F.when(kc % 5 == 0, "older").otherwise(F.col("high_hash"))).alias("identity_a"), side(F.when(kc % 5 == 0, "older").otherwise(F.col("high_hash")), F.col("low_hash")).alias("identity_b"),
+        side(F.concat(F.lit("set"), "low"), F.when(kc % 9 == 0, "").otherwise(F.concat(F.lit("set"), "high"))).alias("photos_a"), side(F.when(kc % 9 == 0, "").otherwise(F.concat(F.lit("set"), "high")), F.concat(F.lit("set"), "low")).alias("photos_b"),
+    )
+    return R.judged_evidence(sent, pairs, state).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 @query("SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey) > 1 AS shared FROM supplier")
 def identity_hashes(spark, d):
     """Suppliers of one nation are one home: their identity hashes are equal, and only theirs."""

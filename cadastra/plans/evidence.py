@@ -268,3 +268,24 @@ def snapshot_validation(spark, d):
     n = F.size("urls")
     stated = _photo_lists(spark, d).withColumns({"photo_count": F.when(n % 3 == 0, n + 1).otherwise(n), "photo_set_hash": F.when(n % 5 == 0, "other").otherwise(X.set_hash(F.col("urls")))})
     return stated.filter(snapshot.photo_identity_wrong(F.col("urls"), F.col("photo_count"), F.col("photo_set_hash"))).select("host")
+
+
+_SHOWN = f"""{_KEPT}, final AS (SELECT listing, arg_max(frames, n) AS frames FROM kept GROUP BY listing)"""
+_LOST = "label % 4 = 3"
+
+
+@query(f"{_SHOWN}, e AS (SELECT vec_id // 10 AS listing, count(*) AS decoded, count(*) FILTER ({_LOST}) AS errors FROM embeddings GROUP BY 1) SELECT e.listing, decoded, errors, decoded + errors AS considered, CAST(len(frames) AS BIGINT) AS kept FROM e JOIN final f ON f.listing = e.listing")
+def photo_analysis(spark, d):
+    """Listings' photos: decoded, failed (planted by label beside the decoded ones), kept."""
+    lost = _t(spark, d, "embeddings").filter(_LOST).select(F.expr("vec_id div 10").alias("listing"), F.lit("x").alias("url_hash"), F.lit("broken").alias("error"))
+    return P.analysed(_frames(spark, d), lost, BITS, RGB).select("listing", "decoded", "errors", "considered", F.col("unique").alias("kept"))
+
+
+@query(f"{_SHOWN}, w AS (SELECT vec_id // 10 AS listing, count(*) AS decoded FROM embeddings GROUP BY 1) SELECT a.listing AS low, b.listing AS high, CAST(len(a.frames) AS BIGINT) AS low_unique, x.decoded - len(a.frames) AS low_duplicates, CAST(least(len(a.frames), len(b.frames)) AS BIGINT) AS matches, 'm1' AS matcher FROM final a JOIN final b ON b.listing = a.listing + 1 JOIN w x ON x.listing = a.listing")
+def pair_evidence(spark, d):
+    """Evidence documents of each listing with the next."""
+    listed = P.analysed(_frames(spark, d), _t(spark, d, "embeddings").limit(0).select(F.col("vec_id").alias("listing"), F.lit("").alias("url_hash"), F.lit("").alias("error")), BITS, RGB)
+    pairs = listed.select(F.col("listing").alias("low"), (F.col("listing") + 1).alias("high"), F.lit("r").alias("revision"), F.lit("a").alias("low_hash"), F.lit("b").alias("high_hash"))
+    out = P.pair_documents(pairs, listed, {"matcher_version": "m1", "normalization_version": "n1"})
+    doc = F.col("document")
+    return out.select("low", "high", doc["listing_a"]["stats"]["unique"].alias("low_unique"), doc["listing_a"]["stats"]["duplicates"].alias("low_duplicates"), F.size(doc["matches"]).cast("long").alias("matches"), doc["matcher_version"].alias("matcher"))

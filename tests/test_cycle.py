@@ -169,6 +169,12 @@ def test_refresh_scores_carries_and_overrides(spark):
     assert {r.status for r in R.refresh(moved, *none[:1], evidence).filter("low = '100' and high = '30'").collect()} == {"metadata_conflict"}
 
 
+def test_one_current_edge_for_each_pair(spark):
+    edges = spark.createDataFrame([("1", "2", "m0", 0.1, "uncertain", True), ("1", "3", "m0", 0.1, "uncertain", True), ("1", "2", "m1", 0.1, "uncertain", False)], "low string, high string, match_revision string, score double, decision string, is_current boolean")
+    judged = spark.createDataFrame([("1", "2", "accepted", "m1", "0.9", "likely_same", 1), ("1", "2", "accepted", "m1", "0.8", "likely_same", 2), ("1", "3", "stale", None, "0.9", "likely_same", 3)], "low string, high string, outcome string, match_revision string, score string, decision string, arrived int")
+    assert rows_of(R.edges_after(edges, judged), "low", "high", "match_revision", "score", "is_current") == [("1", "2", "m0", 0.1, False), ("1", "2", "m1", 0.8, True), ("1", "3", "m0", 0.1, True)]
+
+
 def test_review_filters_and_pages(spark):
     pairs = spark.createDataFrame([("1", "2", ["a", "b"], 65, "awaiting_photo_analysis", "r2"), ("1", "3", ["a"], 30, "photo_evidence_ready", "r1"), ("4", "5", ["a"], 30, "awaiting_photo_analysis", "r0")], "low string, high string, reasons array<string>, priority int, status string, revision string")
     snaps = spark.createDataFrame([("1", "active", "1"), ("2", "active", "0"), ("3", "missing", None)], "id string, status string, baseline_eligible string")
