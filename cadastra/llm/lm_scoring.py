@@ -161,7 +161,8 @@ def escapes(codes: DataFrame, levels: list[DataFrame]) -> DataFrame:
     leave = math.log10(kinds / (total + kinds)) if kinds else 0.0
     wanted = [codes]
     for j in range(ORDER - 1, -1, -1):
-        wanted.insert(0, wanted[0].select(_suffix(j).alias("code")).distinct())
+        wanted.insert(0, materialise(wanted[0].select(_suffix(j).alias("code")).distinct()))
+    # each order is a table of its own, so that no plan grows with the orders
     below = wanted[0].join(levels[0], "code", "left").select("code", "n", F.coalesce(_stay(), F.lit(leave + bottom)).alias("fresh"), F.lit(bottom).alias("tail"))
     for j in range(1, ORDER + 1):
         shorter = levels[j - 1].select(F.col("code").alias("suffix"), F.col("n").alias("low_n"), F.col("total").alias("low_total"), F.col("kinds").alias("low_kinds"))
@@ -176,7 +177,7 @@ def escapes(codes: DataFrame, levels: list[DataFrame]) -> DataFrame:
         rest = F.log10(F.col("rest") + F.col("new"))
         tail = F.when(F.col("below_n").isNotNull(), F.log10("below_n") - rest).otherwise(F.when(F.col("new") > 0, F.log10("new") - rest).otherwise(0.0) + F.col("below_tail"))
         left = F.log10("kinds") - F.log10(F.col("total") + F.col("kinds")) + F.col("tail")
-        below = held.withColumn("tail", tail).select("code", "n", F.when(F.col("n").isNotNull(), _stay()).when(F.col("total").isNull(), F.col("below_fresh")).otherwise(left).alias("fresh"), "tail")
+        below = materialise(held.withColumn("tail", tail).select("code", "n", F.when(F.col("n").isNotNull(), _stay()).when(F.col("total").isNull(), F.col("below_fresh")).otherwise(left).alias("fresh"), "tail"))
     return below.select("code", F.col("fresh").alias("p"))
 
 
@@ -270,7 +271,7 @@ def score(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("code_id"), F.col("row_key").alias("code_key"), F.col("item.codes").alias("code"), F.col("item.times").alias("times"), (F.col("pos") == 0).cast("int").alias("first")
     )
     # rows that repeat id and text add up alike, as below
-    cold_codes = rare_codes.join(lengths_of_codes, "code").groupBy("code_id", "code_key").agg((F.sum(F.col("times") * F.col("p")) / F.sum("first")).alias("more_bits"))
+    cold_codes = materialise(rare_codes.join(lengths_of_codes, "code").groupBy("code_id", "code_key").agg((F.sum(F.col("times") * F.col("p")) / F.sum("first")).alias("more_bits")))
     rare = map_batches(texts.select("doc_id", "row_key", "text"), cold_words, "id long, key long, word binary, times int, first int")
     c = F.coalesce("c", F.lit(0))
     # rows that repeat id and text add up alike: their number is the sum of first
