@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.functions import scalars as S
 from cadastra.operators import entities as E
 
 
@@ -119,7 +118,3 @@ def detail(requested: DataFrame, aliases: DataFrame, members: DataFrame, state:
     lists = each.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("first_seen_at", "listing", "status", F.coalesce("events", empty).alias("events")))).alias("members"))
     past = canonical.join(asked.select("entity").distinct(), "entity").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("valid_from", "listing", "valid_to"))).alias("canonical_history"))
     return asked.join(lists, "entity").join(past, "entity", "left")
-
-
-def price_number(value: Column) -> Column:
-    return S.price(value)
