@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm import bpe, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, pii, topk, toxicity, url_filters
+from cadastra.llm import bpe, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, pii, token_output, topk, toxicity, url_filters
 from cadastra.llm.common import table
 
 
@@ -96,6 +96,15 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+
+
+def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = token_output.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
+    return token_output.read_token_files(spark, files)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -107,6 +116,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_bpe": op9_bpe,
     "op10_top_k": op10_top_k,
+    "op12_token_output": op12_token_output,
 }
 
 ORACLES = {"op1_line_dedup": OP1_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op7_mixing": mixing.ORACLE, "op10_top_k": OP10_SQL}
