@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm import bpe, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, pii, token_output, topk, toxicity, url_filters
+from cadastra.llm import alignment, bpe, conversation_trie, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, pii, token_output, topk, toxicity, url_filters
 from cadastra.llm.common import table
 
 
@@ -98,6 +98,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -105,6 +111,10 @@ def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_token_files(spark, files)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -116,7 +126,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_bpe": op9_bpe,
     "op10_top_k": op10_top_k,
+    "op11_alignment": op11_alignment,
     "op12_token_output": op12_token_output,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLES = {"op1_line_dedup": OP1_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op7_mixing": mixing.ORACLE, "op10_top_k": OP10_SQL}
