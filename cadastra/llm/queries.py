@@ -115,6 +115,32 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+OP13_SQL = """
+WITH own AS (
+    SELECT conv_id AS c, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+headed AS (
+    SELECT *, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: [CAST(ascii(s) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+        lambda a, e: xor(xor(a, e) >> 1, (xor(a, e) & 1) * 3988292384)), 4294967295) % 4 AS h FROM own),
+rebuilt AS (
+    SELECT o.c, list_concat(coalesce(b.ts, [])[:o.h], o.ts[o.h + 1:]) AS ts FROM headed o LEFT JOIN own b ON b.c = o.c - o.c % 20),
+prefixes AS (SELECT c, ts, d, ts[:d] AS p FROM (SELECT c, ts, unnest(range(len(ts) + 1)) AS d FROM rebuilt)),
+nodes AS (
+    SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(ts) = d), '')) AS ends_sha256
+    FROM prefixes GROUP BY d, p),
+children AS (SELECT d - 1 AS d, p[:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+known AS (
+    SELECT n.*, coalesce(k.n, 0) AS n_children,
+        CASE WHEN n.d = 0 THEN 0 ELSE (n.n_convs - 1) * len(list_filter(regexp_split_to_array(n.p[n.d].x, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) END AS saved
+    FROM nodes n LEFT JOIN children k ON k.d = n.d AND k.p = n.p),
+sums AS (
+    SELECT d, p[:d] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+    FROM (SELECT p, n_children, saved, unnest(range(d + 1)) AS d FROM known) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM known n JOIN sums s ON s.d = n.d AND s.p = n.p LEFT JOIN known u ON u.d = n.d - 1 AND u.p = n.p[:n.d - 1]
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -131,4 +157,4 @@ QUERIES = {
     "op13_conversation_trie": op13_conversation_trie,
 }
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op7_mixing": mixing.ORACLE, "op10_top_k": OP10_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op7_mixing": mixing.ORACLE, "op10_top_k": OP10_SQL, "op13_conversation_trie": OP13_SQL}
