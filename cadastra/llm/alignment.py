@@ -145,7 +145,7 @@ class Aligner:
         """For each text: n_a, n_b, n_groups, n_links, groups_sha256, distinct codes in order, their occurrences. None without tokens."""
         cells, place = self._split(texts)
         coded = cells.dictionary_encode()
-        known = self.cache.get(coded.dictionary.to_pylist())
+        known = self.cache.get(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         wrong = np.array([k is None for k in known])
         known = [k or (0, 0, 0, 0, "", b"", b"") for k in known]

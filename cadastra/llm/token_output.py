@@ -49,8 +49,9 @@ SCALE, LANES, SEGMENT, BLOCK = 20, 64, 16_384, 65_536
 MAGIC, LOW = b"RANS\x01\0\0\0", np.uint64(1 << 31)
 #: Ids of the blocks that are coded or decoded side by side.
 BATCH_IDS = 1 << 20
-SLICE_CHARS = 4_000_000
-CACHE_KEYS = 250_000
+SLICE_CHARS = 8_000_000
+CACHE_KEYS = 300_000
+KNOWN_CHUNKS = 300_000
 
 #: The normalizer and pre-tokenizer whose words are found without the library.
 _RULES = {
@@ -67,8 +68,8 @@ def _of_kind(kind: str) -> str:
 
 
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0"
-_PLAIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_of_kind('L')}]+|[{_of_kind('N')}]|[^{_WHITE}{_of_kind('L')}{_of_kind('N')}]+")
-_NOT_PLAIN = re.compile("[^\x00-˿]")
+_PLAIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_of_kind('L')}]+|[{_of_kind('N')}]|[^{_WHITE}{_of_kind('L')}{_of_kind('N')}]+|\n")
+_NOT_PLAIN = "[^\x00-˿]"
 
 
 class Cache:
@@ -83,22 +84,25 @@ class Cache:
         """The values of distinct keys."""
         if len(self.young) > self.size:
             self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if (value := old.get(k)) is None:
-                    new.append(k)
-                else:
-                    young[k] = value
+        young = self.young
+        out = list(map(young.get, keys))
+        absent = [i for i, v in enumerate(out) if v is None]
+        for i in absent:
+            if (value := self.old.get(keys[i])) is not None:
+                out[i] = young[keys[i]] = value
+        new = [i for i in absent if out[i] is None]
         if new:
-            young.update(zip(new, self.find(new)))
-        return [young[k] for k in keys]
+            for i, value in zip(new, self.find([keys[i] for i in new])):
+                out[i] = young[keys[i]] = value
+        return out
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """values[start : start + len] of all pairs, one after another."""
     ends = np.cumsum(lens)
-    return values[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    return values.take(np.repeat((starts - (ends - lens)).astype(kind), lens) + np.arange(total, dtype=kind))
 
 
 class WordEncoder:
@@ -111,31 +115,36 @@ class WordEncoder:
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
         self.plain = {k: rules.get(k) for k in _RULES} == _RULES
-        self.added = [a["content"] for a in rules["added_tokens"]]
+        self.odd = re.compile("|".join([_NOT_PLAIN, *(re.escape(a["content"]) for a in rules["added_tokens"])]))
         # bytes as the vocabulary writes them: those that print as themselves, the others from U+0100 on
         printed = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
         others = [b for b in range(256) if b not in printed]
         self.letters = {b: b for b in printed} | {b: 256 + i for i, b in enumerate(others)}
-        self.words, self.chunks = Cache(self._encode_words), Cache(self._encode_chunks)
+        self.words = Cache(self._encode_words)
+        # the known chunks, how often they were seen, and their ids one after another
+        self.known, self.seen, self.lens, self.ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         model, letters = self.whole.model, self.letters
-        return [array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in words]
+        return [b"" if w == "\n" else array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in words]
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         out: list = [None] * len(chunks)
-        odd, plain = [], []
-        for k, chunk in enumerate(chunks):
-            if _NOT_PLAIN.search(chunk) or any(a in chunk for a in self.added):
-                odd.append(k)
-            else:
-                plain.append((k, _PLAIN_WORD.findall(chunk.lower())))
-        words = list({w for _, ws in plain for w in ws})
-        ids = dict(zip(words, self.words.get(words)))
-        for k, ws in plain:
-            out[k] = b"".join(map(ids.__getitem__, ws))
+        odd = [k for k, chunk in enumerate(chunks) if self.odd.search(chunk)]
         for k, found in zip(odd, self.whole.encode_batch([chunks[k] for k in odd], add_special_tokens=False)):
             out[k] = array("I", found.ids).tobytes()
+        plain = [k for k, ids in enumerate(out) if ids is None]
+        # no chunk holds a line's end: all words are found in one go, with the ends of chunks between them
+        words = _PLAIN_WORD.findall("\n".join([chunks[k] for k in plain]).lower())
+        distinct = list(set(words))
+        ids = dict(zip(distinct, self.words.get(distinct)))
+        raw = list(map(ids.__getitem__, words))
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        joined = b"".join(raw)
+        last = [i for i, w in enumerate(words) if w == "\n"]
+        cuts = [0, *ends[last].tolist(), len(joined)]
+        for k, a, b in zip(plain, cuts, cuts[1:]):
+            out[k] = joined[a:b]
         return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -143,15 +152,36 @@ class WordEncoder:
         if not self.plain:
             return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
         lists = pc.ascii_split_whitespace(texts)
-        coded = lists.flatten().dictionary_encode()
-        raw = self.chunks.get(coded.dictionary.to_pylist())
-        lens = np.array([len(r) // 4 for r in raw], np.int64)
-        starts, at = np.cumsum(lens) - lens, coded.indices.to_numpy(zero_copy_only=False)
-        own = lens[at]
-        ids = gathered(np.frombuffer(b"".join(raw), "<u4"), starts[at], own)
+        at = self._places(lists.flatten())
+        own = self.lens[at]
+        ids = gathered(self.ids, (np.cumsum(self.lens) - self.lens)[at], own)
         places = np.concatenate([[0], np.cumsum(own)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        self._prune(at)
         return [ids[a:b] for a, b in zip(places[:-1], places[1:])]
 
+    def _places(self, chunks: pa.Array) -> np.ndarray:
+        """The chunks' places in the table of known ones, which gets those that it lacks."""
+        at = pc.fill_null(pc.index_in(chunks, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        absent = at < 0
+        if absent.any():
+            new = chunks.filter(pa.array(absent)).dictionary_encode()
+            raw = self._encode_chunks(new.dictionary.to_numpy(zero_copy_only=False).tolist())
+            at = at.copy()
+            at[absent] = new.indices.to_numpy() + len(self.known)
+            self.known = pa.concat_arrays([self.known, new.dictionary])
+            self.lens = np.concatenate([self.lens, [len(r) // 4 for r in raw]]).astype(np.int64)
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<u4")])
+            self.seen = np.concatenate([self.seen, np.zeros(len(raw), np.int64)])
+        return at
+
+    def _prune(self, at: np.ndarray) -> None:
+        """Keeps the chunks seen most where the table is full: that costs time only."""
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        if len(self.seen) > 2 * KNOWN_CHUNKS:
+            kept = np.sort(np.argpartition(-self.seen, KNOWN_CHUNKS)[:KNOWN_CHUNKS])
+            self.ids = gathered(self.ids, (np.cumsum(self.lens) - self.lens)[kept], self.lens[kept])
+            self.known, self.lens, self.seen = self.known.take(pa.array(kept)), self.lens[kept], self.seen[kept] // 2
+
 
 def _packed(compressor: zstandard.ZstdCompressor, ids: np.ndarray) -> bytes:
     """Ids of one document for the written table: four byte planes, compressed."""
