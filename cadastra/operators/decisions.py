@@ -1,69 +1,12 @@
-"""Merges, splits and manual decisions as batches over tables, with their histories, aliases, events and operation keys."""
+"""Manual decisions judged, histories of canonical rows, details of entities. `merging` applies decisions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.operators import entities as E
-
-
-def operation_key(kind: str, *parts: Column) -> Column:
-    return F.concat_ws(":", F.lit(kind), *(p.cast("string") for p in parts))
-
-
-def new_operations(wanted: DataFrame, done: DataFrame) -> DataFrame:
-    """Operations (key, ...) whose key was not used yet, each once."""
-    return wanted.dropDuplicates(["key"]).join(done.select("key"), "key", "left_anti")
-
-
-def merges(members: DataFrame, decisions: DataFrame, done: DataFrame, created: str = "created_at") -> DataFrame:
-    """absorbed, survivor, moved, key: merges of a batch that are not done yet. decisions: a, b, revision."""
-    by_pair = E.merge_plan(members, decisions, created)
-    revision = decisions.agg(F.max("revision")).first()[0] if "revision" in decisions.columns else "1"
-    return new_operations(by_pair.withColumn("key", operation_key("merge", F.col("survivor"), F.col("absorbed"), F.lit(revision))), done)
-
-
-def merged_history(history: DataFrame, plan: DataFrame, now: str, reason: str) -> DataFrame:
-    """history (listing, entity, valid_from, valid_to, reason) in which moved members' open rows end now and new ones begin."""
-    moves = plan.select(F.col("absorbed").alias("entity"), "survivor")
-    marked = history.join(moves, "entity", "left").withColumn("moved", F.col("survivor").isNotNull() & F.col("valid_to").isNull())
-    closed = marked.withColumn("valid_to", F.when(F.col("moved"), F.lit(now)).otherwise(F.col("valid_to"))).select(*history.columns)
-    opened = marked.filter("moved").select("listing", F.col("survivor").alias("entity"), F.lit(now).alias("valid_from"), F.lit(None).cast("string").alias("valid_to"), F.lit(reason).alias("reason"))
-    return closed.unionByName(opened)
-
-
-def merge_events(members: DataFrame, plan: DataFrame) -> DataFrame:
-    """key, seq, event_type, entity, moved (sorted listings) of each merge."""
-    moved = members.join(plan.select(F.col("absorbed").alias("entity"), "survivor", "key"), "entity").groupBy("key", "survivor").agg(F.array_sort(F.collect_list("listing")).alias("moved"))
-    kinds = F.posexplode(F.array(F.lit("entities_merged"), F.lit("memberships_changed"))).alias("seq", "event_type")
-    return moved.select("key", kinds, F.col("survivor").alias("entity"), "moved").withColumn("seq", F.col("seq") + 1)
-
-
-def aliases_after(aliases: DataFrame, plan: DataFrame) -> DataFrame:
-    """aliases (old, survivor) with those of the merges."""
-    return aliases.unionByName(plan.select(F.col("absorbed").alias("old"), "survivor"))
-
-
-def resolved(aliases: DataFrame, rounds: int = 64) -> DataFrame:
-    """old, survivor with every chain followed to its end; a cycle is an error."""
-    found = aliases
-    for _ in range(rounds):
-        on = found.select(F.col("old").alias("survivor"), F.col("survivor").alias("further"))
-        step = found.join(on, "survivor", "left")
-        if step.filter("further is not null").isEmpty():
-            return found
-        found = step.select("old", F.coalesce("further", "survivor").alias("survivor")).checkpoint() if found.sparkSession.sparkContext.getCheckpointDir() else step.select("old", F.coalesce("further", "survivor").alias("survivor"))
-    raise ValueError("entity alias cycle")
-
-
-def split(members: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members after all valid splits, lineage: parent, child, moved_hash). moved: listing. Invalid ones change nothing."""
-    plan = E.split_plan(members, moved)
-    gone = members.join(moved.select("listing").distinct(), "listing").join(plan.filter("valid").select("entity", "child"), "entity")
-    lineage = gone.groupBy("entity", "child").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.col("listing").cast("string")))), 256).alias("moved_hash"))
-    after = members.join(gone.select("listing", "child"), "listing", "left").withColumn("entity", F.coalesce(F.col("child"), F.col("entity").cast("string"))).drop("child")
-    return after.select("listing", "entity"), lineage.select(F.col("entity").alias("parent"), "child", "moved_hash")
+from cadastra.operators.graph import resolved
+from cadastra.operators.merging import operation_key
 
 
 def manual(decisions: DataFrame, members: DataFrame, done: DataFrame) -> DataFrame:
@@ -85,12 +28,6 @@ def manual(decisions: DataFrame, members: DataFrame, done: DataFrame) -> DataFra
     return known.withColumn("outcome", outcome).withColumn("status", status).drop("used", "low_entity", "high_entity")
 
 
-def overrides_after(overrides: DataFrame, judged: DataFrame) -> DataFrame:
-    """overrides (low, high, decision, revision) with the applied decisions in place of older ones; of several, the last revision."""
-    new = judged.filter("outcome = 'applied'").groupBy("low", "high").agg(F.max_by(F.struct("decision", "revision"), F.struct("revision", "decision")).alias("d")).select("low", "high", "d.*")
-    return overrides.join(new.select("low", "high"), ["low", "high"], "left_anti").unionByName(new, allowMissingColumns=True)
-
-
 def canonical_history(history: DataFrame, chosen: DataFrame, now: str, version: str) -> DataFrame:
     """history (entity, listing, valid_from, valid_to, version) after chosen (entity, listing).
 

@@ -1,4 +1,4 @@
-"""Entities: merge plans, splits with alias redirects, details. A batch of decisions is one join, not a loop."""
+"""Entities: ids, alias redirects, details."""
 
 from __future__ import annotations
 
@@ -11,31 +11,6 @@ def entity_id(*listings) -> F.Column:
     return F.concat(F.lit("ent_"), F.sha2(F.concat_ws("|", *listings), 256))
 
 
-def merge_plan(members: DataFrame, decisions: DataFrame, created: str = "created_at") -> DataFrame:
-    """absorbed, survivor, moved for decisions (a, b: listings). The entity of more members survives, then the older, then the smaller id.
-
-    Pairs of one entity change nothing. An entity may be part of one merge a batch; chains go in successive batches.
-    """
-    sizes = members.groupBy("entity").agg(F.count("*").alias("n"), F.min(created).alias("since"))
-    side = lambda name: members.select(F.col("listing").alias(name), F.col("entity").alias(f"{name}_entity"))
-    rank = lambda name: sizes.select(F.col("entity").alias(f"{name}_entity"), F.struct((-F.col("n")).alias("n"), "since", "entity").alias(f"{name}_rank"))
-    both = decisions.join(side("a"), "a").join(side("b"), "b").filter("a_entity <> b_entity").join(rank("a"), "a_entity").join(rank("b"), "b_entity")
-    first, last = F.least("a_rank", "b_rank"), F.greatest("a_rank", "b_rank")
-    return both.select(last["entity"].alias("absorbed"), first["entity"].alias("survivor"), (-last["n"]).alias("moved")).distinct()
-
-
-def apply_merge(members: DataFrame, plan: DataFrame) -> DataFrame:
-    moved = plan.select(F.col("absorbed").alias("entity"), "survivor")
-    return members.join(moved, "entity", "left").withColumn("entity", F.coalesce("survivor", "entity")).drop("survivor").select(*members.columns)
-
-
-def split_plan(members: DataFrame, moved: DataFrame) -> DataFrame:
-    """entity, child, moved, valid: a split takes some but not all members of an entity (moved: listing)."""
-    marked = members.join(moved.select("listing").distinct().withColumn("__moved", F.lit(True)), "listing", "left")
-    each = marked.groupBy("entity").agg(F.count("*").alias("n"), F.count("__moved").alias("moved"), F.min(F.when(F.col("__moved"), F.col("listing"))).alias("first"))
-    return each.filter("moved > 0").select("entity", entity_id(F.col("entity").cast("string"), F.col("first").cast("string")).alias("child"), "moved", (F.col("moved") < F.col("n")).alias("valid"))
-
-
 def redirect_aliases(history: DataFrame, moved: DataFrame) -> DataFrame:
     """alias, outcome: child if all of an alias's former members (alias, listing) moved, split_ambiguous if some, else kept."""
     marked = history.distinct().join(moved.select("listing").distinct().withColumn("__moved", F.lit(True)), "listing", "left")

@@ -11,6 +11,7 @@ from cadastra.functions import scalars as S
 from cadastra.operators import assessments as A
 from cadastra.operators import batches as B
 from cadastra.operators import decisions as D
+from cadastra.operators import merging as M
 from cadastra.operators import observe as O
 from cadastra.operators import profiles as P
 from cadastra.operators import publishing as G
@@ -342,37 +343,44 @@ _ALTERED = f"m AS ({sql(HOLDINGS)}), sizes AS (SELECT c, count(*) AS n, min(crea
 def _merged(spark, d):
     held = made(spark, d, HOLDINGS)
     one = held.groupBy("c").agg(F.min("listing").alias("listing"))
-    decisions = one.filter("c % 20 = 1").select("c", F.col("listing").alias("a")).join(one.select((F.col("c") - 1).alias("c"), F.col("listing").alias("b")), "c").drop("c")
+    decisions = one.filter("c % 20 = 1").select("c", F.col("listing").alias("a")).join(one.select((F.col("c") - 1).alias("c"), F.col("listing").alias("b")), "c")
     done = spark.sql("SELECT '' AS key").limit(0)
-    return held.select("listing", "entity", "created_at"), D.merges(held.select("listing", "entity", "created_at"), decisions.withColumn("revision", F.lit("r1")), done)
+    members = held.select("listing", "entity", "created_at")
+    return members, M.merge_steps(members, decisions.select(F.col("c").alias("place"), "a", "b", F.lit("r1").alias("revision")), done)
 
 
 @query(f"WITH {_ALTERED} SELECT listing, entity, CASE WHEN c IN (SELECT absorbed FROM plan) THEN 'now' END AS valid_to FROM m UNION ALL SELECT listing, CAST(survivor AS STRING), NULL FROM m JOIN plan ON absorbed = c")
 def merge_history(spark, d):
     """Membership histories after a batch of merges: moved members' rows end, new ones begin."""
-    held, plan = _merged(spark, d)
-    history = held.select("listing", "entity", F.lit("then").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"), F.lit("first").alias("reason"))
-    return D.merged_history(history, plan, "now", "manual").select("listing", "entity", "valid_to")
+    held, steps = _merged(spark, d)
+    blank = F.lit(None).cast("string")
+    history = held.select("listing", "entity", F.lit("then").alias("valid_from"), blank.alias("valid_to"), F.lit("first").alias("reason"), blank.alias("key"))
+    return M.history_after(history, steps, "now", "manual").select("listing", "entity", "valid_to")
 
 
 @query(f"WITH {_ALTERED}, e AS (SELECT 1 AS seq, 'entities_merged' AS event_type UNION ALL SELECT 2, 'memberships_changed') SELECT concat_ws(':', 'merge', survivor, absorbed, 'r1') AS key, CAST(seq AS INT) AS seq, event_type, count(*) AS moved FROM m JOIN plan ON absorbed = c, e GROUP BY 1, 2, 3")
 def merge_events(spark, d):
-    held, plan = _merged(spark, d)
-    return D.merge_events(held, plan).select("key", "seq", "event_type", F.size("moved").cast("long").alias("moved"))
+    held, steps = _merged(spark, d)
+    return M.merge_events(held, steps).select("key", "seq", "event_type", F.size("moved").cast("long").alias("moved"))
+
+
+def _split(spark, d):
+    held = made(spark, d, HOLDINGS)
+    asked = held.filter("k % 3 = 0").groupBy("entity").agg(F.min("c").alias("place"), F.collect_list("listing").alias("listings")).withColumn("revision", F.lit("r1"))
+    members = held.select("listing", "entity")
+    return members, M.split_steps(members, spark.createDataFrame([], "old string, survivor string"), asked, spark.createDataFrame([], "key string, child string"))
 
 
 @query(f"WITH m AS ({sql(HOLDINGS)}), e AS (SELECT c, count(*) AS n, count(*) FILTER (k % 3 = 0) AS moved FROM m GROUP BY c) SELECT m.listing, e.moved BETWEEN 1 AND e.n - 1 AND k % 3 = 0 AS in_child FROM m JOIN e ON e.c = m.c")
 def split_apply(spark, d):
     """A split of every third listing: only strict parts of an entity move, to a child of its own."""
-    held = made(spark, d, HOLDINGS)
-    after, _ = D.split(held.select("listing", "entity"), held.filter("k % 3 = 0").select("listing"))
-    return after.select("listing", F.col("entity").startswith("ent_").alias("in_child"))
+    held, steps = _split(spark, d)
+    return M.split_members(held, steps).select("listing", F.col("entity").startswith("ent_").alias("in_child"))
 
 
 @query(f"WITH m AS ({sql(HOLDINGS)}), e AS (SELECT c, count(*) AS n, count(*) FILTER (k % 3 = 0) AS moved FROM m GROUP BY c) SELECT CAST(c AS STRING) AS parent FROM e WHERE moved BETWEEN 1 AND n - 1")
 def split_lineage(spark, d):
-    held = made(spark, d, HOLDINGS)
-    return D.split(held.select("listing", "entity"), held.filter("k % 3 = 0").select("listing"))[1].select("parent")
+    return _split(spark, d)[1].filter("outcome = 'split'").select("parent")
 
 
 DECIDED = "SELECT CAST(o_orderkey AS STRING) AS a, CAST(o_orderkey + CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE 1 END AS STRING) AS b, CASE WHEN o_orderkey % 5 = 0 THEN 'maybe' WHEN o_orderkey % 2 = 0 THEN 'same_entity' ELSE 'different_entity' END AS decision, CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE 'seen' END AS reason, 'r1' AS revision, o_orderkey AS k FROM {orders}"
@@ -384,7 +392,7 @@ def manual_decisions(spark, d):
     asked = made(spark, d, DECIDED)
     held = made(spark, d, HOLDINGS).select("listing", "entity")
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    done = asked.filter("k % 11 = 0").select(D.operation_key("manual_override", low, high, F.col("decision"), F.col("revision")).alias("key"))
+    done = asked.filter("k % 11 = 0").select(M.operation_key("manual_override", low, high, F.col("decision"), F.col("revision")).alias("key"))
     return D.manual(asked, held, done).groupBy("outcome", "status").agg(F.count("*").alias("n"))
 
 

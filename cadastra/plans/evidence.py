@@ -12,6 +12,7 @@ from cadastra.operators import assessments as A
 from cadastra.operators import candidates as C
 from cadastra.operators import entities as E
 from cadastra.operators import history as H
+from cadastra.operators import merging as M
 from cadastra.operators import photos as P
 from cadastra.operators import verdicts as V
 from cadastra.plans.catalogue import _PAIRS, _states, _t, query
@@ -106,7 +107,11 @@ sides AS (SELECT x, y, p.n AS xn, q.n AS yn, (p.n > q.n OR (p.n = q.n AND (p.sin
 SELECT CASE WHEN first THEN y ELSE x END AS absorbed, CASE WHEN first THEN x ELSE y END AS survivor, CASE WHEN first THEN yn ELSE xn END AS moved FROM sides""")
 def merge_survivor(spark, d):
     members = _members(spark, d)
-    return E.merge_plan(members, members.filter("listing % 10 = 0").select(F.col("listing").alias("a"), (F.col("listing") + 9).alias("b")))
+    asked = members.filter("listing % 10 = 0").select(F.col("listing").alias("place"), F.col("listing").alias("a"), (F.col("listing") + 9).alias("b"), F.lit("r").alias("revision"))
+    # whole numbers as ids and times: ordered as numbers
+    padded = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
+    steps = M.merge_steps(members.withColumn("created_at", padded("created_at")), asked, spark.createDataFrame([], "key string"), order=padded("entity"))
+    return M.merged(steps).select(*(F.col(c).cast(members.schema["entity"].dataType).alias(c) for c in ("absorbed", "survivor")), "moved")
 
 
 @query(f"SELECT alias, CASE WHEN m = n THEN 'child' WHEN m > 0 THEN 'split_ambiguous' ELSE 'kept' END AS outcome FROM (SELECT concat(p_brand, '|', p_size % 10) AS alias, count(*) AS n, count(*) FILTER ({_MOVED}) AS m FROM part GROUP BY 1)")

@@ -1,10 +1,17 @@
-"""Session settings shared by tests, the benchmark and jobs."""
+"""Session settings shared by tests, the benchmark and jobs, and tables that are written between the steps of a job."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_SCRATCH: ContextVar[str | None] = ContextVar("cadastra_scratch", default=None)
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -20,3 +27,34 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a folder of this machine only where Spark runs inside this process and none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "cadastra-checkpoints")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: later steps read it, and lost executors cost no more than its reading."""
+    spark = df.sparkSession
+    path = f"{_SCRATCH.get() or shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables of `written` in here go to one folder, which goes at the end: what is read of them must be stored before."""
+    folder = f"{shared_folder(spark)}/cadastra-run-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
