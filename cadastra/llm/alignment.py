@@ -25,6 +25,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,10 @@ KNOWN = 1 << 20
 #: Links of one group that are listed one by one; of more, distinct pairs are.
 GROUP_LINKS = 4096
 CACHE_CELLS = 120_000
+#: Cells that are encoded and aligned at a time.
+CELLS = 5_000
 #: Pairs that a task gathers before it adds them up, and distinct ones that it holds.
-GATHER, HELD = 4_000_000, 2_000_000
+GATHER, HELD = 2_000_000, 1_000_000
 
 #: The settings of a byte-level file whose tokens never span a cell's border.
 _BYTE_LEVEL = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
@@ -78,11 +81,11 @@ class Aligner:
         self.len_a, self.len_b = (np.array([len(x) for x in xs], np.int64) for xs in (self.bytes_a, self.bytes_b))
         self.names = np.array([str(i) for i in range(max(len(names), self.size_b))], object)
         self.cells = {k: rules.get(k) for k in _BYTE_LEVEL} == _BYTE_LEVEL and not any("▁" in p.lstrip("▁") for p in pieces)
-        self.cache = Cache(self.align, CACHE_CELLS)
+        self.cache = Cache(lambda cells: [x for i in range(0, len(cells), CELLS) for x in self.align(cells[i : i + CELLS])], CACHE_CELLS)
 
     def align(self, cells: list[str]) -> list:
         """For each cell: n_a, n_b, n_groups, n_links, groups, codes, occurrences; None if the bytes differ. Codes: a * size_b + b."""
-        found_a = [e.ids for e in self.a.encode_batch([" " + c for c in cells], add_special_tokens=False)]
+        found_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in cells], add_special_tokens=False)]
         found_b = self.b.encode(cells, num_threads=1)
         out: list = [None] * len(cells)
         good = []
@@ -180,6 +183,12 @@ class Aligner:
         return out
 
 
+@lru_cache(1)
+def _aligner(a_file: str, b_file: str) -> Aligner:
+    """One aligner a Python worker: its cache serves the tasks that follow."""
+    return Aligner(a_file, b_file)
+
+
 class _Pairs:
     """Codes in order, and their occurrences, as bytes of a column: four planes of the differences, then the occurrences."""
 
@@ -212,7 +221,7 @@ def align_texts(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     """A row for each distinct text that has tokens: text_key, copies, n_a, n_b, n_groups, n_links, groups_sha256, packed pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, pairs = Aligner(a_file, b_file), _Pairs()
+        aligner, pairs = _aligner(a_file, b_file), _Pairs()
         for part in (p for batch in batches for p in by_chars(batch)):
             rows = [(k, c, *f[:5], pairs.pack(f[5], f[6])) for k, c, f in zip(part.column("text_key").to_pylist(), part.column("copies").to_pylist(), aligner.measure(part.column("text"))) if f]
             columns = list(zip(*rows)) if rows else [()] * 8

@@ -33,6 +33,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -183,6 +184,12 @@ class WordEncoder:
             self.known, self.lens, self.seen = self.known.take(pa.array(kept)), self.lens[kept], self.seen[kept] // 2
 
 
+@lru_cache(1)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a Python worker: its tables serve the tasks that follow."""
+    return WordEncoder(path)
+
+
 def _packed(compressor: zstandard.ZstdCompressor, ids: np.ndarray) -> bytes:
     """Ids of one document for the written table: four byte planes, compressed."""
     return compressor.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
@@ -207,7 +214,7 @@ def encode_ids(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens with the end id, ids_crc32 and the packed ids of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, compressor = WordEncoder(tokenizer_file), zstandard.ZstdCompressor(level=1, write_content_size=True)
+        encoder, compressor = word_encoder(tokenizer_file), zstandard.ZstdCompressor(level=1, write_content_size=True)
         end = np.array([end_id], "<u4")
         for part in (p for batch in batches for p in by_chars(batch)):
             n, crc, packed = [], [], []
@@ -227,11 +234,21 @@ def count_ids(encoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, decompressor = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
+
+        def count(parts: list[np.ndarray]) -> np.ndarray:
+            found = np.bincount(np.concatenate(parts), minlength=len(counts))
+            found[: len(counts)] += counts
+            return found
+
         for batch in batches:
+            parts, held = [], 0
             for raw in batch.column(0):
-                found = np.bincount(_unpacked(decompressor, raw.as_py()), minlength=len(counts))
-                found[: len(counts)] += counts
-                counts = found
+                parts.append(_unpacked(decompressor, raw.as_py()))
+                held += len(parts[-1])
+                if held >= BATCH_IDS:
+                    counts, parts, held = count(parts), [], 0
+            if parts:
+                counts = count(parts)
         ids = np.flatnonzero(counts)
         if len(ids):
             yield pa.RecordBatch.from_pydict({"id": ids, "n": counts[ids]})
@@ -275,7 +292,7 @@ class Coder:
         lane, top = np.arange(LANES), np.uint64(63) - self.scale
         for r in range(rows - 1, -1, -1):
             live = r * LANES + lane < sizes[:, None]
-            f, c = np.where(live, self.freq[ids[:, r]], np.uint64(1)), self.cum[ids[:, r]]
+            f, c = np.where(live, self.freq.take(ids[:, r]), np.uint64(1)), self.cum.take(ids[:, r])
             full = live & (state >= f << top)
             words[:, r], emitted[:, r] = state & np.uint64(0xFFFFFFFF), full
             state = np.where(full, state >> np.uint64(32), state)
@@ -318,8 +335,8 @@ class Coder:
         for r in range(rows):
             live = r * LANES + lane < size[:, None]
             slot = state & mask
-            found = self.symbol[slot.astype(np.int64)]
-            after = self.freq[found] * (state >> self.scale) + slot - self.cum[found]
+            found = self.symbol.take(slot.view(np.int64))
+            after = self.freq.take(found) * (state >> self.scale) + slot - self.cum.take(found)
             due = live & (after < LOW)
             taken = np.cumsum(due, 1)
             word = stream[np.where(due, place[:, None] + taken - 1, len(stream) - 1)]
