@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadastra.functions import scalars as S
 from cadastra.operators.entities import entity_id
 from cadastra.operators.history import merged_intervals
+from cadastra.session import written
 
 STATE = ["id", "status", "first_seen_at", "last_seen_at", "missing_detected_at", "initial_price", "current_price", "content_hash", "photo_set_hash"]
 
@@ -102,3 +103,17 @@ def recompute_entities(members: DataFrame, state: DataFrame, local: DataFrame, s
     return each.join(periods, "entity", "left").select(
         "entity", status.alias("lifecycle_status"), "first_seen_at", "last_seen_at", F.greatest(F.lit(0).cast("long"), F.coalesce("periods", F.lit(0).cast("long")) - 1).alias("relist_count"), "members", "active"
     )
+
+
+def recompute_touched(before: DataFrame, members: DataFrame, state: DataFrame, local: DataFrame, source: DataFrame, touched: DataFrame, now: str, grace_hours: int = 24) -> DataFrame:
+    """`recompute_entities` of the entities that touched listings (listing) belong to, in place of their rows in before.
+
+    Equal to recomputing all: late events count, as a touched entity is computed from its whole history; an entity in its
+    grace is computed again, since time alone may end it. Entities that have no member any more go.
+    """
+    due = members.join(touched.select("listing").distinct(), "listing").select("entity").unionByName(before.filter("lifecycle_status = 'uncertain'").select("entity")).distinct()
+    own = written(members.join(due, "entity", "left_semi").select("listing", "entity"))
+    of = lambda rows, key: rows.join(own.select(F.col("listing").alias(key)), key, "left_semi")
+    again = recompute_entities(own, of(state, "id"), of(local, "listing"), of(source, "listing"), now, grace_hours)
+    rest = before.join(due, "entity", "left_anti").join(members.select("entity").distinct(), "entity", "left_semi")
+    return rest.select(*again.columns).unionByName(again)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadastra.functions import scalars as S
 from cadastra.operators.history import canonical
 from cadastra.operators.verdicts import comparable
+from cadastra.session import written
 
 
 def gated(rows: DataFrame, verdicts: DataFrame, outside: DataFrame) -> DataFrame:
@@ -66,18 +67,16 @@ def enriched(rows: DataFrame, texts: DataFrame, photos: DataFrame, text_version:
     return out.withColumns(empty).withColumn("interior_evaluator_version", F.when(F.col("interior_status") != "", photo_version).otherwise(""))
 
 
-def sequenced(rows: DataFrame, order: str, buckets: int = 256) -> DataFrame:
-    """rows with seq, from 1 in an order without ties.
+def sequenced(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with seq, from 1 in the order given, which must have no ties.
 
-    No task sees all rows: ranges of the order are counted, numbered within themselves and moved by what is before them.
+    No task sees all rows: ranges of the order are stored, numbered within themselves and moved by what is before them.
     """
-    cuts = [c for c in rows.select(F.expr(f"approx_percentile(xxhash64({order}), array({', '.join(str(i / buckets) for i in range(1, buckets))}))")).first()[0] or []]
-    edges = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
-    dealt = rows.withColumn("__h", F.xxhash64(order)).withColumn("__part", F.size(F.filter(edges, lambda e: F.col("__h") >= e)))
-    # at most `buckets` rows
+    dealt = written(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    # one row a range
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("n")).withColumn("__before", F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
-    numbered = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy("__h", order)))
-    return numbered.join(F.broadcast(sizes.select("__part", "__before")), "__part").withColumn("seq", F.col("__n") + F.coalesce("__before", F.lit(0))).drop("__h", "__part", "__n", "__before")
+    numbered = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return numbered.join(sizes.select("__part", "__before"), "__part").withColumn("seq", F.col("__n") + F.coalesce("__before", F.lit(0))).drop("__part", "__n", "__before")
 
 
 def publish(rows: DataFrame, verdicts: DataFrame, outside: DataFrame, members: DataFrame, entities: DataFrame, current: DataFrame) -> DataFrame:

@@ -26,13 +26,14 @@ def gate(usable: Column, current: Column) -> Column:
     return F.when(~F.coalesce(current, F.lit(False)) | usable.isNull(), "waiting").when(usable == 1, "publish").otherwise("rejected")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old with new's rows in place of those of the same key."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """The last row of each key, by an order without ties."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), order).alias("r")).select(*keys, "r.*")
 
 
-def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
+def current_revision(pairs: DataFrame) -> DataFrame:
+    """One row a pair (low, high): its current revision (is_current), of several the one processed last; none if it has none."""
+    return latest(pairs.filter("is_current"), ["low", "high"], F.struct("processed_at", "revision"))
 
 
 def comparable(eligible: Column, seller: Column) -> Column:

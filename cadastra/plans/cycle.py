@@ -171,9 +171,10 @@ def publish_chain(spark, d):
     return out.select("entity", "id", F.col("entity_ready_active_listing_count").alias("ready_active"), F.col("entity_active_min_price").alias("low"), F.col("entity_active_max_price").alias("high"), F.col("entity_member_count").alias("members"), F.col("entity_active_listing_count").alias("active"), "switched")
 
 
-@query("SELECT count(*) AS n, min(seq) AS first, max(seq) AS last, count(DISTINCT seq) AS numbers FROM (SELECT row_number() OVER (ORDER BY doc_id) AS seq FROM documents)")
+@query("SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) AS seq FROM documents")
 def publish_sequence(spark, d):
-    return G.sequenced(_t(spark, d, "documents").select("doc_id"), "doc_id").agg(F.count("*").alias("n"), F.min("seq").cast("long").alias("first"), F.max("seq").cast("long").alias("last"), F.count_distinct("seq").alias("numbers"))
+    """Documents numbered by source and id."""
+    return G.sequenced(_t(spark, d, "documents").select("source", "doc_id"), "source", "doc_id").select("doc_id", F.col("seq").cast("long").alias("seq"))
 
 
 #: Photo assessments made of the vectors, on two versions, some of a wrong form.

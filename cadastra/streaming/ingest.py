@@ -60,3 +60,24 @@ def ingest_batch(batch: DataFrame, store: str, fields: list[str]) -> int:
 def stream(events: DataFrame, store: str, checkpoint: str, fields: list[str]) -> DataStreamWriter:
     """A stream that ingests each micro-batch; offsets are committed after the batch is stored."""
     return events.writeStream.foreachBatch(lambda df, _: ingest_batch(df, store, fields)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def ingest_version(transaction, table: str, new: DataFrame, fields: list[str], version: str, totals: dict[str, int]) -> int:
+    """Adds a version's fresh events to a ledger's table within a transaction; returns their number.
+
+    An id that comes with another payload ends it, and so does a version that was taken before with other totals.
+    """
+    spark: SparkSession = new.sparkSession
+    shape = "version string, tab string, " + ", ".join(f"{k} long" for k in sorted(totals))
+    taken = transaction.read("ingests", spark.createDataFrame([], shape)).filter((F.col("version") == version) & (F.col("tab") == table)).drop("version", "tab").first()
+    if taken is not None and taken.asDict() != totals:
+        raise EventConflict(f"version {version} was taken with other totals")
+    hashed = with_hash(new, fields)
+    stored = transaction.read(table, hashed.limit(0))
+    if not conflicts(hashed, stored).isEmpty():
+        raise EventConflict("an event id came with another payload")
+    before = stored.count()
+    after = transaction.append(table, fresh(hashed, stored))
+    if taken is None:
+        transaction.append("ingests", spark.createDataFrame([(version, table, *(totals[k] for k in sorted(totals)))], shape))
+    return after.count() - before

@@ -4,47 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from cadastra.operators import assessments as A
-from cadastra.operators import publishing as G
-from cadastra.sources import snapshot
+from cadastra.operators.verdicts import latest
+from cadastra.sources.ledger import Ledger
 
 KEYS = ["listing_id", "content_hash", "version"]
 
 
-def store_page(page: DataFrame, root: str, version: str) -> int:
-    """Stores a page (outbox_id, listing_id, content_hash, version, result) under a version of its own; returns its last id.
+class OutboxError(ValueError):
+    """A page does not go on from the last one."""
 
-    Results that cannot be stored are left out, as at any later try. A page whose version is the current one was stored
-    before its acknowledgement was lost: nothing is written again.
+
+def store_page(page: DataFrame, ledger: Ledger, number: int) -> int:
+    """Appends a page (outbox_id, listing_id, content_hash, version, result); returns its last id.
+
+    A page is one transaction: its number is taken once, whatever dies in between. Ids of a page must lie behind those
+    of all pages before it and not repeat. Results that cannot be stored are left out, as at any later try.
     """
     spark = page.sparkSession
-    last = page.agg(F.max("outbox_id")).first()[0]
-    if last is None or snapshot.current_version(spark, root) == version:
-        return last or 0
-    right = page.filter(A.text_fault(*(F.col(c) for c in ("listing_id", "content_hash", "version", "result"))).isNull())
-    stored = snapshot.read_current(spark, root) if snapshot.current_version(spark, root) else right.limit(0)
-    snapshot.publish(A.saved(stored.select("outbox_id", *KEYS, "result"), right, KEYS, "outbox_id"), root, version)
-    return last
+    found = page.agg(F.min("outbox_id").alias("low"), F.max("outbox_id").alias("high"), F.count("*").alias("n"), F.count_distinct("outbox_id").alias("ids")).first()
+    if found.high is None:
+        return 0
+    transaction = ledger.begin("page", number)
+    if transaction is None:
+        return found.high
+    marks = transaction.before.read("cursor", spark.createDataFrame([(0,)], "after_id long"))
+    if found.ids != found.n or found.low <= marks.first().after_id:
+        raise OutboxError(f"page {number}: ids are not ascending behind the last page")
+    right = page.filter(A.text_fault(*(F.col(c) for c in (*KEYS, "result"))).isNull())
+    transaction.append("results", right.select("outbox_id", *KEYS, "result"))
+    transaction.replace("cursor", spark.createDataFrame([(found.high,)], "after_id long"))
+    transaction.commit()
+    return found.high
+
+
+def results(ledger: Ledger) -> DataFrame:
+    """The last stored result of each listing, text and version."""
+    empty = ledger.spark.createDataFrame([], "outbox_id long, listing_id string, content_hash string, version string, result string")
+    return latest(ledger.snapshot().read("results", empty), KEYS, F.col("outbox_id"))
 
 
-def stream(results: DataFrame, root: str, checkpoint: str, acknowledge: Callable[[int], None]) -> DataStreamWriter:
-    """A stream that stores each micro-batch and acknowledges it only then. acknowledge may come twice for one id."""
+def stream(pages: DataFrame, root: str, checkpoint: str, acknowledge: Callable[[int], None], interval: str | None = None) -> DataStreamWriter:
+    """A stream that stores each micro-batch and acknowledges it only then. acknowledge may come twice for one id.
+
+    Without an interval it takes what is there and ends.
+    """
+    spark: SparkSession = pages.sparkSession
 
     def take(batch: DataFrame, number: int) -> None:
-        last = store_page(batch, root, f"page-{number:012d}")
+        last = store_page(batch, Ledger(spark, root), number)
         if last:
             acknowledge(last)
 
-    return results.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-
-
-def light_tick(rows: DataFrame, verdicts: DataFrame, outside: DataFrame, members: DataFrame, entities: DataFrame, current: DataFrame, relabel: DataFrame, root: str, version: str) -> str:
-    """Publishes again from the rows of the last full cycle with the verdicts that came since. While listings wait to be
-    relabelled nothing is published, nor is an empty result; what happened is returned."""
-    if not relabel.isEmpty():
-        return "relabelling"
-    return "published" if snapshot.publish(G.publish(rows, verdicts, outside, members, entities, current), root, version) else "empty"
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return pages.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**trigger)

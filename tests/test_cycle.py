@@ -193,30 +193,11 @@ def test_review_filters_and_pages(spark):
         R.page(pairs, "price")
 
 
-def test_merges_splits_and_decisions(spark):
+def test_manual_decisions_are_judged_and_canonical_rows_keep_a_history(spark):
     members = spark.createDataFrame([("a", "E1", "2"), ("b", "E1", "1"), ("c", "E2", "0"), ("d", "E3", "0")], "listing string, entity string, created_at string")
-    done = spark.createDataFrame([], "key string")
-    decisions = spark.createDataFrame([("a", "c", "r"), ("b", "c", "r"), ("a", "b", "r")], "a string, b string, revision string")
-    plan = D.merges(members, decisions, done)
-    assert rows_of(plan, "absorbed", "survivor", "moved", "key") == [("E2", "E1", 1, "merge:E1:E2:r")]
-    assert D.merges(members, decisions, plan.select("key")).isEmpty()
-    history = members.select("listing", "entity", F.lit("t0").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"), F.lit("first").alias("reason"))
-    after = D.merged_history(history, plan, "t1", "same")
-    assert rows_of(after.filter("listing = 'c'"), "entity", "valid_from", F.coalesce("valid_to", F.lit("open")).alias("v")) == [("E1", "t1", "open"), ("E2", "t0", "t1")]
-    assert after.filter("valid_to is null").count() == 4
-    assert rows_of(D.merge_events(members.select("listing", "entity"), plan), "seq", "event_type") == [(1, "entities_merged"), (2, "memberships_changed")]
-    aliases = D.aliases_after(spark.createDataFrame([("E0", "E2")], "old string, survivor string"), plan)
-    assert rows_of(D.resolved(aliases)) == [("E0", "E1"), ("E2", "E1")]
-    with pytest.raises(ValueError, match="cycle"):
-        D.resolved(spark.createDataFrame([("x", "y"), ("y", "x")], "old string, survivor string"), 4)
-    moved, lineage = D.split(members.select("listing", "entity"), spark.createDataFrame([("a",), ("d",)], "listing string"))
-    where = {r.listing: r.entity for r in moved.collect()}
-    assert where["b"] == "E1" and where["a"].startswith("ent_") and where["d"] == "E3" and [r.parent for r in lineage.collect()] == ["E1"]
     asked = spark.createDataFrame([("c", "a", "same_entity", "x", "me", "1"), ("a", "b", "different_entity", "x", "me", "1"), ("a", "z", "same_entity", "x", "me", "1"), ("a", "d", "same_entity", " ", "me", "1"), ("d", "a", "different_entity", "x", "me", "2"), ("a", "a", "same_entity", "x", "me", "1")], "a string, b string, decision string, reason string, actor string, revision string")
     judged = D.manual(asked, members, spark.createDataFrame([("manual_override:a:d:different_entity:2",)], "key string"))
     assert rows_of(judged, "low", "high", "outcome", F.coalesce("status", F.lit("")).alias("s")) == [("a", "a", "invalid", ""), ("a", "b", "invalid", ""), ("a", "c", "applied", "manual_linked"), ("a", "d", "invalid", ""), ("a", "d", "repeated", ""), ("a", "z", "invalid", "")]
-    overrides = D.overrides_after(spark.createDataFrame([("a", "c", "different_entity", "0")], "low string, high string, decision string, revision string"), judged)
-    assert rows_of(overrides) == [("a", "c", "same_entity", "1")]
     past = spark.createDataFrame([("E", "1", "t0", "t1", "v1"), ("E", "2", "t1", None, "v2")], "entity string, listing string, valid_from string, valid_to string, version string")
     back = D.canonical_history(past, spark.createDataFrame([("E", "1")], "entity string, listing string"), "t3", "v3")
     assert rows_of(back.filter("valid_to is null"), "listing", "version") == [("1", "v3")]
@@ -326,37 +307,3 @@ def test_readers_see_one_version_and_old_ones_go(spark, tmp_path):
     assert spark.read.option("header", True).csv(csv).first().b == "[1,2]"
     snapshot.write_report(spark, f"{root}/report.json", {"b": 1, "a": "é"})
     assert json.loads((tmp_path / "clean/report.json").read_text()) == {"a": "é", "b": 1}
-
-
-def test_outbox_is_stored_before_it_is_acknowledged(spark, tmp_path):
-    from cadastra.streaming import outbox
-
-    source, root = str(tmp_path / "in"), f"file://{tmp_path}/store"
-    shape = "outbox_id long, listing_id string, content_hash string, version string, result string"
-    page = lambda *rows: spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(source)
-    acked: list = []
-    run = lambda: outbox.stream(spark.readStream.schema(shape).parquet(source), root, str(tmp_path / "check"), acked.append).start().awaitTermination()
-    page((1, "a", "0" * 16, "v1", '{"x":1}'), (2, "b", "short", "v1", "{}"), (3, "a", "0" * 16, "v1", '{"x":2}'))
-    run()
-    assert acked == [3] and rows_of(snapshot.read_current(spark, root), "listing_id", "result") == [("a", '{"x":2}')]
-    page((4, "c", "1" * 16, "v1", '{"x":3}'))
-    run()
-    assert acked == [3, 4] and rows_of(snapshot.read_current(spark, root), "listing_id", "result") == [("a", '{"x":2}'), ("c", '{"x":3}')]
-    # a lost acknowledgement: the same page again
-    again = spark.createDataFrame([(4, "c", "1" * 16, "v1", '{"x":9}')], shape)
-    version = snapshot.current_version(spark, root)
-    assert outbox.store_page(again, root, version) == 4 and snapshot.read_current(spark, root).filter("result like '%9%'").isEmpty()
-
-
-def test_light_tick_waits_for_relabelling(spark, tmp_path):
-    from cadastra.streaming import outbox
-
-    rows = spark.sql("SELECT '1' AS id, 'h' AS content_hash, '1' AS baseline_eligible, 'professional' AS seller_type, 'active' AS status, '5' AS price, 'x' AS last_seen_at")
-    verdicts = spark.sql("SELECT '1' AS id, 'h' AS content_hash, 1 AS usable, 'ok' AS reason_code")
-    members = spark.sql("SELECT '1' AS listing, 'E' AS entity")
-    entities = spark.sql("SELECT 'E' AS entity, 'active' AS lifecycle_status, '' AS first_seen_at, '' AS last_seen_at, 0 AS relist_count, 1L AS members, 1L AS active")
-    current = spark.createDataFrame([], "entity string, canonical string")
-    tick = lambda v, waiting, version: outbox.light_tick(rows, v, verdicts.limit(0), members, entities, current, waiting, f"file://{tmp_path}/out", version)
-    assert tick(verdicts, verdicts.select("id"), "1") == "relabelling"
-    assert tick(verdicts.withColumn("content_hash", F.lit("old")), verdicts.select("id").limit(0), "1") == "empty"
-    assert tick(verdicts, verdicts.select("id").limit(0), "2") == "published" and snapshot.read_current(spark, f"file://{tmp_path}/out").first().entity == "E"

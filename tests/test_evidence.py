@@ -33,17 +33,8 @@ def test_rgb_of_other_lengths_is_far(spark):
     assert (row.d, row.h) == (1.0, 64)
 
 
-def test_merge_keeps_the_larger_then_older_entity(spark):
-    members = spark.createDataFrame([("1", "e1", 5), ("2", "e2", 9), ("3", "e2", 9), ("4", "e3", 2), ("5", "e4", 1)], "listing string, entity string, created_at int")
-    plan = E.merge_plan(members, spark.createDataFrame([("1", "3"), ("2", "3"), ("4", "5")], "a string, b string"))
-    assert sorted((r.absorbed, r.survivor, r.moved) for r in plan.collect()) == [("e1", "e2", 1), ("e3", "e4", 1)]
-    assert {r.listing: r.entity for r in E.apply_merge(members, plan).collect()} == {"1": "e2", "2": "e2", "3": "e2", "4": "e4", "5": "e4"}
-
-
-def test_splits_take_some_members_and_redirect_aliases(spark):
-    members = spark.createDataFrame([("1", "e1"), ("2", "e1"), ("3", "e2")], "listing string, entity string")
+def test_aliases_of_a_split_are_redirected_kept_or_ambiguous(spark):
     moved = spark.createDataFrame([("1",), ("3",)], "listing string")
-    assert sorted((r.entity, r.valid) for r in E.split_plan(members, moved).collect()) == [("e1", True), ("e2", False)]
     history = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2"), ("c", "2")], "alias string, listing string")
     assert {r.alias: r.outcome for r in E.redirect_aliases(history, moved).collect()} == {"a": "child", "b": "split_ambiguous", "c": "kept"}
 
