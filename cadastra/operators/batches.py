@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadastra.functions import text as X
+
 MIN_BATCH, BATCH, BATCHES, GROUP, ATTEMPTS = 1, 3000, 10, 20, 3
 
 
@@ -31,20 +35,64 @@ def planned(waiting: DataFrame, order: str, n: int, size: int = BATCH, group: in
     return first.withColumns({"batch": batch.cast("long"), "group": F.floor(inside / group).cast("long"), "place": F.pmod(inside, F.lit(group)).cast("long")})
 
 
+#: Beginnings of names of models that think before they answer, and what they get for it.
+REASONING = ("gpt-5", "gpt-6", "o1", "o3", "o4")
+REASONING_TOKENS = 4000
+#: The lines of a listing as the model sees it, and what stands for fields that are not filled.
+VIEW = ["### id: {id}", "Заголовок: {title}", "Комнат: {rooms}, площадь: {square_m2} м²", "Отделка (поле сайта): {rent_renovation}", "Тип дома (поле сайта) — приват. общежитие: {priv_dorm}", "Описание: {full_description}"]
+UNFILLED = {"title": "", "rooms": "None", "square_m2": "None", "rent_renovation": "не указана", "priv_dorm": "не указано", "full_description": ""}
+
+
+def reasons(model: str) -> bool:
+    return model.lower().startswith(REASONING)
+
+
+def token_parameter(model: str) -> str:
+    """The name under which a model takes the limit of its answer."""
+    return "max_completion_tokens" if reasons(model) else "max_tokens"
+
+
 def token_budget(n: Column, per_item: int = 150, fixed: int = 300, reasoning: int = 0) -> Column:
     return n * per_item + fixed + reasoning
 
 
+def model_view(rows: DataFrame) -> Column:
+    """A listing as the model sees it: id, title, rooms and area, finish, dormitory, text cut in its middle; no price or floor.
+
+    Rooms and area that are null read None, texts that are empty or null what stands for them.
+    """
+    kinds = dict(rows.dtypes)
+
+    def field(name: str) -> Column:
+        value = F.col(name)
+        if name == "full_description":
+            return X.head_tail(F.coalesce(value, F.lit("")))
+        text = X.float_text(value.cast("double")) if kinds[name] in ("double", "float") else value.cast("string")
+        empty = name not in ("id", "rooms", "square_m2")
+        return F.coalesce(F.nullif(text, F.lit("")) if empty else text, F.lit(UNFILLED.get(name, "")))
+
+    parts: list[Column] = []
+    for piece in re.split(r"[{}]", "\n".join(VIEW)):
+        parts.append(field(piece) if piece in UNFILLED or piece == "id" else F.lit(piece))
+    return F.concat(*parts)
+
+
 def request_lines(grouped: DataFrame, text: Column, model: str, prompt: str, reasoning: int = 0) -> DataFrame:
     """batch, group, value: one JSON line a group, texts in order of place. grouped: as `planned` gives it."""
     lists = grouped.groupBy("batch", "group").agg(F.array_sort(F.collect_list(F.struct("place", F.col("id").cast("string").alias("id"), text.alias("text")))).alias("items"))
     user = F.array_join(F.transform("items", lambda i: i["text"]), "\n\n")
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    body = F.struct(F.lit(model).alias("model"), F.array(message("system", F.lit(prompt)), message("user", user)).alias("messages"), token_budget(F.size("items"), reasoning=reasoning).alias("max_completion_tokens"))
+    limit = token_budget(F.size("items"), reasoning=reasoning or (REASONING_TOKENS if reasons(model) else 0)).alias(token_parameter(model))
+    body = F.struct(F.lit(model).alias("model"), F.array(message("system", F.lit(prompt)), message("user", user)).alias("messages"), limit)
     line = F.struct(F.concat(F.lit("grp_"), F.col("items")[0]["id"]).alias("custom_id"), F.lit("POST").alias("method"), body.alias("body"))
     return lists.select("batch", "group", F.to_json(line).alias("value"))
 
 
+def write_requests(lines: DataFrame, path: str) -> None:
+    """The request lines as text files, a folder a batch."""
+    lines.select("batch", "value").write.partitionBy("batch").text(path)
+
+
 def batch_outcomes(batches: DataFrame, answers: DataFrame) -> DataFrame:
     """batch_id, outcome of pending batches by the provider's answers (batch_id, state, output_file, download_code).
 

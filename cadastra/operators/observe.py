@@ -29,6 +29,19 @@ def merge_state(state: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select("id", *(pick(c).alias(c) for c in STATE[1:]))
 
 
+#: The fields of a listing that tell which home it is of, and how it was offered.
+IDENTITY_SNAPSHOT = [
+    "id", "url", "title", "status", "price", "initial_price", "price_drop_count", "rooms", "square_m2", "floor", "floor_total", "street", "house_num", "district", "complex_id",
+    "complex_alias", "complex_name", "latitude", "longitude", "seller_type", "owner_name", "first_seen_at", "last_seen_at", "missing_detected_at", "reactivation_count", "photo_urls",
+    "photo_count", "photo_set_hash", "baseline_eligible", "baseline_reject_reason",
+]
+
+
+def identity_snapshot(rows: DataFrame) -> DataFrame:
+    """id and snapshot: its identity fields as one struct, null where rows have no such column."""
+    return rows.select("id", F.struct(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in IDENTITY_SNAPSHOT)).alias("snapshot"))
+
+
 def attach_new(members: DataFrame, rows: DataFrame) -> DataFrame:
     """members (listing, entity) with an entity of its own for each listing that has none."""
     new = rows.select(F.col("id").alias("listing")).distinct().join(members.select("listing"), "listing", "left_anti")

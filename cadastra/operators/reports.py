@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from cadastra.functions import scalars as S
@@ -16,6 +16,46 @@ def page(rows: DataFrame, *order, limit: int = PAGE, offset: int = 0) -> DataFra
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_with_total(rows: DataFrame, *order, limit: int = PAGE, offset: int = 0) -> tuple[list[Row], int]:
+    """A page and the number of all rows, in one run over them: they are counted on their way into the page."""
+    seen = Observation()
+    found = page(rows.observe(seen, F.count(F.lit(1)).alias("total")), *order, limit=limit, offset=offset).collect()
+    return found, seen.get["total"]
+
+
+def run_summary(rows: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """rows that count themselves while they are written: `observation.get` has the counts after the one run."""
+    seen = Observation()
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(name) for name, c in counts.items())), seen
+
+
+def member_counts(entities: DataFrame, members: DataFrame) -> DataFrame:
+    """entities with member_count, 0 for those that no listing is in."""
+    counted = members.groupBy("entity").agg(F.count("listing").alias("member_count"))
+    return entities.join(counted, "entity", "left").withColumn("member_count", F.coalesce("member_count", F.lit(0).cast("long")))
+
+
+def life_cycles(entities: DataFrame) -> DataFrame:
+    """lifecycle_status, entities, members: entities (lifecycle_status, member_count) by life cycle."""
+    return entities.groupBy("lifecycle_status").agg(F.count("*").alias("entities"), F.sum("member_count").alias("members"))
+
+
+def entity_stats(entities: DataFrame, members: DataFrame, state: DataFrame, local: DataFrame, source: DataFrame) -> DataFrame:
+    """One row: entities, members, several_active, by_status (map), events and source_history."""
+    active = members.join(state.filter("status = 'active'").select(F.col("id").alias("listing")), "listing").groupBy("entity").count()
+    by_status = entities.groupBy("lifecycle_status").count()
+    parts = [
+        by_status.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("entities"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("lifecycle_status", "count")))).alias("by_status")),
+        members.agg(F.count("*").alias("members")),
+        active.agg(F.count_if(F.col("count") > 1).alias("several_active")),
+        event_counts(local, source),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.crossJoin(part)  # single rows
+    return out
+
+
 def verdict_page(verdicts: DataFrame, usable: int | None = None, reason_code: str | None = None, limit: int = PAGE, offset: int = 0) -> DataFrame:
     """Verdicts by processed_at and id, without the stored texts; filters only where they are given."""
     rows = verdicts if usable is None else verdicts.filter(F.col("usable") == usable)
@@ -59,14 +99,18 @@ def snapshot_counts(rows: DataFrame) -> DataFrame:
 
 
 def regression(cases: DataFrame, answers: DataFrame) -> DataFrame:
-    """cases, passed, hard, soft of labelled cases (id, expected: array of codes) against answers (id, reason_code, usable).
+    """cases, passed, hard, soft (and tokens, if answers have them) of labelled cases (id, expected: codes) against answers (id, reason_code, usable).
 
-    hard: usable where no expected code is ok, or the reverse, or no answer; soft: another code of the same side.
+    hard: usable where no expected code is ok, or the reverse, or no answer; soft: another code of the same side, and any
+    failure of a case that is marked soft. tokens: of all answers.
     """
     both = cases.join(answers, "id", "left")
     right = F.coalesce(F.array_contains("expected", F.col("reason_code")), F.lit(False))
     side = F.coalesce(F.col("usable") == F.array_contains("expected", F.lit("ok")), F.lit(False))
-    return both.agg(F.count("*").alias("cases"), F.count_if(right).alias("passed"), F.count_if(~right & ~side).alias("hard"), F.count_if(~right & side).alias("soft"))
+    if "soft" in cases.columns:
+        side = side | F.coalesce("soft", F.lit(False))
+    tokens = [F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")] if "tokens" in answers.columns else []
+    return both.agg(F.count("*").alias("cases"), F.count_if(right).alias("passed"), F.count_if(~right & ~side).alias("hard"), F.count_if(~right & side).alias("soft"), *tokens)
 
 
 def health(age_seconds: Column, has_success: Column, last_failed: Column, uptime_seconds: Column, stale_after: int) -> Column:

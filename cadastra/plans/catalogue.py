@@ -32,6 +32,14 @@ def query(sql: str | None = None):
     return register
 
 
+def _json(column: str) -> str:
+    """SQL of a text as a JSON string."""
+    text = column
+    for plain, short in (("chr(92)", "chr(92)"), ("'\"'", "'\"'"), ("chr(10)", "'n'"), ("chr(9)", "'t'"), ("chr(13)", "'r'"), ("chr(12)", "'f'"), ("chr(8)", "'b'")):
+        text = f"replace({text}, {plain}, chr(92) || {short})"
+    return f"coalesce('\"' || {text} || '\"', 'null')"
+
+
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -139,7 +147,7 @@ def pair_signals_wide(spark, d):
 _RULES = [("license", "(?iU)\\blicen[cs]e"), ("contact", "@"), ("phone", "\\+[0-9]")]
 _VERDICTS = """
 WITH base AS (
-    SELECT d.doc_id, d.text, d.lang, d.source, substr(sha256(concat_ws('|', coalesce(text, ''), coalesce(lang, ''), coalesce(source, ''))), 1, 16) AS content_hash,
+    SELECT d.doc_id, d.text, d.lang, d.source, substr(sha256(concat('[', {text}, ',', {lang}, ',', {source}, ']')), 1, 16) AS content_hash,
         CASE WHEN regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])licen[cs]e') THEN 'license' WHEN contains(text, '@') THEN 'contact' WHEN regexp_matches(text, '\\+[0-9]') THEN 'phone' END AS rule
     FROM documents d),
 verdicts AS (
@@ -148,7 +156,7 @@ verdicts AS (
         CASE WHEN rule IS NOT NULL THEN rule WHEN l.toxic = 1 THEN 'other_red_flag' WHEN l.quality = 1 THEN 'ok' WHEN l.doc_id IS NOT NULL THEN 'non_market_terms' END AS reason_code
     FROM base b LEFT JOIN labels l USING (doc_id)),
 gated AS (SELECT *, CASE WHEN verdict_source IS NULL OR usable IS NULL THEN 'waiting' WHEN usable = 1 THEN 'publish' ELSE 'rejected' END AS gate FROM verdicts)
-"""
+""".replace("{text}", _json("text")).replace("{lang}", _json("lang")).replace("{source}", _json("source"))
 
 
 def _verdicts(spark, d):
@@ -162,7 +170,7 @@ def _verdicts(spark, d):
     return rows.withColumn("gate", V.gate(F.col("usable"), F.col("verdict_source").isNotNull()))
 
 
-@query("SELECT doc_id, substr(sha256(concat_ws('|', coalesce(text, ''), coalesce(lang, ''), coalesce(source, ''))), 1, 16) AS content_hash FROM documents")
+@query(f"SELECT doc_id, substr(sha256(concat('[', {_json('text')}, ',', {_json('lang')}, ',', {_json('source')}, ']')), 1, 16) AS content_hash FROM documents")
 def content_hash(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.content_hash(F.col("text"), F.col("lang"), F.col("source")).alias("content_hash"))
 
@@ -212,7 +220,7 @@ def profile_claims(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.array_join(X.claims(F.col("text"), dict(_RULES)), ",").alias("claims"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 1900 THEN concat(substr(text, 1, 1262), ' [...] ', right(text, 631)) ELSE text END AS short FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) > 1900 THEN concat(substr(text, 1, 1266), ' […] ', right(text, 634)) ELSE text END AS short FROM documents")
 def truncate_head_tail(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.head_tail(F.col("text")).alias("short"))
 

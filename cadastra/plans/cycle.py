@@ -18,6 +18,7 @@ from cadastra.operators import publishing as G
 from cadastra.operators import refresh as R
 from cadastra.operators import reports as W
 from cadastra.plans.catalogue import _t, query
+from cadastra.session import written
 from cadastra.sources import snapshot
 
 TABLES = ("part", "supplier", "customer", "orders", "lineitem", "events", "documents", "labels", "pages", "embeddings", "conversations")
@@ -253,7 +254,7 @@ refreshed AS (SELECT *, CASE WHEN (ka + kc) % 31 = 0 THEN 'manual_linked' WHEN (
 def _refreshed(spark, d):
     homes = made(spark, d, HOMES)
     none = spark.sql("SELECT '' AS low, '' AS high, '' AS decision, '' AS low_hash, '' AS high_hash, '' AS revision, '' AS match_revision").limit(0)
-    first = R.refresh(homes.drop("k", "baseline_eligible"), none, none)
+    first = written(R.refresh(homes.drop("k", "baseline_eligible"), none, none).select("low", "high", "low_hash", "high_hash", "revision"))
     place = (F.col("low").cast("long") + F.col("high").cast("long")) % 31
     overrides = first.filter(place.isin(0, 1)).select("low", "high", F.when(place == 0, "same_entity").otherwise("different_entity").alias("decision"))
     # evidence on the present revision, and on an older one that says nothing
@@ -447,12 +448,12 @@ def batch_plan(spark, d):
     return B.planned(docs, "doc_id", n, size=300).withColumnRenamed("group", "grp")
 
 
-@query("SELECT CAST(rn // 20 AS BIGINT) AS grp, concat('grp_', min(doc_id)) AS custom_id, count(*) * 150 + 300 + 4000 AS tokens, sum(least(length(text), 1900)) + 2 * (count(*) - 1) AS chars FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents) WHERE rn < 100 GROUP BY rn // 20")
+@query("SELECT CAST(rn // 20 AS BIGINT) AS grp, concat('grp_', min(doc_id)) AS custom_id, count(*) * 150 + 300 + 4000 AS tokens, sum(CASE WHEN length(text) > 1900 THEN 1905 ELSE length(text) END) + 2 * (count(*) - 1) AS chars FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents) WHERE rn < 100 GROUP BY rn // 20")
 def request_lines(spark, d):
     from cadastra.functions.text import head_tail
 
     first = B.planned(_t(spark, d, "documents").select(F.col("doc_id"), F.col("doc_id").alias("id"), "text"), "doc_id", 100)
-    lines = B.request_lines(first, F.substring(head_tail(F.col("text")), 1, 1900), "model", "prompt", reasoning=4000)
+    lines = B.request_lines(first, head_tail(F.col("text")), "o4-model", "prompt")
     read = F.from_json("value", "custom_id string, body struct<max_completion_tokens: bigint, messages: array<struct<role: string, content: string>>>")
     return lines.select(F.col("group").alias("grp"), read.alias("r")).select("grp", "r.custom_id", F.col("r.body.max_completion_tokens").alias("tokens"), F.length(F.col("r.body.messages")[1]["content"]).cast("long").alias("chars"))
 

@@ -64,10 +64,15 @@ def publish(df: DataFrame, root: str, version: str, keep: int = 2) -> bool:
 
 def write_manifest(spark: SparkSession, root: str, content: dict) -> None:
     """Replaces the manifest in one step."""
-    fs, target = _file_system(spark, f"{root}/manifest.json")
-    temporary = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/.manifest.{uuid.uuid4().hex}.tmp")
+    _replace(spark, f"{root}/manifest.json", json.dumps(content))
+
+
+def _replace(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that has the old content or the new one at any time."""
+    fs, target = _file_system(spark, path)
+    temporary = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}.tmp")
     out = fs.create(temporary, True)
-    out.write(bytearray(json.dumps(content).encode()))
+    out.write(bytearray(text.encode()))
     out.close()
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
     rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
@@ -119,27 +124,30 @@ def csv_rows(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
 
 
-def write_csv(df: DataFrame, root: str, version: str, built_at: str) -> str:
-    """A CSV artifact named by a hash of version and time; its folder is written whole before it has its name."""
+def write_csv(df: DataFrame, root: str, version: str, built_at: str, keep: int = 2) -> str:
+    """A CSV artifact named by a hash of version and time; its folder is written whole before it has its name.
+
+    The same version and time give the artifact that is there, or build it again if it is gone. Of others the newest
+    stay, `keep` in all with this one; folders that dead writers left go.
+    """
     spark = df.sparkSession
     token = hashlib.sha256(f"{version}\0{built_at}".encode()).hexdigest()[:16]
     fs, final = _file_system(spark, f"{root}/clean.{token}.csv")
     if not fs.exists(final):
         work = f"{root}/.clean.{token}.{uuid.uuid4().hex}"
         csv_rows(df).write.option("header", True).csv(work)
-        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(work), final)
+        if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(work), final):
+            raise SnapshotError(f"{final} could not get its name")
+    found = [s for s in fs.listStatus(final.getParent()) if s.getPath().getName().startswith((".clean.", "clean."))]
+    whole = sorted((s for s in found if s.getPath().getName().startswith("clean.") and s.getPath().getName() != final.getName()), key=lambda s: -s.getModificationTime())
+    for status in [*whole[keep - 1 :], *(s for s in found if s.getPath().getName().startswith(".clean."))]:
+        fs.delete(status.getPath(), True)
     return f"{root}/clean.{token}.csv"
 
 
 def write_report(spark: SparkSession, path: str, content: dict) -> None:
-    """A small JSON report, under its name only when it is whole."""
-    fs, target = _file_system(spark, path)
-    temporary = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(temporary, True)
-    out.write(bytearray(json.dumps(content, ensure_ascii=False, sort_keys=True).encode()))
-    out.close()
-    fs.delete(target, False)
-    fs.rename(temporary, target)
+    """A small JSON report, under its name only when it is whole; the one before it stays until then."""
+    _replace(spark, path, json.dumps(content, ensure_ascii=False, sort_keys=True))
 
 
 def cache_misses(urls: DataFrame, assets: DataFrame, normalization: str, fingerprint: str) -> DataFrame:
