@@ -23,19 +23,17 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm.common import materialise
-from cadastra.llm.token_output import Cache, by_chars, gathered
+from cadastra.llm.token_output import Cache, by_chars, cells, gathered
 
 #: Id pairs whose counts all tasks get: 13 bytes each.
 KNOWN = 1 << 20
@@ -49,9 +47,6 @@ GATHER, HELD = 2_000_000, 1_000_000
 
 #: The settings of a byte-level file whose tokens never span a cell's border.
 _BYTE_LEVEL = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
-_CUT = re.compile(r" (?<=\S )(?=.)", re.S)
-#: Texts that a cut at each blank would cut elsewhere: blanks at an end or behind white space.
-_UNEVEN = "^ | $|[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
 
 
 def byte_letters() -> dict[str, int]:
@@ -81,15 +76,15 @@ class Aligner:
         self.len_a, self.len_b = (np.array([len(x) for x in xs], np.int64) for xs in (self.bytes_a, self.bytes_b))
         self.names = np.array([str(i) for i in range(max(len(names), self.size_b))], object)
         self.cells = {k: rules.get(k) for k in _BYTE_LEVEL} == _BYTE_LEVEL and not any("▁" in p.lstrip("▁") for p in pieces)
-        self.cache = Cache(lambda cells: [x for i in range(0, len(cells), CELLS) for x in self.align(cells[i : i + CELLS])], CACHE_CELLS)
+        self.cache = Cache(lambda new: [x for i in range(0, len(new), CELLS) for x in self.align(new[i : i + CELLS])], CACHE_CELLS)
 
-    def align(self, cells: list[str]) -> list:
+    def align(self, texts: list[str]) -> list:
         """For each cell: n_a, n_b, n_groups, n_links, groups, codes, occurrences; None if the bytes differ. Codes: a * size_b + b."""
-        found_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in cells], add_special_tokens=False)]
-        found_b = self.b.encode(cells, num_threads=1)
-        out: list = [None] * len(cells)
+        found_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in texts], add_special_tokens=False)]
+        found_b = self.b.encode(texts, num_threads=1)
+        out: list = [None] * len(texts)
         good = []
-        for k, (c, x, y) in enumerate(zip(cells, found_a, found_b)):
+        for k, (c, x, y) in enumerate(zip(texts, found_a, found_b)):
             raw = b" " + c.encode()
             if b"".join([self.bytes_b[i] for i in y]) == raw and b"".join([self.bytes_a[i] for i in x]) == raw:
                 good.append(k)
@@ -134,20 +129,10 @@ class Aligner:
             g0, t0 = g1, t1
         return out
 
-    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """All cells of the texts, and the places where each text's cells begin and end."""
-        if not self.cells:
-            return texts, np.arange(len(texts) + 1)
-        if pc.any(pc.match_substring_regex(texts, _UNEVEN)).as_py():
-            parts = [_CUT.split(t) for t in texts.to_pylist()]
-            return pa.array([c for p in parts for c in p], pa.string()), np.cumsum([0, *map(len, parts)])
-        lists = pc.split_pattern(texts, " ")
-        return lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-
     def measure(self, texts: pa.Array) -> list[tuple]:
         """For each text: n_a, n_b, n_groups, n_links, groups_sha256, distinct codes in order, their occurrences. None without tokens."""
-        cells, place = self._split(texts)
-        coded = cells.dictionary_encode()
+        found, place = cells(texts) if self.cells else (texts, np.arange(len(texts) + 1))
+        coded = found.dictionary_encode()
         known = self.cache.get(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         wrong = np.array([k is None for k in known])

@@ -2,9 +2,12 @@
 
 Texts are split by the tokenizer's pattern. The distinct pieces of a slice of documents go to a recursive query: each
 step unnests the pieces' token-position rows, joins neighbouring pairs with the merge table and contracts every piece's
-leftmost pair of minimum rank; pieces without a pair leave, until none is left. Decoding joins token-position rows
-with the vocabulary and concatenates by position. A piece that is itself a vocabulary entry is that entry, as in the
-tokenizer. Whole texts are encoded; a text's ids are the concatenation of its pieces' ids.
+leftmost pair of minimum rank; pieces without a pair leave, until none is left. A piece that is itself a vocabulary
+entry is that entry, as in the tokenizer. Whole texts are encoded; a text's ids are the concatenation of its pieces' ids.
+Decoding takes a document's ids alone: its token-position rows are joined with the vocabulary and put together in order.
+
+Each distinct piece is contracted once for as long as it is in a worker's cache, and each distinct cell (what stands
+between blanks that no piece goes on over) is cut into pieces once; documents' ids are gathered by their cells.
 
 A piece of more than `CHUNK` bytes would take a step for each of its contractions, each over all its positions. It is
 cut into chunks instead, which are contracted side by side, and neighbouring chunks are joined, pair by pair, by
@@ -24,15 +27,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import sliced
+from cadastra.llm.token_output import Known, by_chars, cells
 
 SLICE_CHARS = 2_000_000
 CACHE_PIECES = 220_000
@@ -69,11 +74,13 @@ SELECT piece, tokens FROM ({_ENCODE.format(keyed="USING KEY (piece)", all="", pi
 ORDER BY piece
 """.format(long=LONG_PIECE)
 
+#: One thread: rows come to the aggregate in the order of the subquery.
 _DECODE = """
-SELECT row, string_agg(v.bytes_hex, '' ORDER BY pos) AS bytes_hex
-FROM (SELECT row, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM sequences) s
-JOIN vocabulary v ON v.token = s.token GROUP BY row
+SELECT row, string_agg(bytes, '') AS bytes
+FROM (SELECT s.row, v.bytes FROM sequences s JOIN vocabulary v ON v.token = s.token ORDER BY s.pos) GROUP BY row
 """
+#: Fixed value: the pattern whose pieces never go on over a blank that follows no white space.
+CELLED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -99,9 +106,9 @@ class Tokenizer:
                     merged.append(rank)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._load("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int32())}))
-        self._load("vocabulary", pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "bytes_hex": [t.hex() for t in self.ranks]}))
+        self._load("vocabulary", pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]}))
         self.cache: dict[str, bytes] = {}
-        self.unlike: dict[str, bytes] = {}
+        self.celled, self.known = pattern == CELLED, Known(self._encode_cells)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -153,72 +160,57 @@ class Tokenizer:
             parts = joined + parts[len(pairs) * 2 :]
         return parts[0]
 
-    def decode_sequences(self, sequences: list[np.ndarray]) -> list[bytes]:
-        values = np.concatenate(sequences) if sequences else np.zeros(0, np.int64)
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sequences])]).astype(np.int32)
-        tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
-        self._load("sequences", pa.table({"row": pa.array(range(len(sequences)), pa.int32()), "tokens": tokens}))
-        out = [b""] * len(sequences)
-        for row, text in self.db.execute(_DECODE).fetchall():
-            out[row] = bytes.fromhex(text)
+    def _encode_cells(self, texts: list[str]) -> list[bytes]:
+        if len(self.cache) > CACHE_PIECES:
+            self.cache.clear()
+        pieces = [self.pattern.findall(t) for t in texts]
+        new = [p for p in {p for ps in pieces for p in ps} if p not in self.cache]
+        if new:
+            self.cache.update(zip(new, (ids.tobytes() for ids in self.encode_pieces(new))))
+        return [b"".join(map(self.cache.__getitem__, ps)) for ps in pieces]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's ids. No text may be null."""
+        if not self.celled:
+            return self.known.encode(texts, np.arange(len(texts) + 1))
+        found, places = cells(texts)
+        first = np.zeros(len(found), bool)
+        first[places[:-1]] = True
+        return self.known.encode(pc.if_else(pa.array(first), found, pc.binary_join_element_wise("", found, " ")), places)
+
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each sequence of ids: its token-position rows, joined with the vocabulary and put together in order."""
+        tokens = np.concatenate(ids).astype(np.int32)
+        rows = np.repeat(np.arange(len(ids), dtype=np.int32), [len(i) for i in ids])
+        self.db.register("sequences", pa.table({"row": rows, "pos": np.arange(len(tokens), dtype=np.int64), "token": tokens}))
+        found = self.db.sql(_DECODE).to_arrow_table()
+        self.db.unregister("sequences")
+        out = [b""] * len(ids)
+        for row, text in zip(found.column("row").to_pylist(), found.column("bytes").to_pylist()):
+            out[row] = text.encode("latin-1")
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Puts the pieces' ids into the cache, and what they decode to beside it where that is not the piece itself."""
-        new = [p for p in pieces if p not in self.cache]
-        if not new:
-            return
-        encoded = self.encode_pieces(new)
-        for piece, ids, back in zip(new, encoded, self.decode_sequences(encoded)):
-            self.cache[piece] = ids.tobytes()
-            if back != piece.encode():
-                self.unlike[piece] = back
-
-    def decoded(self, pieces: list[str]) -> bytes:
-        if not self.unlike:
-            return "".join(pieces).encode()
-        return b"".join(self.unlike[p] if p in self.unlike else p.encode() for p in pieces)
-
-
-def _slices(texts: list[str]) -> Iterator[list[str]]:
-    part, chars = [], 0
-    for text in texts:
-        part.append(text)
-        chars += len(text)
-        if chars >= SLICE_CHARS:
-            yield part
-            part, chars = [], 0
-    if part:
-        yield part
+
+@lru_cache(1)
+def tokenizer(rank_file: str, pattern: str) -> Tokenizer:
+    """One tokenizer a Python worker: what it has learned serves the tasks that follow."""
+    return Tokenizer(rank_file, pattern)
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian 32 bits), decoded_sha256; with_ids adds ids and decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
-        for batch in sliced(batches):
-            tokenizer = tokenizer or Tokenizer(rank_file, pattern)
-            rows: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
-            for part in _slices(batch.column("text").to_pylist()):
-                pieces = [tokenizer.pattern.findall(text) for text in part]
-                if len(tokenizer.cache) > CACHE_PIECES:
-                    tokenizer.cache.clear()
-                tokenizer.learn({p for ps in pieces for p in ps})
-                for ps in pieces:
-                    ids, back = b"".join(map(tokenizer.cache.__getitem__, ps)), tokenizer.decoded(ps)
-                    rows["n_tokens"].append(len(ids) // 4)
-                    rows["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                    rows["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
-                    if with_ids:
-                        rows["ids"].append(np.frombuffer(ids, "<u4").astype(np.int32))
-                        rows["decoded"].append(back.decode())
-            columns = [pa.array(rows["n_tokens"], pa.int64()), pa.array(rows["ids_sha256"], pa.string()), pa.array(rows["decoded_sha256"], pa.string())]
+        own = tokenizer(rank_file, pattern)
+        for part in (p for batch in batches for p in by_chars(batch, SLICE_CHARS)):
+            ids = own.encode(part.column("text"))
+            back = own.decode(ids)
+            columns = [pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string())]
             names = ["n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array(rows["ids"], pa.list_(pa.int32())), pa.array(rows["decoded"], pa.string())]
+                columns += [pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([b.decode() for b in back], pa.string())]
                 names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", *names])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     extra = ", ids array<int>, decoded string" if with_ids else ""

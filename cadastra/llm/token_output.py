@@ -106,6 +106,46 @@ def gathered(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.nda
     return values.take(np.repeat((starts - (ends - lens)).astype(kind), lens) + np.arange(total, dtype=kind))
 
 
+class Known:
+    """Ids of the chunks seen most, in Arrow and numpy: a slice's chunks are found without Python, its new ones are encoded once."""
+
+    def __init__(self, find: Callable[[list[str]], list[bytes]], size: int = KNOWN_CHUNKS):
+        self.find, self.size = find, size
+        self.chunks, self.seen, self.lens, self.ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def encode(self, chunks: pa.Array, places: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts whose chunks stand between the places."""
+        at = self._at(chunks)
+        own = self.lens[at]
+        ids = gathered(self.ids, (np.cumsum(self.lens) - self.lens)[at], own)
+        ends = np.concatenate([[0], np.cumsum(own)])[places]
+        self._prune(at)
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def _at(self, chunks: pa.Array) -> np.ndarray:
+        """The chunks' rows in the table, which gets those that it lacks."""
+        at = pc.fill_null(pc.index_in(chunks, value_set=self.chunks), -1).to_numpy(zero_copy_only=False)
+        absent = at < 0
+        if absent.any():
+            new = chunks.filter(pa.array(absent)).dictionary_encode()
+            raw = self.find(new.dictionary.to_numpy(zero_copy_only=False).tolist())
+            at = at.copy()
+            at[absent] = new.indices.to_numpy() + len(self.chunks)
+            self.chunks = pa.concat_arrays([self.chunks, new.dictionary])
+            self.lens = np.concatenate([self.lens, [len(r) // 4 for r in raw]]).astype(np.int64)
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<u4")])
+            self.seen = np.concatenate([self.seen, np.zeros(len(raw), np.int64)])
+        return at
+
+    def _prune(self, at: np.ndarray) -> None:
+        """Keeps the chunks seen most where the table is full: that costs time only."""
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        if len(self.seen) > 2 * self.size:
+            kept = np.sort(np.argpartition(-self.seen, self.size)[: self.size])
+            self.ids = gathered(self.ids, (np.cumsum(self.lens) - self.lens)[kept], self.lens[kept])
+            self.chunks, self.lens, self.seen = self.chunks.take(pa.array(kept)), self.lens[kept], self.seen[kept] // 2
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, without added tokens but those the text holds; distinct chunks are encoded once."""
 
@@ -122,8 +162,7 @@ class WordEncoder:
         others = [b for b in range(256) if b not in printed]
         self.letters = {b: b for b in printed} | {b: 256 + i for i, b in enumerate(others)}
         self.words = Cache(self._encode_words)
-        # the known chunks, how often they were seen, and their ids one after another
-        self.known, self.seen, self.lens, self.ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.known = Known(self._encode_chunks)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         model, letters = self.whole.model, self.letters
@@ -153,35 +192,7 @@ class WordEncoder:
         if not self.plain:
             return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
         lists = pc.ascii_split_whitespace(texts)
-        at = self._places(lists.flatten())
-        own = self.lens[at]
-        ids = gathered(self.ids, (np.cumsum(self.lens) - self.lens)[at], own)
-        places = np.concatenate([[0], np.cumsum(own)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        self._prune(at)
-        return [ids[a:b] for a, b in zip(places[:-1], places[1:])]
-
-    def _places(self, chunks: pa.Array) -> np.ndarray:
-        """The chunks' places in the table of known ones, which gets those that it lacks."""
-        at = pc.fill_null(pc.index_in(chunks, value_set=self.known), -1).to_numpy(zero_copy_only=False)
-        absent = at < 0
-        if absent.any():
-            new = chunks.filter(pa.array(absent)).dictionary_encode()
-            raw = self._encode_chunks(new.dictionary.to_numpy(zero_copy_only=False).tolist())
-            at = at.copy()
-            at[absent] = new.indices.to_numpy() + len(self.known)
-            self.known = pa.concat_arrays([self.known, new.dictionary])
-            self.lens = np.concatenate([self.lens, [len(r) // 4 for r in raw]]).astype(np.int64)
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<u4")])
-            self.seen = np.concatenate([self.seen, np.zeros(len(raw), np.int64)])
-        return at
-
-    def _prune(self, at: np.ndarray) -> None:
-        """Keeps the chunks seen most where the table is full: that costs time only."""
-        self.seen += np.bincount(at, minlength=len(self.seen))
-        if len(self.seen) > 2 * KNOWN_CHUNKS:
-            kept = np.sort(np.argpartition(-self.seen, KNOWN_CHUNKS)[:KNOWN_CHUNKS])
-            self.ids = gathered(self.ids, (np.cumsum(self.lens) - self.lens)[kept], self.lens[kept])
-            self.known, self.lens, self.seen = self.known.take(pa.array(kept)), self.lens[kept], self.seen[kept] // 2
+        return self.known.encode(lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py())
 
 
 @lru_cache(1)
@@ -200,6 +211,20 @@ def _unpacked(decompressor: zstandard.ZstdDecompressor, raw: bytes) -> np.ndarra
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+_CUT = re.compile(r" (?<=\S )(?=.)", re.S)
+#: Texts that a cut at each blank would cut elsewhere: blanks at an end or behind white space.
+_UNEVEN = "^ | $|[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
+
+
+def cells(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts cut at each blank that follows no white space and is not the last letter, without these blanks, and the places where each text's cells begin and end."""
+    if pc.any(pc.match_substring_regex(texts, _UNEVEN)).as_py():
+        parts = [_CUT.split(t) for t in texts.to_pylist()]
+        return pa.array([c for p in parts for c in p], pa.string()), np.cumsum([0, *map(len, parts)])
+    lists = pc.split_pattern(texts, " ")
+    return lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+
 def by_chars(batch: pa.RecordBatch, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of about so many bytes of text, a row at least."""
     ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
