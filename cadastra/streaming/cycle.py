@@ -44,7 +44,8 @@ def run(
     found = {"prices_new": ingest_version(transaction, "price_events", prices, PRICE_FIELDS, version, totals), "presence_new": ingest_version(transaction, "presence_events", presence, PRESENCE_FIELDS, version, totals)}
     state = transaction.replace("state", O.merge_state(old_state, seen))
     members = transaction.replace("members", O.attach_new(old_members, seen))
-    local = transaction.append("local_presence", O.presence_events(old_state, seen, now))
+    transaction.append("local_presence", O.presence_events(old_state, seen, now))
+    local = transaction.read("local_presence")
     transaction.append("local_prices", O.price_events(old_state, seen, now))
     own = local.select(F.col("id").alias("listing"), "event_type", "observed_at", F.concat_ws("/", "id", "observed_at", "event_type").alias("event_id"))
     source = transaction.read("presence_events").select("listing", "event_type", "observed_at", "event_id")
