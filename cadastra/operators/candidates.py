@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadastra.session import written
+
 MAX_BLOCK = 100
 
 
@@ -16,7 +18,7 @@ def blocks(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
 
 def candidate_pairs(rows: DataFrame, keys: dict[str, Column], max_block: int = MAX_BLOCK) -> DataFrame:
     """low, high, reasons: pairs that share a block of 2 to max_block rows. Larger blocks say nothing and are left out."""
-    found = blocks(rows, keys).distinct()
+    found = written(blocks(rows, keys).distinct())
     sizes = found.groupBy("reason", "key").agg(F.count("*").alias("n")).filter(F.col("n").between(2, max_block)).drop("n")
     # at most max_block ids a block, by the join; the groups lie where the join has put them
     listed = found.join(sizes, ["reason", "key"]).groupBy("reason", "key").agg(F.array_sort(F.collect_list("id")).alias("ids"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadastra.session import written
+
 MAX_PHOTOS = 30
 
 
@@ -79,9 +81,22 @@ def usable_url(url: Column, markers: list[str]) -> Column:
     return ~found
 
 
-def usable_urls(urls: Column, markers: list[str]) -> Column:
-    """Urls without blanks, placeholders (a marker in any case) and repeats, in their first order."""
-    return F.array_distinct(F.filter(urls, lambda u: usable_url(u, markers)))
+def near_codes(codes: DataFrame, key: str, bits: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Links (key, low, high, distance) of different codes at most `bits` apart, and members (key, code, n, first) of each code.
+
+    Codes (key, code, id) of one value are one class, so copies are never paired. A 64-bit code is cut into bits + 1
+    pieces: two codes that differ in at most `bits` places have an equal piece, and only these meet. Exact, for any codes.
+    """
+    if not 1 <= bits <= 15:
+        raise ValueError("1 to 15 bits")
+    members = written(codes.groupBy(key, "code").agg(F.count("*").alias("n"), F.min("id").alias("first")))
+    edges = [64 * i // (bits + 1) for i in range(bits + 2)]
+    piece = [F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+    cut = members.select(key, "code", F.posexplode(F.array(*piece)).alias("piece", "value"))
+    on = [key, "piece", "value"]
+    met = cut.withColumnRenamed("code", "low").join(cut.withColumnRenamed("code", "high"), on).filter("low < high")
+    far = hamming(F.col("low"), F.col("high"))
+    return met.filter(far <= bits).select(key, "low", "high", far.alias("distance")).distinct(), members
 
 
 def prevalence(memberships: DataFrame, url: str) -> DataFrame:

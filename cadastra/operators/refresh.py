@@ -68,24 +68,33 @@ def positive_signals(columns: list[str], near_m: float = 500) -> Column:
     ))
 
 
-def refresh(rows: DataFrame, overrides: DataFrame, evidence: DataFrame, max_block: int = C.MAX_BLOCK) -> DataFrame:
-    """All current candidates: low, high, both identity hashes, reasons, conflicts, signals, revision, status, priority.
-
-    overrides: low, high, decision. evidence: low, high, low_hash, high_hash, revision, match_revision, of which only what
-    fits the pair's present state counts. What is not returned is current no more.
-    """
+def judge(rows: DataFrame, max_block: int = C.MAX_BLOCK) -> DataFrame:
+    """All pairs that share a block, by what the listings themselves say: low, high, both identity hashes, reasons, conflicts, signals, revision, priority."""
     fields = rows.columns
     listed = rows.withColumn("identity_hash", identity_hash(fields))
     pairs = C.with_sides(C.candidate_pairs(rows, block_keys(fields), max_block), listed)
     both = F.coalesce((F.col("a.status") == "active") & (F.col("b.status") == "active"), F.lit(False))
     judged = pairs.withColumns({"hard_conflicts": hard_conflicts(fields), "positive_signals": positive_signals(fields), "low_hash": F.col("a.identity_hash"), "high_hash": F.col("b.identity_hash"), "both_active": both}).drop("a", "b")
     near = F.exists("positive_signals", lambda s: s["signal"] == "near_coordinates")
-    judged = judged.withColumn("priority", C.priority(F.col("reasons"), F.col("both_active"), near))
+    judged = judged.withColumn("priority", C.priority(F.col("reasons"), F.col("both_active"), near)).drop("both_active")
     parts = ["low", "high", "low_hash", "high_hash", "reasons", "hard_conflicts", "positive_signals"]
-    judged = judged.withColumn("revision", S.typed_hash(*map(F.col, parts), F.lit(GENERATOR)))
-    fits = evidence.select("low", "high", "low_hash", "high_hash", "revision", "match_revision").groupBy("low", "high", "low_hash", "high_hash", "revision").agg(F.min("match_revision").alias("match_revision"))
-    known = judged.join(overrides.select("low", "high", "decision"), ["low", "high"], "left").join(fits, ["low", "high", "low_hash", "high_hash", "revision"], "left")
-    return known.withColumn("status", C.status(F.col("decision"), F.col("match_revision").isNotNull(), F.col("hard_conflicts"))).drop("decision", "both_active")
+    return judged.withColumn("revision", S.typed_hash(*map(F.col, parts), F.lit(GENERATOR)))
+
+
+def decide(judged: DataFrame, overrides: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Judged pairs with match_revision and status: by override, evidence on exactly this state, conflicts.
+
+    overrides: low, high, decision. evidence: low, high, low_hash, high_hash, revision, match_revision.
+    """
+    key = ["low", "high", "low_hash", "high_hash", "revision"]
+    fits = evidence.groupBy(*key).agg(F.min("match_revision").alias("match_revision"))
+    known = judged.join(overrides.select("low", "high", "decision"), ["low", "high"], "left").join(fits, key, "left")
+    return known.withColumn("status", C.status(F.col("decision"), F.col("match_revision").isNotNull(), F.col("hard_conflicts"))).drop("decision")
+
+
+def refresh(rows: DataFrame, overrides: DataFrame, evidence: DataFrame, max_block: int = C.MAX_BLOCK) -> DataFrame:
+    """All current candidates with their status; what is not returned is current no more."""
+    return decide(judge(rows, max_block), overrides, evidence)
 
 
 def renewed(history: DataFrame, current: DataFrame) -> DataFrame:

@@ -84,6 +84,57 @@ def histogram(rows: DataFrame, value: str) -> DataFrame:
     return rows.select(items.alias("value")).groupBy("value").agg(F.count("*").alias("n"))
 
 
+#: The photo queues: fewest active sides, fewest reasons, whether both sides must be eligible, and whether just so many are active.
+QUEUES = {
+    "all_waiting": (0, 0, False, False),
+    "both_active": (2, 0, False, True),
+    "both_active_3plus_both_eligible": (2, 3, True, True),
+    "both_active_2plus_both_eligible": (2, 2, True, True),
+    "active_missing_3plus_both_eligible": (1, 3, True, True),
+}
+
+
+def queue_sizes(pairs: DataFrame, listings: DataFrame, average_bytes: int = 0, waiting: str = "awaiting_photo_analysis") -> DataFrame:
+    """queue, pairs, listings, photos, first_five, gib, first_five_gib of the waiting pairs of each queue; a pair may be in several.
+
+    pairs: low, high, status, reasons (array). listings: id, status, baseline_eligible, photo_count. Sizes are of
+    different listings, by the average bytes of a photo; null if that is not known.
+    """
+    side = lambda name: listings.select(F.col("id").alias(name), (F.col("status") == "active").cast("int").alias(f"{name}_active"), F.coalesce(F.col("baseline_eligible").cast("string").isin("1", "true"), F.lit(False)).alias(f"{name}_eligible"))
+    both = pairs.filter(F.col("status") == waiting).join(side("low"), "low").join(side("high"), "high")
+    active, eligible = F.coalesce("low_active", F.lit(0)) + F.coalesce("high_active", F.lit(0)), F.col("low_eligible") & F.col("high_eligible")
+    names = []
+    for name, (sides, reasons, both_eligible, just) in QUEUES.items():
+        fits = (active == sides if just else active >= sides) & (F.size("reasons") >= reasons)
+        names.append(F.when(fits & eligible if both_eligible else fits, F.lit(name)))
+    dealt = both.select("low", "high", F.explode(F.array_compact(F.array(*names))).alias("queue"))
+    counted = dealt.groupBy("queue").agg(F.count("*").alias("pairs"))
+    photos = F.coalesce(S.number(F.col("photo_count")), F.lit(0.0)).cast("long")
+    ends = dealt.select("queue", F.explode(F.array("low", "high")).alias("id")).distinct().join(listings.select("id", photos.alias("photos")), "id")
+    sized = ends.groupBy("queue").agg(F.count("*").alias("listings"), F.sum("photos").alias("photos"), F.sum(F.least("photos", F.lit(5))).alias("first_five"))
+    gib = lambda c: (F.round(F.col(c) * average_bytes / 2**30, 2) if average_bytes else F.lit(None).cast("double"))
+    every = pairs.sparkSession.createDataFrame([(q,) for q in QUEUES], "queue string")
+    found = every.join(counted, "queue", "left").join(sized, "queue", "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("pairs", "listings", "photos", "first_five")}
+    return found.withColumns(zero).withColumns({"gib": gib("photos"), "first_five_gib": gib("first_five")})
+
+
+def candidate_counters(pairs: DataFrame) -> DataFrame:
+    """counter (status or generator), value, n of current candidates (status, generator_version)."""
+    each = F.explode(F.array(F.struct(F.lit("status").alias("counter"), F.col("status").alias("value")), F.struct(F.lit("generator").alias("counter"), F.col("generator_version").alias("value")))).alias("c")
+    return pairs.select(each).groupBy("c.counter", "c.value").agg(F.count("*").alias("n"))
+
+
+def profile_coverage(profiles: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows, tagged_rows, contradictory_finish, unknown_finish_with_photos of profiles (id, signals) and rows (id, photo_count)."""
+    codes = F.transform("signals", lambda s: s["code"])
+    has = lambda c: F.array_contains("codes", F.lit(c))
+    known = profiles.select("id", codes.alias("codes")).join(rows.select("id", S.number(F.col("photo_count")).alias("photos")), "id")
+    bad = (has("finish_rough") & has("finish_fresh")) | (has("finish_needs_repair") & has("finish_fresh"))
+    blind = ~F.exists("codes", lambda c: c.startswith("finish_")) & (F.coalesce("photos", F.lit(0.0)) > 0)
+    return known.agg(F.count("*").alias("rows"), F.count_if(F.size("codes") > 0).alias("tagged_rows"), F.count_if(bad).alias("contradictory_finish"), F.count_if(blind).alias("unknown_finish_with_photos"))
+
+
 def status_mix(pairs: DataFrame, state: DataFrame) -> DataFrame:
     """mix, n of pairs (low, high) by both sides' status, in order of their names."""
     side = lambda name: state.select(F.col("id").alias(name), F.col("status").alias(f"{name}_status"))

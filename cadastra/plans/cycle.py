@@ -253,13 +253,12 @@ refreshed AS (SELECT *, CASE WHEN (ka + kc) % 31 = 0 THEN 'manual_linked' WHEN (
 
 def _refreshed(spark, d):
     homes = made(spark, d, HOMES)
-    none = spark.sql("SELECT '' AS low, '' AS high, '' AS decision, '' AS low_hash, '' AS high_hash, '' AS revision, '' AS match_revision").limit(0)
-    first = written(R.refresh(homes.drop("k", "baseline_eligible"), none, none).select("low", "high", "low_hash", "high_hash", "revision"))
+    first = written(R.judge(homes.drop("k", "baseline_eligible")))
     place = (F.col("low").cast("long") + F.col("high").cast("long")) % 31
     overrides = first.filter(place.isin(0, 1)).select("low", "high", F.when(place == 0, "same_entity").otherwise("different_entity").alias("decision"))
     # evidence on the present revision, and on an older one that says nothing
     evidence = first.filter(place.isin(2, 3)).select("low", "high", "low_hash", "high_hash", F.when(place == 2, F.col("revision")).otherwise("older").alias("revision"), F.lit("m1").alias("match_revision"))
-    return homes, R.refresh(homes.drop("k", "baseline_eligible"), overrides, evidence)
+    return homes, R.decide(first, overrides, evidence)
 
 
 @query(f"WITH {_REFRESHED} SELECT low, high, reasons, conflicts, priority, status FROM refreshed")

@@ -46,8 +46,8 @@ matched AS (SELECT low, unnest(matches) AS m, unnest(range(len(matches))) AS pla
 scores AS (SELECT low, low + 1 AS high, round(avg(round(m.s, 6)), 6) AS score FROM matched WHERE place < 3 GROUP BY low)"""
 
 
-def _frames(spark, d):
-    e = _t(spark, d, "embeddings").withColumn("listing", F.expr("vec_id div 10"))
+def _frames(spark, d, only="true"):
+    e = _t(spark, d, "embeddings").filter(only).withColumn("listing", F.expr("vec_id div 10"))
     sign = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), "")
     colours = F.transform(F.slice("embedding", 1, 12), lambda x: F.pmod(F.floor(1024 * x.cast("double")), F.lit(256)).cast("long"))
     return P.numbered(e, "listing", "vec_id").select(

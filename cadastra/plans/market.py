@@ -6,13 +6,18 @@ from pyspark.sql import functions as F
 
 from cadastra.functions import text as X
 from cadastra.operators import batches as B
+from cadastra.operators import photos, worker
+from cadastra.operators import profiles as P
+from cadastra.operators import refresh as R
 from cadastra.operators import observe as O
 from cadastra.operators import publishing as G
 from cadastra.operators import reports as W
 from cadastra.operators import verdicts as V
 from cadastra.operators import zones as Z
 from cadastra.plans.catalogue import _json, _t, query
-from cadastra.plans.cycle import _REFRESHED, HOMES, _reviewed, made, sql
+from cadastra.plans.cycle import _REFRESHED, HOMES, _refreshed, _reviewed, made, sql
+from cadastra.plans.cycle import CARDS as CLAIMS
+from cadastra.plans.evidence import _SHOWN, BITS, RGB, _frames
 from cadastra.streaming import presence
 
 #: Order lines as episodes on the market of their supplier's nation: from the order to the shipment, open ones have not ended.
@@ -150,3 +155,85 @@ def presence_grace(spark, d):
     kind = F.when(F.col("event_type") == "error", "missing").when(F.col("event_type") == "signup", "reactivated").otherwise("seen")
     found = presence.history(e.select(F.col("user_id").cast("string").alias("listing"), F.col("ts").cast("timestamp").alias("at"), "event_id", kind.alias("type")), until)
     return found.select("listing", F.unix_micros("at").alias("at"), "event")
+
+
+# --- photo queues and runs ---------------------------------------------------------------------------------------
+
+_WAITING = f"WITH {_REFRESHED}, w AS (SELECT * FROM refreshed WHERE status = 'awaiting_photo_analysis'), q AS (SELECT 'all_waiting' AS queue, * FROM w UNION ALL SELECT 'both_active', * FROM w WHERE n_active = 2 UNION ALL SELECT 'both_active_2plus_both_eligible', * FROM w WHERE n_active = 2 AND n >= 2 AND n_eligible = 2), ends AS (SELECT queue, low AS id FROM q UNION SELECT queue, high FROM q)"
+
+
+@query(f"""{_WAITING}, p AS (SELECT queue, count(*) AS pairs FROM q GROUP BY 1), s AS (SELECT queue, count(*) AS listings, CAST(sum(p_size % 9) AS BIGINT) AS photos, CAST(sum(least(p_size % 9, 5)) AS BIGINT) AS first_five FROM ends JOIN part ON CAST(p_partkey AS VARCHAR) = id GROUP BY 1)
+SELECT v.queue, coalesce(pairs, 0) AS pairs, coalesce(listings, 0) AS listings, coalesce(photos, 0) AS photos, coalesce(first_five, 0) AS first_five, round(coalesce(photos, 0) * 93377 / 1073741824.0::DOUBLE, 2) AS gib FROM (VALUES ('all_waiting'), ('both_active'), ('both_active_3plus_both_eligible'), ('both_active_2plus_both_eligible'), ('active_missing_3plus_both_eligible')) v(queue) LEFT JOIN p ON p.queue = v.queue LEFT JOIN s ON s.queue = v.queue""")
+def photo_queues(spark, d):
+    """The five photo queues: pairs, different listings, their photos and what these take."""
+    homes, pairs = _refreshed(spark, d)
+    size = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_size") % 9).alias("photo_count"))
+    return W.queue_sizes(pairs, homes.select("id", "status", "baseline_eligible").join(size, "id"), 93377).drop("first_five_gib")
+
+
+@query(f"WITH {_REFRESHED} SELECT 'status' AS counter, status AS value, count(*) AS n FROM refreshed GROUP BY 2 UNION ALL SELECT 'generator', reasons, count(*) FROM refreshed GROUP BY 2")
+def candidate_counters(spark, d):
+    """Current candidates by status, and by what brought them up."""
+    return W.candidate_counters(_refreshed(spark, d)[1].withColumn("generator_version", F.array_join("reasons", ",")))
+
+
+@query(f"SELECT count(*) AS rows, count(*) AS tagged_rows, count(*) FILTER (id % 3 = 0 AND id % 5 = 0) AS contradictory_finish, count(*) FILTER (id % 3 > 0 AND id % 5 > 0 AND n_chars % 3 > 0) AS unknown_finish_with_photos FROM ({sql(CLAIMS)}) JOIN documents ON doc_id = id")
+def profile_coverage(spark, d):
+    photos = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 3).cast("string").alias("photo_count"))
+    return W.profile_coverage(P.profile(made(spark, d, CLAIMS)), photos)
+
+
+_BROKEN = "label % 4 = 3"
+_SEEN = _SHOWN.replace("FROM embeddings)", f"FROM embeddings WHERE NOT ({_BROKEN}))")
+
+
+@query(f"""{_SEEN}, e AS (SELECT vec_id // 10 AS listing, count(*) FILTER (NOT ({_BROKEN})) AS decoded, count(*) FILTER ({_BROKEN}) AS errors FROM embeddings GROUP BY 1),
+l AS (SELECT e.listing, decoded, errors, coalesce(len(frames), 0) AS shown FROM e LEFT JOIN final f ON f.listing = e.listing),
+p AS (SELECT a.decoded + b.decoded AS decoded, a.errors + b.errors AS errors, a.shown + b.shown AS shown, a.shown > 0 AND b.shown > 0 AS good FROM l a JOIN l b ON b.listing = a.listing + 1)
+SELECT count(*) AS selected, count(*) FILTER (good) AS analyzed, count(*) FILTER (NOT good) AS failed, CAST(sum(decoded + errors) FILTER (good) AS BIGINT) AS considered, CAST(sum(decoded) FILTER (good) AS BIGINT) AS decoded, CAST(sum(shown) FILTER (good) AS BIGINT) AS "unique", CAST(sum(decoded - shown) FILTER (good) AS BIGINT) AS duplicates, CAST(sum(errors) FILTER (good) AS BIGINT) AS errors, count(*) FILTER (good) AS scores FROM p""")
+def worker_run(spark, d):
+    """A run over each listing with the next: a quarter of the photos cannot be read; documents, errors and totals."""
+    e = _t(spark, d, "embeddings").withColumn("listing", F.expr("vec_id div 10"))
+    lost = e.filter(_BROKEN).select("listing", F.col("vec_id").cast("string").alias("url_hash"), F.lit("broken").alias("error"))
+    listings = e.select("listing").distinct()
+    pairs = listings.select(F.col("listing").alias("low"), (F.col("listing") + 1).alias("high")).join(listings.withColumnRenamed("listing", "high"), "high", "left_semi")
+    pairs = pairs.withColumns({"revision": F.lit("r"), "low_hash": F.lit("a"), "high_hash": F.lit("b")})
+    out = worker.run(pairs, _frames(spark, d, f"NOT ({_BROKEN})"), lost, {"matcher_version": "m1"}, bits=BITS, rgb=RGB)
+    return worker.overview(out).select("selected", "analyzed", "failed", *worker.STATS, "scores")
+
+
+_CODE = "list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '')"
+
+
+@query(f"WITH c AS (SELECT label, substr({_CODE}, 1, 24) || repeat('0', 40) AS code, min(vec_id) AS first FROM embeddings GROUP BY 1, 2) SELECT a.label, least(a.first, b.first) AS low, greatest(a.first, b.first) AS high, CAST(hamming(a.code, b.code) AS INT) AS distance FROM c a JOIN c b ON a.label = b.label AND a.code < b.code AND hamming(a.code, b.code) <= 4")
+def near_codes(spark, d):
+    """Vectors of one label whose first 24 signs differ in at most four places, a pair for each two codes."""
+    bits = F.concat(F.substring(F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), ""), 1, 24), F.lit("0" * 40))
+    links, members = photos.near_codes(_t(spark, d, "embeddings").select("label", F.conv(bits, 2, -10).cast("long").alias("code"), F.col("vec_id").alias("id")), "label")
+    of = lambda side: members.select("label", F.col("code").alias(side), F.col("first").alias(f"{side}_id"))
+    both = links.join(of("low"), ["label", "low"]).join(of("high"), ["label", "high"])
+    return both.select("label", F.least("low_id", "high_id").alias("low"), F.greatest("low_id", "high_id").alias("high"), "distance")
+
+
+# --- candidates by all four kinds of blocks ----------------------------------------------------------------------
+
+#: Parts as listings with photos and places: one photo set for parts of one brand and size, places by size and price.
+PLACED = "SELECT CAST(p_partkey AS STRING) AS id, CAST(p_size % 4 + 1 AS STRING) AS rooms, CAST(40 + p_size % 3 AS DOUBLE) AS square_m2, CASE WHEN p_size % 7 > 0 THEN CAST(p_size % 6 AS STRING) ELSE '' END AS floor, p_brand AS street, CAST(p_size AS STRING) AS house_num, concat(split_part(p_type, ' ', 1), split_part(p_type, ' ', 3)) AS complex_name, CASE WHEN p_size % 2 = 0 THEN concat(p_brand, '/', CAST(p_size AS STRING), '/', split_part(p_name, ' ', 1)) END AS photo_set_hash, CAST(51 + p_size / 1000.0 + 0.0002 AS DOUBLE) AS latitude, CAST(71 + floor(p_retailprice) % 5 / 1000.0 + 0.0001 AS DOUBLE) AS longitude, CASE WHEN p_retailprice > 1200 THEN 'active' ELSE 'missing' END AS status FROM {part}"
+_FOUR = f"""h AS ({sql(PLACED)}), k AS (SELECT *, concat_ws('|', rooms, CAST(CAST(square_m2 AS BIGINT) AS VARCHAR), floor) AS built FROM h),
+blocks AS (SELECT id, 'exact_photo_set' AS reason, photo_set_hash AS b FROM k WHERE photo_set_hash IS NOT NULL UNION ALL SELECT id, 'address', concat_ws('|', lower(street), house_num, built) FROM k
+    UNION ALL SELECT id, 'complex', concat_ws('|', lower(complex_name), built) FROM k WHERE floor <> '' UNION ALL SELECT id, 'coordinates', concat_ws('|', round(latitude, 3), round(longitude, 3), built) FROM k WHERE floor <> ''),
+sized AS (SELECT *, count(*) OVER (PARTITION BY reason, b) AS n FROM blocks),
+pairs AS (SELECT x.id AS low, y.id AS high, string_agg(DISTINCT x.reason, ',' ORDER BY x.reason) AS reasons, count(DISTINCT x.reason) AS n FROM sized x JOIN sized y ON x.reason = y.reason AND x.b = y.b AND x.id < y.id AND x.n BETWEEN 2 AND 100 GROUP BY 1, 2),
+far AS (SELECT p.*, a.status = 'active' AND c.status = 'active' AS both_active, 2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(c.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(c.latitude)) * pow(sin(radians(c.longitude - a.longitude) / 2), 2)))) AS m,
+    concat_ws(',', CASE WHEN lower(a.street) <> lower(c.street) OR a.house_num <> c.house_num THEN 'address' END, CASE WHEN try_cast(a.floor AS DOUBLE) <> try_cast(c.floor AS DOUBLE) THEN 'floor' END, CASE WHEN a.rooms <> c.rooms THEN 'rooms' END) AS conflicts,
+    concat_ws(',', CASE WHEN a.photo_set_hash = c.photo_set_hash THEN 'exact_photo_set' END, '#', CASE WHEN lower(a.complex_name) = lower(c.complex_name) THEN 'same_complex' END, CASE WHEN lower(a.street) = lower(c.street) AND a.house_num = c.house_num THEN 'same_address' END) AS signals
+    FROM pairs p JOIN h a ON a.id = p.low JOIN h c ON c.id = p.high)
+SELECT low, high, reasons, conflicts, CASE WHEN reasons LIKE '%exact_photo_set%' THEN 100 WHEN n >= 3 THEN 80 WHEN n = 2 THEN 60 ELSE 30 END + CASE WHEN both_active THEN 5 ELSE 0 END + CASE WHEN m <= 500 THEN 2 ELSE 0 END AS priority,
+    trim(replace(replace(replace(signals, '#,', CASE WHEN m <= 500 THEN 'near_coordinates,' ELSE '' END), ',#', CASE WHEN m <= 500 THEN ',near_coordinates' ELSE '' END), '#', CASE WHEN m <= 500 THEN 'near_coordinates' ELSE '' END), ',') AS signals FROM far"""
+
+
+@query(f"WITH {_FOUR}")
+def candidates_by_four_kinds(spark, d):
+    """Pairs by photo sets, addresses, complexes and coordinates, with their conflicts, signals and priorities."""
+    out = R.judge(made(spark, d, PLACED))
+    return out.select("low", "high", F.array_join("reasons", ",").alias("reasons"), F.array_join("hard_conflicts", ",").alias("conflicts"), "priority", F.array_join(F.transform("positive_signals", lambda s: s["signal"]), ",").alias("signals"))
