@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions import text as X
 from cadastra.operators import candidates as C
+from cadastra.operators import graph
 from cadastra.operators import history as H
 from cadastra.operators import verdicts as V
 from cadastra.streaming import ingest
@@ -238,20 +239,11 @@ def in_flight_exclusion(spark, d):
 
 @query("WITH RECURSIVE next AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY text ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target FROM documents), walk AS (SELECT doc_id, doc_id AS place FROM next UNION ALL SELECT w.doc_id, n.target FROM walk w JOIN next n ON n.doc_id = w.place WHERE n.target IS NOT NULL) SELECT doc_id, min(place) AS survivor FROM walk GROUP BY doc_id")
 def alias_resolution(spark, d):
-    """Follows alias edges (each copy to the copy before it) to the surviving entity by pointer jumping."""
-    docs = _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    alias = docs.select("doc_id", F.coalesce(F.lag("doc_id").over(Window.partitionBy("h").orderBy("doc_id")), "doc_id").alias("target"))
-    held = None
-    for _ in range(64):
-        jump = alias.select(F.col("doc_id").alias("target"), F.col("target").alias("further"))
-        after = alias.join(jump, "target").select("doc_id", "target", "further").cache()
-        moved = not after.filter("target <> further").isEmpty()
-        if held is not None:
-            held.unpersist()
-        held, alias = after, after.select("doc_id", F.col("further").alias("target"))
-        if not moved:
-            return alias.select("doc_id", F.col("target").alias("survivor"))
-    raise ValueError("aliases form a cycle")
+    """Follows alias edges (each copy to the copy before it) to the surviving entity by pointer doubling."""
+    docs = H.numbered(_t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")), "h", "doc_id")
+    before = docs.select("h", (F.col("rn") + 1).alias("rn"), F.col("doc_id").alias("survivor"))
+    ends = graph.resolved(docs.join(before, ["h", "rn"]).select(F.col("doc_id").alias("old"), "survivor"))
+    return docs.select("doc_id").join(ends, F.col("doc_id") == F.col("old"), "left").select("doc_id", F.coalesce("survivor", "doc_id").alias("survivor"))
 
 
 # --- histories ---------------------------------------------------------------------------------------------------

@@ -134,3 +134,54 @@ def test_reports_are_replaced_in_one_step_and_old_artifacts_go(spark, tmp_path):
     left = sorted(str(p) for p in tmp_path.iterdir() if "clean" in p.name and not p.name.endswith(".crc"))
     assert left == sorted(made[1:])
     assert snapshot.write_csv(spark.range(3), root, "0", "t").removeprefix("file://") == made[0] and (tmp_path / made[0]).exists()  # built again
+
+
+FRAME = "listing string, pos int, photo string, sha string, bits long, rgb array<long>"
+
+
+def test_a_run_has_a_document_or_an_error_for_each_candidate(spark):
+    from cadastra.operators import worker
+
+    frames = spark.createDataFrame([("a", 1, "p1", "s1", 0, [1]), ("a", 2, "p2", "s1", 0, [1]), ("b", 1, "p3", "s3", 1, [1]), ("d", 1, "p4", "s4", -1, [200])], FRAME)
+    failed = spark.createDataFrame([("a", "u", "404"), ("c", "u", "404")], "listing string, url_hash string, error string")
+    shape = "low string, high string, revision string, low_hash string, high_hash string, stratum string"
+    candidates = spark.createDataFrame([("a", "b", "r1", "x", "y", "two"), ("a", "c", "r2", "x", "y", "two"), ("b", "d", "r3", "x", "y", "one"), ("e", "f", "r4", "x", "y", "one")], shape)
+    out = worker.run(candidates, frames, failed, {"matcher_version": "m1"}).cache()
+    got = {r.revision: r for r in out.collect()}
+    assert (got["r1"].error, got["r1"].matches, got["r1"].decision) == (None, 1, "uncertain")
+    assert got["r1"].stats.asDict() == {"considered": 4, "decoded": 3, "unique": 2, "duplicates": 1, "errors": 1}
+    assert got["r2"].error == "no usable photos of c" and got["r4"].error == "no usable photos of e, f" and got["r4"].document is None
+    row = worker.overview(out).first()
+    assert (row.selected, row.analyzed, row.failed, row.decoded, row.errors, row.scores, row.under_70) == (4, 2, 2, 5, 1, 2, 1)
+    assert {r.stratum: (r.selected, r.analyzed) for r in worker.strata(out).collect()} == {"one": (2, 1), "two": (2, 1)}
+    assert worker.overview(worker.run(candidates.limit(0), frames, failed, {})).first().selected == 0
+    for limit, photos in ((0, 5), (501, 5), (1, 0), (1, 31)):
+        with pytest.raises(ValueError):
+            worker.checked(limit, photos)
+
+
+def test_codes_that_are_near_share_a_piece(spark):
+    from cadastra.operators.photos import near_codes
+
+    chance = random.Random(6)
+    codes = [chance.getrandbits(64) for _ in range(60)]
+    for c in codes[:40]:  # neighbours at 1 to 6 places
+        for _ in range(chance.randrange(1, 7)):
+            c ^= 1 << chance.randrange(64)
+        codes.append(c)
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes] + [0, -1, 0]
+    rows = [(chance.choice("xy"), c, i) for i, c in enumerate(signed)]
+    links, members = near_codes(spark.createDataFrame(rows, "label string, code long, id int"), "label")
+    want = {(k, min(a, b), max(a, b), bin((a ^ b) & (1 << 64) - 1).count("1")) for k, a, _ in rows for q, b, _ in rows if k == q and a != b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
+    assert {tuple(r) for r in links.collect()} == want and len(want) > 10
+    assert sum(r.n for r in members.collect()) == len(rows)
+
+
+def test_photo_queues_are_sized_by_different_listings(spark):
+    listings = spark.createDataFrame([("1", "active", "1", "8"), ("2", "active", "true", "3"), ("3", "active", "0", None), ("4", "missing", "1", "x")], "id string, status string, baseline_eligible string, photo_count string")
+    wait, three, one = "awaiting_photo_analysis", ["a", "b", "c"], ["a"]
+    pairs = spark.createDataFrame([("1", "2", wait, three), ("1", "3", wait, one), ("1", "4", wait, three), ("2", "3", "metadata_conflict", three)], "low string, high string, status string, reasons array<string>")
+    got = {r.queue: (r.pairs, r.listings, r.photos, r.first_five) for r in W.queue_sizes(pairs, listings).collect()}
+    assert got == {"all_waiting": (3, 4, 11, 8), "both_active": (2, 3, 11, 8), "both_active_3plus_both_eligible": (1, 2, 11, 8), "both_active_2plus_both_eligible": (1, 2, 11, 8), "active_missing_3plus_both_eligible": (1, 2, 8, 5)}
+    assert {r.gib for r in W.queue_sizes(pairs, listings).collect()} == {None} and W.queue_sizes(pairs, listings, 2**30).filter("queue = 'all_waiting'").first().gib == 11.0
+    assert W.queue_sizes(pairs.limit(0), listings).filter("pairs = 0 and listings = 0").count() == 5
