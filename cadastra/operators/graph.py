@@ -29,14 +29,14 @@ def resolved(aliases: DataFrame) -> DataFrame:
         if ended is not None:
             on = on.unionByName(ended.select(F.col("old").alias("survivor"), F.col("survivor").alias("further")))
         step = written(moving.join(on, "survivor", "left"))
-        own = step.filter(F.col("further").eqNullSafe(F.col("old"))).select("old").limit(5).collect()
-        if own:
-            raise CycleError(f"entity alias cycle through {sorted(str(r.old) for r in own)}")
+        state = step.agg(F.count("further").alias("moving"), F.min(F.when(F.col("further") == F.col("old"), F.col("old"))).alias("round")).first()
+        if state["round"] is not None:
+            raise CycleError(f"entity alias cycle through {state['round']}")
         done = step.filter("further is null").select("old", "survivor")
         ended = done if ended is None else ended.unionByName(done)
-        moving = step.filter("further is not null").select("old", F.col("further").alias("survivor"))
-        if moving.isEmpty():
+        if not state.moving:
             return ended
+        moving = step.filter("further is not null").select("old", F.col("further").alias("survivor"))
     raise CycleError(f"entity alias cycle behind {sorted(str(r.old) for r in moving.select('old').limit(5).collect())}")
 
 
