@@ -137,7 +137,9 @@ def test_canonical_rows_prefer_cheap_active_rows_and_stay(spark):
 
 def test_numbers_are_whole_and_in_order(spark):
     rows = spark.createDataFrame([(i * 7 % 501, "hot" if i % 3 else None) for i in range(501)], "n long, key string")
-    assert sorted(r.seq for r in G.sequenced(rows, "n", 8).collect()) == list(range(1, 502))
+    assert [r.n for r in sorted(G.sequenced(rows, "n").collect(), key=lambda r: r.seq)] == list(range(501))
+    by_two = sorted(G.sequenced(rows, "key", "n").collect(), key=lambda r: r.seq)
+    assert [r.seq for r in by_two] == list(range(1, 502)) and [(r.key, r.n) for r in by_two] == sorted(((r.key, r.n) for r in by_two), key=lambda k: (k[0] or "", k[1]))
     got = [(r.key, r.n, r.rn) for r in numbered(rows, "key", "n", 8).collect()]
     for key in ("hot", None):
         assert [n for n, _ in sorted((rn, n) for k, n, rn in got if k == key)] == list(range(1, 1 + sum(k == key for k, _, _ in got)))
@@ -248,7 +250,7 @@ def test_batches_budgets_and_attempts(spark):
     assert kept.count() == 3 and rows_of(left) == [("n",), ("z",)]
     lines = B.request_lines(B.planned(spark.createDataFrame([(i, f"t{i}") for i in range(5)], "id long, text string"), "id", 5, size=4, group=3), F.col("text"), "m", "p").orderBy("batch", "group").collect()
     read = [json.loads(r.value) for r in lines]
-    assert [x["custom_id"] for x in read] == ["grp_0", "grp_3", "grp_4"] and read[0]["body"]["messages"][1]["content"] == "t0\n\nt1\n\nt2" and read[0]["body"]["max_completion_tokens"] == 750
+    assert [x["custom_id"] for x in read] == ["grp_0", "grp_3", "grp_4"] and read[0]["body"]["messages"][1]["content"] == "t0\n\nt1\n\nt2" and read[0]["body"]["max_tokens"] == 750
 
 
 def test_health_and_pages(spark):
