@@ -39,7 +39,7 @@ from cadastra.llm.token_output import Cache, by_chars, cells, gathered
 KNOWN = 1 << 20
 #: Links of one group that are listed one by one; of more, distinct pairs are.
 GROUP_LINKS = 4096
-CACHE_CELLS = 120_000
+CACHE_CELLS = 200_000
 #: Cells that are encoded and aligned at a time.
 CELLS = 5_000
 #: Pairs that a task gathers before it adds them up, and distinct ones that it holds.
@@ -93,8 +93,10 @@ class Aligner:
         n_a, n_b = (np.array([len(f[k]) for k in good], np.int64) for f in (found_a, found_b))
         a, b = (np.array([i for k in good for i in f[k]], np.int64) for f in (found_a, found_b))
         end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
-        # an entry without bytes would repeat an end; the last of equal ends closes the group
-        cut = np.intersect1d(end_a, end_b)
+        at = np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)
+        cut = end_a[end_b[at] == end_a]
+        if (np.diff(cut) == 0).any():  # an entry without bytes repeats an end
+            cut = np.unique(cut)
         group_a, group_b = np.searchsorted(cut, end_a), np.searchsorted(cut, end_b)
         m, n = np.bincount(group_a, minlength=len(cut)), np.bincount(group_b, minlength=len(cut))
         first_a, first_b = np.cumsum(m) - m, np.cumsum(n) - n
@@ -113,20 +115,25 @@ class Aligner:
         total, starts = int(listed.sum()), np.cumsum(listed) - listed
         at = np.repeat(np.arange(len(cut)), listed)
         inner = np.arange(total) - starts[at]
-        codes, occurrences = a[first_a[at] + inner // n[at]] * self.size_b + b[first_b[at] + inner % n[at]], np.ones(total, np.int64)
+        codes = (a[first_a[at] + inner // n[at]] * self.size_b + b[first_b[at] + inner % n[at]]).astype("<u4").tobytes()
         tokens = text.tolist()
-        token_end = (cell_a + cell_b).tolist()
-        g0 = t0 = 0
-        for k, g1, t1, x, y in zip(good, groups_end.tolist(), token_end, n_a.tolist(), n_b.tolist()):
-            c0, c1 = int(starts[g0]), int(starts[g1 - 1] + listed[g1 - 1])
-            code, occ = codes[c0:c1], occurrences[c0:c1]
-            for g in np.flatnonzero(~plain[g0:g1]) + g0:
+        bounds = np.concatenate([[0], groups_end])
+        linked, listing = (np.diff(np.concatenate([[0], np.cumsum(x)])[bounds]).tolist() for x in (links, listed))
+        wide = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(~plain)])[bounds])).tolist()
+        t0 = c0 = 0
+        for k, x, y, g, total_links, own in zip(good, n_a.tolist(), n_b.tolist(), np.diff(bounds).tolist(), linked, listing):
+            t1, c1 = t0 + x + y, c0 + 4 * own
+            out[k] = (x, y, g, total_links, "".join(tokens[t0:t1]), codes[c0:c1], b"")
+            t0, c0 = t1, c1
+        for i in wide:
+            known = out[good[i]]
+            code, occ = [np.frombuffer(known[5], "<u4").astype(np.int64)], [np.ones(len(known[5]) // 4, np.int64)]
+            for g in np.flatnonzero(~plain[bounds[i] : bounds[i + 1]]) + bounds[i]:
                 ua, ca = np.unique(a[first_a[g] : first_a[g] + m[g]], return_counts=True)
                 ub, cb = np.unique(b[first_b[g] : first_b[g] + n[g]], return_counts=True)
-                code = np.concatenate([code, (ua[:, None] * self.size_b + ub).ravel()])
-                occ = np.concatenate([occ, (ca[:, None] * cb).ravel()])
-            out[k] = (x, y, g1 - g0, int(links[g0:g1].sum()), "".join(tokens[t0:t1]), code.astype("<u4").tobytes(), occ.astype("<i8").tobytes() if len(occ) and occ.max() > 1 else b"")
-            g0, t0 = g1, t1
+                code.append((ua[:, None] * self.size_b + ub).ravel())
+                occ.append((ca[:, None] * cb).ravel())
+            out[good[i]] = (*known[:5], np.concatenate(code).astype("<u4").tobytes(), np.concatenate(occ).astype("<i8").tobytes())
         return out
 
     def measure(self, texts: pa.Array) -> list[tuple]:
