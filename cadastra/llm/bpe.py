@@ -6,7 +6,7 @@ leftmost pair of minimum rank; pieces without a pair leave, until none is left.
 entry is that entry, as in the tokenizer. Whole texts are encoded; a text's ids are the concatenation of its pieces' ids.
 Decoding takes a document's ids alone: its token-position rows are joined with the vocabulary and put together in order.
 
-Each distinct piece is contracted once for as long as it is in a worker's cache, and each distinct cell (what stands
+Each distinct piece is contracted once for as long as it is in a task's cache, and each distinct cell (what stands
 between blanks that no piece goes on over) is cut into pieces once; documents' ids are gathered by their cells.
 
 A piece of more than `CHUNK` bytes would take a step for each of its contractions, each over all its positions. It is
@@ -27,7 +27,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -191,26 +190,23 @@ class Tokenizer:
         return out
 
 
-@lru_cache(1)
-def tokenizer(rank_file: str, pattern: str) -> Tokenizer:
-    """One tokenizer a Python worker: what it has learned serves the tasks that follow."""
-    return Tokenizer(rank_file, pattern)
-
-
 def encode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian 32 bits), decoded_sha256; with_ids adds ids and decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(rank_file, pattern)
-        for part in (p for batch in batches for p in by_chars(batch, SLICE_CHARS)):
-            ids = own.encode(part.column("text"))
-            back = own.decode(ids)
-            columns = [pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string())]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns += [pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([b.decode() for b in back], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", *names])
+        own = Tokenizer(rank_file, pattern)
+        try:
+            for part in (p for batch in batches for p in by_chars(batch, SLICE_CHARS)):
+                ids = own.encode(part.column("text"))
+                back = own.decode(ids)
+                columns = [pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string())]
+                names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns += [pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([b.decode() for b in back], pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", *names])
+        finally:  # what a task has learned goes with it: other steps' workers need the memory
+            own.db.close()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     extra = ", ids array<int>, decoded string" if with_ids else ""
