@@ -207,6 +207,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = False
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", *names])
         finally:  # what a task has learned goes with it: other steps' workers need the memory
             own.db.close()
+            del own
+            pa.default_memory_pool().release_unused()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     extra = ", ids array<int>, decoded string" if with_ids else ""
