@@ -14,9 +14,10 @@ Documents go through a written table of ids, sorted by ranges of doc_id, so a ta
 partition. A document longer than BLOCK ids is a block of its own, of as many segments as it needs.
 
 Texts are encoded by the tokenizers library. Where the file's normalizer and pre-tokenizer are the ones of `_RULES`,
-texts are cut at white space, which no word spans, and only distinct chunks are encoded: words of chunks of code points
-below U+0300 are found here, by the same pattern after lower-casing, and given to the library's model; other chunks, and
-those that hold an added token, are given to the library as they are. With another file whole texts are given to it.
+texts are cut at white space, which no word spans, and only distinct chunks are encoded: chunks of code points below
+U+0300 are cut into words here, by the same rules after lower-casing, and distinct words are given to the library's model;
+other chunks, and those that hold an apostrophe, an added token or a letter that lower-casing takes out of this range, are
+given to the library as they are. With another file whole texts are given to it.
 
 Defined cases: null text equals empty text (the end id only). Null ids come first. Rows of one doc_id each keep their
 place, by number of ids, then crc32; equal rows may change places. Very long texts are coded whole. Other columns play no
@@ -31,9 +32,9 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ BATCH_IDS = 1 << 20
 SLICE_CHARS = 8_000_000
 CACHE_KEYS = 300_000
 KNOWN_CHUNKS = 300_000
+#: Those of the word encoder: what a slice asks for is found in a hash table that is made anew, so rows seen seldom cost more than they save.
+WORD_CHARS, WORD_CHUNKS, WORD_WORDS = 16_000_000, 100_000, 150_000
 
 #: The normalizer and pre-tokenizer whose words are found without the library.
 _RULES = {
@@ -63,14 +66,11 @@ _RULES = {
 }
 
 
-def _of_kind(kind: str) -> str:
-    """A character class of the code points below U+0300 of one general category."""
-    return "".join(re.escape(chr(i)) for i in range(0x300) if unicodedata.category(chr(i))[0] == kind)
-
-
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0"
-_PLAIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_of_kind('L')}]+|[{_of_kind('N')}]|[^{_WHITE}{_of_kind('L')}{_of_kind('N')}]+|\n")
-_NOT_PLAIN = "[^\x00-˿]"
+#: Of the code points below U+0300: 0 white space, 1 letters, 2 numbers, 3 others.
+_KINDS = np.array([0 if chr(i) in _WHITE else {"L": 1, "N": 2}.get(unicodedata.category(chr(i))[0], 3) for i in range(0x300)], np.uint8)
+#: Those whose lower case is not one code point below U+0300, or not the same in Arrow.
+_UNPLAIN = "".join(chr(i) for i in range(0x300) if chr(i).lower() != pc.utf8_lower(pa.scalar(chr(i))).as_py() or len(chr(i).lower()) > 1 or ord(chr(i).lower()) >= 0x300)
 
 
 class Cache:
@@ -115,12 +115,21 @@ class Known:
 
     def encode(self, chunks: pa.Array, places: np.ndarray) -> list[np.ndarray]:
         """Ids of texts whose chunks stand between the places."""
+        own, ids = self.look(chunks)
+        ends = np.concatenate([[0], np.cumsum(own)])[places]
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def look(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each chunk has, and all ids."""
         at = self._at(chunks)
         own = self.lens[at]
         ids = gathered(self.ids, (np.cumsum(self.lens) - self.lens)[at], own)
-        ends = np.concatenate([[0], np.cumsum(own)])[places]
         self._prune(at)
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        return own, ids
+
+    def found(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = self.find(new.to_numpy(zero_copy_only=False).tolist())
+        return np.array([len(r) // 4 for r in raw], np.int64), np.frombuffer(b"".join(raw), "<u4")
 
     def _at(self, chunks: pa.Array) -> np.ndarray:
         """The chunks' rows in the table, which gets those that it lacks."""
@@ -128,13 +137,12 @@ class Known:
         absent = at < 0
         if absent.any():
             new = chunks.filter(pa.array(absent)).dictionary_encode()
-            raw = self.find(new.dictionary.to_numpy(zero_copy_only=False).tolist())
+            lens, ids = self.found(new.dictionary)
             at = at.copy()
             at[absent] = new.indices.to_numpy() + len(self.chunks)
             self.chunks = pa.concat_arrays([self.chunks, new.dictionary])
-            self.lens = np.concatenate([self.lens, [len(r) // 4 for r in raw]]).astype(np.int64)
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<u4")])
-            self.seen = np.concatenate([self.seen, np.zeros(len(raw), np.int64)])
+            self.lens, self.ids = np.concatenate([self.lens, lens]), np.concatenate([self.ids, ids])
+            self.seen = np.concatenate([self.seen, np.zeros(len(lens), np.int64)])
         return at
 
     def _prune(self, at: np.ndarray) -> None:
@@ -146,6 +154,29 @@ class Known:
             self.chunks, self.lens, self.seen = self.chunks.take(pa.array(kept)), self.lens[kept], self.seen[kept] // 2
 
 
+class KnownArrays(Known):
+    """The same, where `find` takes an Arrow array and returns how many ids each has, and all ids."""
+
+    def found(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.find(new)
+
+
+def cut_words(chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of chunks of plain letters, in lower case, and how many each chunk has: runs of letters or of others, and single numbers."""
+    lower = pc.utf8_lower(chunks)
+    offsets = np.concatenate([[0], np.cumsum(pc.binary_length(lower).to_numpy())])
+    data = np.frombuffer("".join(lower.to_numpy(zero_copy_only=False).tolist()).encode(), np.uint8)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    first, second = data.take(at), np.append(data, np.uint8(0)).take(at + 1)
+    kinds = _KINDS.take(np.where(first < 0x80, first, (first.astype(np.uint16) & 0x1F) << 6 | second & 0x3F))
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    begins = begins.take(at) | (kinds == 2) | (kinds != np.concatenate([kinds[:1], kinds[:-1]]))
+    starts, kept = at[begins], kinds[begins] > 0
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data))
+    return words.filter(pa.array(kept)), np.diff(np.searchsorted(starts[kept], offsets))
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, without added tokens but those the text holds; distinct chunks are encoded once."""
 
@@ -156,36 +187,40 @@ class WordEncoder:
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
         self.plain = {k: rules.get(k) for k in _RULES} == _RULES
-        self.odd = re.compile("|".join([_NOT_PLAIN, *(re.escape(a["content"]) for a in rules["added_tokens"])]))
-        # bytes as the vocabulary writes them: those that print as themselves, the others from U+0100 on
+        self.odd = "|".join([f"[^\\x00-\\x{{2ff}}]|['{_UNPLAIN}]", *(re.escape(a["content"]) for a in rules["added_tokens"])])
+        # bytes as the vocabulary writes them: those that print as themselves, the others from U+0100 on; ends of lines stay
         printed = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
         others = [b for b in range(256) if b not in printed]
-        self.letters = {b: b for b in printed} | {b: 256 + i for i, b in enumerate(others)}
-        self.words = Cache(self._encode_words)
-        self.known = Known(self._encode_chunks)
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        model, letters = self.whole.model, self.letters
-        return [b"" if w == "\n" else array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in words]
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        out: list = [None] * len(chunks)
-        odd = [k for k, chunk in enumerate(chunks) if self.odd.search(chunk)]
-        for k, found in zip(odd, self.whole.encode_batch([chunks[k] for k in odd], add_special_tokens=False)):
-            out[k] = array("I", found.ids).tobytes()
-        plain = [k for k, ids in enumerate(out) if ids is None]
-        # no chunk holds a line's end: all words are found in one go, with the ends of chunks between them
-        words = _PLAIN_WORD.findall("\n".join([chunks[k] for k in plain]).lower())
-        distinct = list(set(words))
-        ids = dict(zip(distinct, self.words.get(distinct)))
-        raw = list(map(ids.__getitem__, words))
-        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-        joined = b"".join(raw)
-        last = [i for i, w in enumerate(words) if w == "\n"]
-        cuts = [0, *ends[last].tolist(), len(joined)]
-        for k, a, b in zip(plain, cuts, cuts[1:]):
-            out[k] = joined[a:b]
-        return out
+        self.letters = np.arange(256, dtype="<u4")
+        self.letters[others] = 256 + np.arange(len(others))
+        self.letters[0x0A] = 0x0A
+        self.words = KnownArrays(self._encode_words, WORD_WORDS)
+        self.known = KnownArrays(self._encode_chunks, WORD_CHUNKS)
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        # no word holds a line's end
+        joined = "\n".join(words.to_numpy(zero_copy_only=False).tolist()).encode()
+        text = self.letters.take(np.frombuffer(joined, np.uint8)).tobytes().decode("utf-32-le")
+        model, lens, ids = self.whole.model, [], []
+        for word in text.split("\n"):
+            tokens = model.tokenize(word)
+            lens.append(len(tokens))
+            ids += [t.id for t in tokens]
+        return np.array(lens, np.int64), np.array(ids, "<u4")
+
+    def _encode_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(chunks, self.odd).to_numpy(zero_copy_only=False)
+        words, n = cut_words(chunks.filter(pa.array(~odd)))
+        of_words, ids = self.words.look(words)
+        plain = np.diff(np.concatenate([[0], np.cumsum(of_words)])[np.concatenate([[0], np.cumsum(n)])])
+        if not odd.any():
+            return plain, ids
+        whole = [e.ids for e in self.whole.encode_batch(chunks.filter(pa.array(odd)).to_numpy(zero_copy_only=False).tolist(), add_special_tokens=False)]
+        lens = np.zeros(len(chunks), np.int64)
+        lens[~odd], lens[odd] = plain, [len(w) for w in whole]
+        out, of_odd = np.zeros(int(lens.sum()), "<u4"), np.repeat(odd, lens)
+        out[~of_odd], out[of_odd] = ids, list(chain.from_iterable(whole))
+        return lens, out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Each text's ids. No text may be null."""
@@ -241,7 +276,7 @@ def encode_ids(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, compressor = word_encoder(tokenizer_file), zstandard.ZstdCompressor(level=1, write_content_size=True)
         end = np.array([end_id], "<u4")
-        for part in (p for batch in batches for p in by_chars(batch)):
+        for part in (p for batch in batches for p in by_chars(batch, WORD_CHARS)):
             n, crc, packed = [], [], []
             for found in encoder.encode(part.column("text")):
                 ids = np.concatenate([found, end])
@@ -304,29 +339,46 @@ class Coder:
         self.cum = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64) if size else np.zeros(0, np.uint64)
         self.symbol = np.repeat(np.arange(size, dtype=np.uint32), self.freq.astype(np.int64))
 
+    @staticmethod
+    def _by_size(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int], list[bool]]:
+        """Places of the segments by falling size, each segment's place in that order, and of each row of LANES ids how many segments have it and if all of them have it whole."""
+        order = np.argsort(-sizes, kind="stable")
+        place = np.empty(len(sizes), np.int64)
+        place[order] = np.arange(len(sizes))
+        begins = np.arange(-(-int(sizes.max(initial=0)) // LANES)) * LANES
+        having, whole = (len(sizes) - np.searchsorted(sizes[order[::-1]], begins + k) for k in (1, LANES))
+        return order, place, having.tolist(), (having == whole).tolist()
+
     def encode(self, blocks: list[np.ndarray]) -> list[bytes]:
         parts = [b[i : i + SEGMENT] for b in blocks for i in range(0, len(b), SEGMENT)]
         sizes = np.array([len(p) for p in parts], np.int64)
-        rows = -(-int(sizes.max(initial=0)) // LANES)
-        ids = np.zeros((len(parts), rows * LANES), np.int64)
+        order, at, having, whole = self._by_size(sizes)
+        sizes = sizes[order]
+        ids = np.zeros((len(parts), len(having) * LANES), np.int64)
         for k, p in enumerate(parts):
-            ids[k, : len(p)] = p
-        ids = ids.reshape(len(parts), rows, LANES)
+            ids[at[k], : len(p)] = p
+        ids = ids.reshape(len(parts), len(having), LANES)
         state = np.full((len(parts), LANES), LOW, np.uint64)
         words, emitted = np.zeros(ids.shape, "<u4"), np.zeros(ids.shape, bool)
-        lane, top = np.arange(LANES), np.uint64(63) - self.scale
-        for r in range(rows - 1, -1, -1):
-            live = r * LANES + lane < sizes[:, None]
-            f, c = np.where(live, self.freq.take(ids[:, r]), np.uint64(1)), self.cum.take(ids[:, r])
-            full = live & (state >= f << top)
-            words[:, r], emitted[:, r] = state & np.uint64(0xFFFFFFFF), full
-            state = np.where(full, state >> np.uint64(32), state)
-            quotient = state // f
-            state = np.where(live, (quotient << self.scale) + (state - quotient * f) + c, state)
+        lane, top, rest = np.arange(LANES), np.uint64(63) - self.scale, (np.uint64(1) << self.scale) - self.freq
+        for r in range(len(having) - 1, -1, -1):
+            n = having[r]
+            own, before = ids[:n, r], state[:n]
+            f = self.freq.take(own)
+            if not whole[r]:
+                live = r * LANES + lane < sizes[:n, None]
+                f = np.where(live, f, np.uint64(1))
+            full = before >= f << top
+            words[:n, r], emitted[:n, r] = before, full
+            low = before >> (full.astype(np.uint64) << np.uint64(5))
+            # quotient by f in the high bits, remainder and place below them
+            after = low + low // f * rest.take(own) + self.cum.take(own)
+            state[:n] = after if whole[r] else np.where(live, after, before)
+        state = state[at]
         out, k = [], 0
         for b in blocks:
             n = -(-len(b) // SEGMENT)
-            streams = [words[i][emitted[i]] for i in range(k, k + n)]
+            streams = [words[i][emitted[i]] for i in at[k : k + n]]
             places = np.cumsum([0, *map(len, streams)])
             body = MAGIC + struct.pack("<HHIQII", LANES, int(self.scale), SEGMENT, len(b), n, int(places[-1]))
             body += places[:-1].astype("<u4").tobytes() + np.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts[k : k + n]], "<u4").tobytes()
@@ -353,22 +405,32 @@ class Coder:
             base += n_words
         if not sizes:
             return [np.zeros(0, np.uint32) for _ in blocks]
-        size, state, place = np.array(sizes, np.int64), np.concatenate(states).astype(np.uint64), np.concatenate(places)
+        size = np.array(sizes, np.int64)
+        order, at, having, whole = self._by_size(size)
+        size, state, place = size[order], np.concatenate(states).astype(np.uint64)[order], np.concatenate(places)[order]
+        # a word behind the last: a spoilt stream may ask for more than it has
         stream = np.concatenate([*streams, np.zeros(1, "<u4")]).astype(np.uint64)
-        rows, lane, mask = -(-int(size.max()) // LANES), np.arange(LANES), np.uint64((1 << int(self.scale)) - 1)
-        ids = np.zeros((len(size), rows, LANES), np.uint32)
-        for r in range(rows):
-            live = r * LANES + lane < size[:, None]
-            slot = state & mask
+        lane, mask = np.arange(LANES), np.uint64((1 << int(self.scale)) - 1)
+        ids = np.zeros((len(size), len(having), LANES), np.uint32)
+        for r, n in enumerate(having):
+            before = state[:n]
+            slot = before & mask
             found = self.symbol.take(slot.view(np.int64))
-            after = self.freq.take(found) * (state >> self.scale) + slot - self.cum.take(found)
-            due = live & (after < LOW)
-            taken = np.cumsum(due, 1)
-            word = stream[np.where(due, place[:, None] + taken - 1, len(stream) - 1)]
-            state = np.where(due, after << np.uint64(32) | word, np.where(live, after, state))
-            place = place + taken[:, -1]
-            ids[:, r] = found
-        flat = ids.reshape(len(size), rows * LANES)
+            after = self.freq.take(found) * (before >> self.scale) + slot - self.cum.take(found)
+            due = after < LOW
+            if not whole[r]:
+                live = r * LANES + lane < size[:n, None]
+                due, after = due & live, np.where(live, after, before)
+            taken = np.count_nonzero(due, 1)
+            ends = np.cumsum(taken)
+            asks = np.flatnonzero(due)
+            words = stream.take(np.minimum(np.repeat(place[:n] - (ends - taken), taken) + np.arange(len(asks)), len(stream) - 1))
+            flat = after.reshape(-1)
+            flat[asks] = flat.take(asks) << np.uint64(32) | words
+            state[:n] = after
+            place[:n] += taken
+            ids[:n, r] = found
+        state, flat = state[at], ids.reshape(len(size), len(having) * LANES)[at]
         if (state != LOW).any() or any(zlib.crc32(flat[k, :s].astype("<u4").tobytes()) != c for k, (s, c) in enumerate(zip(sizes, sums))):
             raise ValueError("decoded ids don't match their checksum")
         out, k = [], 0

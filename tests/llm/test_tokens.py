@@ -50,6 +50,22 @@ def test_words_are_those_of_the_library():
     assert encoder.encode(pa.array(texts[:50]))[7].tolist() == library.encode(texts[7], add_special_tokens=False).ids
 
 
+def test_words_of_every_plain_letter_are_those_of_the_library():
+    """Ⱥ and Ⱦ stand below U+0300, their lower case does not; İ becomes two code points."""
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(WORDS), token_output.WordEncoder(WORDS)
+    chance = random.Random(12)
+    texts = ["aȺb", "Ⱦb", "İx", "", " ", "it's", "a1é2²½", *(f"a{chr(i)}b{chr(i)}" for i in range(0x310))]
+    texts += ["".join(chr(chance.randrange(0x310)) for _ in range(chance.randrange(12))) for _ in range(2000)]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts))):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    words, n = token_output.cut_words(pa.array(["Ab,", "", "1é2!?", "\xa0x\x85"]))
+    assert (words.to_pylist(), n.tolist()) == (["ab", ",", "1", "é", "2", "!?", "x"], [2, 0, 4, 1])
+    words, n = token_output.cut_words(pa.array([], pa.string()))
+    assert (len(words), len(n)) == (0, 0)
+
+
 def test_blocks_come_back_and_faults_are_found():
     chance = np.random.default_rng(0)
     blocks = [np.minimum(chance.zipf(1.2, n), 49_000).astype(np.uint32) for n in (0, 1, 63, 64, 65, token_output.SEGMENT, token_output.SEGMENT + 1, 70_000, 200_001)]
