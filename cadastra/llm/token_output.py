@@ -237,13 +237,13 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def _packed(compressor: zstandard.ZstdCompressor, ids: np.ndarray) -> bytes:
-    """Ids of one document for the written table: four byte planes, compressed."""
-    return compressor.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    """Ids of one document for the written table: in two bytes where they suffice, else four, compressed, and how many."""
+    width = 2 if ids.max(initial=0) < 1 << 16 else 4
+    return compressor.compress(ids.astype(f"<u{width}")) + bytes([width])
 
 
 def _unpacked(decompressor: zstandard.ZstdDecompressor, raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(decompressor.decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return np.frombuffer(decompressor.decompress(raw, allow_extra_data=True), f"<u{raw[-1]}").astype("<u4")
 
 
 _CUT = re.compile(r" (?<=\S )(?=.)", re.S)

@@ -66,6 +66,16 @@ def test_words_of_every_plain_letter_are_those_of_the_library():
     assert (len(words), len(n)) == (0, 0)
 
 
+def test_ids_of_the_written_table_come_back():
+    import zstandard
+
+    pack, unpack = zstandard.ZstdCompressor(level=1, write_content_size=True), zstandard.ZstdDecompressor()
+    for ids in ([], [1], [65_535, 3], [65_536, 1], [2**32 - 1, 0, 7], list(range(1000))):
+        found = token_output._unpacked(unpack, token_output._packed(pack, np.array(ids, "<u4")))
+        assert found.tolist() == ids and found.dtype == np.dtype("<u4")
+    assert len(token_output._packed(pack, np.random.default_rng(0).integers(0, 1 << 16, 10_000).astype("<u4"))) < 21_000
+
+
 def test_blocks_come_back_and_faults_are_found():
     chance = np.random.default_rng(0)
     blocks = [np.minimum(chance.zipf(1.2, n), 49_000).astype(np.uint32) for n in (0, 1, 63, 64, 65, token_output.SEGMENT, token_output.SEGMENT + 1, 70_000, 200_001)]
