@@ -12,15 +12,21 @@ def transitions(events: DataFrame, key: str, order: list[str], state: str) -> Da
     return events.withColumn("before", before).filter(~F.col(state).eqNullSafe(F.col("before")))
 
 
-def merged_intervals(intervals: DataFrame, key: str) -> DataFrame:
-    """key, period, start, end: touching or overlapping intervals (start, end; a null end is open) merged."""
+def merged_intervals(intervals: DataFrame, key: str, open_ends: bool = True) -> DataFrame:
+    """key, period, start, end: touching or overlapping intervals (start, end) merged; a null end is open.
+
+    Without `open_ends` a null end is unknown: it reaches no further than the others, and no date stands for open ones.
+    Rows of unknown start come last. Both windows share one sort, so equal intervals have one order in both.
+    """
     far = F.lit("9999-12-31").cast("timestamp_ntz")
-    closed = intervals.withColumn("stop", F.coalesce(F.col("end"), far))
-    before = Window.partitionBy(key).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    opened = closed.withColumn("reach", F.max("stop").over(before)).withColumn("new", (F.col("reach").isNull() | (F.col("start") > F.col("reach"))).cast("int"))
-    upto = Window.partitionBy(key).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = opened.withColumn("period", F.sum("new").over(upto))
-    return numbered.groupBy(key, "period").agg(F.min("start").alias("start"), F.nullif(F.max("stop"), far).alias("end"))
+    closed = intervals.withColumn("stop", F.coalesce(F.col("end"), far) if open_ends else F.col("end"))
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("stop"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    new = F.col("reach").isNull() | F.coalesce(F.col("start") > F.col("reach"), F.lit(False))
+    opened = closed.withColumn("reach", F.max("stop").over(before)).withColumn("new", new.cast("int"))
+    numbered = opened.withColumn("period", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.max("stop")
+    return numbered.groupBy(key, "period").agg(F.min("start").alias("start"), (F.nullif(last, far) if open_ends else last).alias("end"))
 
 
 def market_intervals(events: DataFrame, key: str) -> DataFrame:

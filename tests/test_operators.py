@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from cadastra.functions import text as X
 from cadastra.operators import candidates as C
 from cadastra.operators import history as H
 from cadastra.operators import verdicts as V
+from cadastra.plans import catalogue
 from cadastra.sources import snapshot
 from cadastra.streaming import ingest
 
@@ -40,6 +42,20 @@ def test_market_periods_merge_touching_intervals(spark):
     assert out == {("a", 1): (at(1), at(4)), ("a", 2): (at(6), None), ("b", 1): (at(1), at(2))}
 
 
+def test_interval_merge_of_unknown_dates_and_of_equal_spans(spark, tmp_path):
+    orders = [(1, at(1)), (2, at(3)), (3, None), (4, None), (5, at(6)), (6, at(7))]
+    lines = [(1, 1, at(5)), (2, 1, None), (3, 1, at(9)), (4, 2, None), (4, 2, None), (2, 3, at(2)), (4, 5, at(5)), (1, 5, at(2)), (2, None, at(4)), (6, 1, at(2))]
+    lines += [(5, 4, dt.datetime(9999, 12, 31))] + [(o, 6, at(1)) for o in (1, 2, 2, 2, 5, 5, 6, 6, 6)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    got = [tuple(r) for r in catalogue.QUERIES["interval_merge"](spark, str(tmp_path)).collect()]
+    duck = duckdb.connect(config={"threads": 1})  # with more, its windows may sort equal spans in two orders
+    for name in ("lineitem", "orders"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(got, key=repr) == sorted(duck.execute(catalogue.ORACLES["interval_merge"]).fetchall(), key=repr)
+    assert {r[1:] for r in got if r[0] == 6} == {(1, "2024-01-01", "2024-01-01"), (2, "2024-01-03", "2024-01-03"), (3, "2024-01-06", "2024-01-06"), (4, "2024-01-07", "2024-01-07")}
+
+
 def test_canonical_prefers_active_then_cheapest_then_current(spark):
     rows = spark.createDataFrame([("e", 1, False, 1.0, False), ("e", 2, True, 9.0, False), ("e", 3, True, 5.0, False), ("e", 4, True, 5.0, True), ("f", 5, False, 3.0, False), ("g", 6, True, float("nan"), False), ("g", 7, True, 2.0, False)], "e string, id int, active boolean, price double, cur boolean")
     out = {r.e: r.id for r in H.canonical(rows, "e", F.col("active"), F.col("price"), F.col("cur"), [F.desc("id")]).collect()}
