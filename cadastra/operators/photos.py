@@ -6,6 +6,10 @@ Spark's own expressions, one listing or pair a row.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,11 @@ from cadastra.session import written
 
 MAX_PHOTOS = 30
 
+#: A flipped part of a code is written, shuffled and looked up; this is its cost in pairs that meet.
+FLIP_COST = 10
+#: Flipped parts of one code at most; parts with more are not chosen.
+MAX_FLIPS = 1_000
+
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
@@ -81,22 +90,62 @@ def usable_url(url: Column, markers: list[str]) -> Column:
     return ~found
 
 
+def _signed(places: Iterable[int]) -> int:
+    """The 64-bit code with these places set, as a signed number."""
+    code = sum(1 << p for p in places)
+    return code - (code >> 63 << 64)
+
+
+def _parts(rows: float, pairs: float, unlike: dict[int, float], bits: int) -> list[tuple[int, int, list[int]]]:
+    """(mask, near, flips): parts of a code, of which codes at most `bits` apart have one where they are at most `near` apart.
+
+    This holds for any parts with sum(near + 1) = bits + 1, whatever places they leave out; flips are the masks of up to
+    `near` places of a part. How many of all pairs are unlike at a place only decides which parts cost least: the next
+    place, that with most unlike pairs first, goes to the part that lets most pairs through.
+    """
+    chances = sorted(((n / pairs, place) for place, n in unlike.items() if n), reverse=True)
+    least, chosen = pairs, [([], bits)]  # no places: all codes of a key meet
+    for m in range(1, bits + 2):
+        near = [(bits + 1) // m + (i < (bits + 1) % m) - 1 for i in range(m)]
+        places: list[list[int]] = [[] for _ in near]
+        apart = [[1.0] + [0.0] * t for t in near]  # chances that two codes differ at 0 to `near` places of the part
+        for chance, place in chances:
+            i = max(range(m), key=lambda i: sum(apart[i]))
+            places[i].append(place)
+            apart[i] = [as_far * (1 - chance) + nearer * chance for as_far, nearer in zip(apart[i], [0.0, *apart[i]])]
+            flips = sum(math.comb(len(p), k) for p, t in zip(places, near) for k in range(t + 1))
+            cost = rows * flips * FLIP_COST + pairs * sum(map(sum, apart))
+            if flips <= MAX_FLIPS and cost < least:
+                least, chosen = cost, [(list(p), t) for p, t in zip(places, near)]
+    return [(_signed(p), t, [_signed(c) for k in range(t + 1) for c in combinations(p, k)]) for p, t in chosen]
+
+
 def near_codes(codes: DataFrame, key: str, bits: int = 4) -> tuple[DataFrame, DataFrame]:
     """Links (key, low, high, distance) of different codes at most `bits` apart, and members (key, code, n, first) of each code.
 
-    Codes (key, code, id) of one value are one class, so copies are never paired. A 64-bit code is cut into bits + 1
-    pieces: two codes that differ in at most `bits` places have an equal piece, and only these meet. Exact, for any codes.
+    Codes (key, code, id) of one value are one class, so copies are never paired. Two 64-bit codes meet where a part of
+    one, with up to `near` of its places flipped, equals that of the other (`_parts`). Exact, for any codes.
     """
     if not 1 <= bits <= 15:
         raise ValueError("1 to 15 bits")
     members = written(codes.groupBy(key, "code").agg(F.count("*").alias("n"), F.min("id").alias("first")))
-    edges = [64 * i // (bits + 1) for i in range(bits + 2)]
-    piece = [F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
-    cut = members.select(key, "code", F.posexplode(F.array(*piece)).alias("piece", "value"))
-    on = [key, "piece", "value"]
-    met = cut.withColumnRenamed("code", "low").join(cut.withColumnRenamed("code", "high"), on).filter("low < high")
-    far = hamming(F.col("low"), F.col("high"))
-    return met.filter(far <= bits).select(key, "low", "high", far.alias("distance")).distinct(), members
+    placed = members.filter("code is not null").select(key, "code", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("place"))
+    each = placed.groupBy(key, "place").agg(F.count("*").cast("double").alias("rows"), F.expr("cast(sum(shiftrightunsigned(code, place) & 1) as double) as ones"))
+    counts = each.groupBy("place").agg(F.sum("rows").alias("rows"), F.expr("sum(rows * rows) as pairs"), F.expr("sum(2 * ones * (rows - ones)) as unlike")).collect()  # 64 rows
+    rows, pairs = (counts[0].rows, counts[0].pairs) if counts else (0, 0)
+    parts = _parts(rows, pairs, {r.place: r.unlike for r in counts}, bits)
+    dealt = [F.struct(F.lit(i).alias("part"), F.lit(mask).cast("long").alias("mask"), F.lit(flip).cast("long").alias("flip")) for i, (mask, _, flips) in enumerate(parts) for flip in flips]
+    own = F.col("code").bitwiseAND(F.col("p.mask"))
+    cut = members.select(key, "code", F.explode(F.array(*dealt)).alias("p")).select(key, "code", "p.part", own.alias("own"), own.bitwiseXOR(F.col("p.flip")).alias("value"))
+    # two codes meet at the greater value of their parts; where these are equal, only the lower code looks for the other
+    one = cut.filter("value >= own").select(key, "part", "value", F.col("code").alias("one"), (F.col("value") == F.col("own")).alias("equal"))
+    other = cut.filter("value = own").select(key, "part", "value", F.col("code").alias("other"))
+    met = one.join(other.hint("shuffle_hash"), [key, "part", "value"]).filter(~F.col("equal") | (F.col("one") < F.col("other")))
+    # and count in the first of the parts where they are near
+    first = F.coalesce(*(F.when(hamming(F.col("one").bitwiseAND(F.lit(mask).cast("long")), F.col("other").bitwiseAND(F.lit(mask).cast("long"))) <= near, i) for i, (mask, near, _) in enumerate(parts)))
+    far = hamming(F.col("one"), F.col("other"))
+    links = met.filter((far <= bits) & (first == F.col("part")))
+    return links.select(key, F.least("one", "other").alias("low"), F.greatest("one", "other").alias("high"), far.alias("distance")), members
 
 
 def prevalence(memberships: DataFrame, url: str) -> DataFrame:

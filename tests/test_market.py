@@ -177,6 +177,44 @@ def test_codes_that_are_near_share_a_piece(spark):
     assert sum(r.n for r in members.collect()) == len(rows)
 
 
+@pytest.mark.parametrize("bits", [1, 4, 9])
+def test_codes_of_few_places_meet_at_few_others(spark, monkeypatch, bits):
+    from cadastra.operators import photos
+
+    chance, keys = random.Random(bits), {"x": 0, "y": -1 << 63, "z": 0x5A}
+    rows = [(k, base ^ chance.getrandbits(24) << 38) for k, base in keys.items() for _ in range(400)]
+    rows += [("z", c ^ 1 << chance.randrange(62)) for k, c in rows if k == "z"] + [("x", -1), ("x", 1 << 62), ("x", None), (None, 5), (None, 7)]
+    chosen, parts = [], photos._parts
+    monkeypatch.setattr(photos, "_parts", lambda *stats: chosen.append((stats, parts(*stats))) or chosen[0][1])
+    links, members = photos.near_codes(spark.createDataFrame([(k, c, i) for i, (k, c) in enumerate(rows)], "label string, code long, id int"), "label", bits)
+    got = [tuple(r) for r in links.collect()]
+    far = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    known = sorted({(k, c) for k, c in rows if k and c is not None})
+    of = {k: [c for q, c in known if q == k] for k in keys}
+    assert len(got) == len(set(got)) and set(got) == {(k, a, b, far(a, b)) for k, cs in of.items() for a in cs for b in cs if a < b and far(a, b) <= bits}
+    (_, found), pairs = chosen[0], sum(len(cs) ** 2 for cs in of.values())
+    assert sum(near + 1 for _, near, _ in found) == bits + 1 and not any(a & b for i, (a, _, _) in enumerate(found) for b, _, _ in found[:i])
+    assert members.count() == len(set(rows))
+    # parts of equal length would leave places that never differ together, where all meet all
+    met = sum(far(a & mask, b & mask) <= near for mask, near, _ in found for cs in of.values() for a in cs for b in cs)
+    assert met < pairs * {1: 0.01, 4: 0.25, 9: 1.01}[bits]
+
+
+def test_parts_of_many_codes_let_few_pairs_through():
+    from cadastra.operators.photos import MAX_FLIPS, _parts
+
+    n, even = 720_000, lambda pairs: {p: pairs / 2 if p >= 40 else 0 for p in range(64)}
+    shares = []
+    for rows in (2_000, 50_000, n):
+        parts = _parts(rows, rows**2 / 10, even(rows**2 / 10), 4)
+        places = [bin(mask & (1 << 64) - 1).count("1") for mask, _, _ in parts]
+        assert all(len(flips) == len(set(flips)) == sum(math.comb(p, k) for k in range(near + 1)) for p, (_, near, flips) in zip(places, parts))
+        shares.append(sum(len(flips) / 2**p for p, (_, _, flips) in zip(places, parts)))
+        assert sum(len(flips) for _, _, flips in parts) <= MAX_FLIPS
+    assert shares == sorted(shares, reverse=True) and shares[-1] < 0.02
+    assert _parts(0, 0, {}, 4) == _parts(9, 81, {p: 0 for p in range(64)}, 4) == [(0, 4, [0])]
+
+
 def test_photo_queues_are_sized_by_different_listings(spark):
     listings = spark.createDataFrame([("1", "active", "1", "8"), ("2", "active", "true", "3"), ("3", "active", "0", None), ("4", "missing", "1", "x")], "id string, status string, baseline_eligible string, photo_count string")
     wait, three, one = "awaiting_photo_analysis", ["a", "b", "c"], ["a"]
